@@ -98,7 +98,7 @@ def patterns() -> dict[str, list[tuple[str, str | None, bool]]]:
                         seen = _bytes_as(word.encode(a), b)
                         if seen.lower() not in TRIPLES:
                             add(seen, f"{a}>{b}", None, True)
-    for c in hanzi + ["。", "，", "（", "）", "、"]:
+    for c in [h for h in hanzi if h.encode("gb2312")[0] <= 0xD7] + ["。", "，", "（", "）", "、"]:  # level 1, the common ones
         add(_bytes_as(c.encode("gb2312"), "cp1252"), "gb2312>cp1252", None, True)
     return out
 
@@ -208,6 +208,8 @@ def repair_text(text: str) -> tuple[str, int, str | None]:
     for p, n in weak.items():
         if p.startswith("utf8") and n + 2 * strong[p] >= 3 and (strong[p] or cover[p] >= 0.6 * most):
             proved.add(p)
+    if cover["gb2312>cp1252"] >= 8 and cover["gb2312>cp1252"] == most:
+        proved = set()
     if proved:
         order = {p: (strong[p] + weak[p], -i) for i, p in enumerate(sorted(proved, key=_rank))}
         chosen: list[tuple[int, int, str]] = []
