@@ -208,8 +208,9 @@ def repair_text(text: str) -> tuple[str, int, str | None]:
     for p, n in weak.items():
         if p.startswith("utf8") and n + 2 * strong[p] >= 3 and (strong[p] or cover[p] >= 0.6 * most):
             proved.add(p)
-    if cover["gb2312>cp1252"] >= 8 and cover["gb2312>cp1252"] == most:
-        proved = set()
+    if cover["gb2312>cp1252"] >= 1.5 * max((cover[p] for p in proved), default=0):
+        if any(len(r) >= 6 and (d := _gb_run(r)) and len(_CJK.findall(d)) >= 3 for r in _GB_RUN.findall(text)):
+            proved = set()
     if proved:
         order = {p: (strong[p] + weak[p], -i) for i, p in enumerate(sorted(proved, key=_rank))}
         chosen: list[tuple[int, int, str]] = []
@@ -260,7 +261,7 @@ def repair_text(text: str) -> tuple[str, int, str | None]:
             mixed = []
 
     # GB2312 read as a Western encoding
-    if weak["gb2312>cp1252"] >= 3:
+    if weak["gb2312>cp1252"] >= 3 and cover["gb2312>cp1252"] >= 0.6 * most:
 
         def undo(m: re.Match) -> str:
             d = _gb_run(m.group())
