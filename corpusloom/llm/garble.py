@@ -245,7 +245,7 @@ def repair_text(text: str) -> tuple[str, int, str | None]:
             for p in sorted(pairs, key=lambda p: -weak[p])[:4]:
                 d = _decode_chars(s, p)
                 n = _triples(d)
-                if n >= base + 2:
+                if n >= base + (1 if best == p else 2):
                     base, pick, s = n, p, d
             parts.append(s)
             if pick:

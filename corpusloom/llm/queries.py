@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.sources.tables import table
 
-from . import mix, tokenize, unify
+from . import garble, mix, prose, tokenize, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: mix.found(t(s, d, "extraction_results"), t(s, d, "domain_config")),
         "p1_mix": lambda s, d: mix.report(t(s, d, "extraction_results"), t(s, d, "domain_config")),
         "p1_draw": lambda s, d: mix.draw(t(s, d, "extraction_results"), t(s, d, "domain_config")),
+        "p2_found": lambda s, d: garble.found(t(s, d, "extraction_results")),
+        "p2_repair": lambda s, d: garble.repair(t(s, d, "extraction_results")),
+        "p7_found": lambda s, d: prose.found(t(s, d, "extraction_results")),
+        "p7_statistics": lambda s, d: prose.assess(t(s, d, "extraction_results")),
         "p8_ids": lambda s, d: tokenize.encode_corpus(t(s, d, "documents")),
         "p8_roundtrip": lambda s, d: tokenize.decode_corpus(tokenize.encode_corpus(t(s, d, "documents"))),
         "p10_found": lambda s, d: unify.found(t(s, d, "documents")),
