@@ -132,6 +132,20 @@ _LOST = re.compile("\ufffd")
 _CJK = re.compile("[\u4e00-\u9fff]")
 
 
+#: Quick check for the JVM and for other operators: whatever no sound text of the covered languages has.
+#: It may say yes for sound text (single symbols, capital headings), never no for text with hits.
+SUSPECT = (
+    r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153\u2013\u2014\u2018\u2019\u201c\u201d\u20ac\u0410-\u044f\u0401\u0451\u4e00-\u9fff\u3002\uff08\uff09\uff0c\u3001\uff1a\uff1b\uff01\uff1f]"
+    r"|[\u00e0-\u00ff]\u20ac|[\u00c0-\u00d6\u00d8-\u00de][^\x00-\x7f]|[a-z\u00df-\u00ff][\u00c0-\u00d6\u00d8-\u00de]|[\u00e0-\u00ff]{3}"
+    r"|[\u0430-\u044f\u0451][\u0410-\u042f]{2}|[A-Za-z\u00c0-\u00ff][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u00ff]"
+)
+_SUSPECT = re.compile(SUSPECT)
+
+
+def suspect(text: str) -> bool:
+    return not text.isascii() and _SUSPECT.search(text) is not None
+
+
 def _decode_chars(s: str, pair: str) -> str:
     """Undo 'written as a, read as b' for the characters that b can express; others stay."""
     back = _STATE["back"].get(pair)
@@ -184,7 +198,7 @@ def _recover_lost(text: str) -> str:
 
 def repair_text(text: str) -> tuple[str, int, str | None]:
     """(restored text, garbled spans, most frequent pair)."""
-    if text.isascii():
+    if not suspect(text):
         return text, 0, None
     state = _state()
     hits = list(state["machine"].iter(text))
@@ -292,8 +306,8 @@ def repair(records: DataFrame, id_col: str = "result_id", text_col: str = "text"
         for part in texts:
             yield pd.DataFrame([repair_text(t) if t else (t, 0, None) for t in part], columns=["text", "hits", "pair"])
 
-    # only texts with a character outside ASCII go to Python
-    fixed = src.withColumn("_r", run(F.when(F.col("_t").rlike(r"[^\x00-\x7F]"), F.col("_t"))))
+    # only suspect texts go to Python
+    fixed = src.withColumn("_r", run(F.when(F.col("_t").rlike(SUSPECT), F.col("_t"))))
     return fixed.select(id_col, F.coalesce("_r.text", "_t").alias("text"), F.coalesce("_r.hits", F.lit(0)).alias("hits"), F.col("_r.pair").alias("pair"))
 
 

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import table
 
-from . import garble, mix, prose, tokenize, unify
+from . import garble, language, mix, prose, tokenize, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "collectors").groupBy(F.lower("source").alias("host")).agg(F.max("kind").alias("kind"))
+
+
 def queries() -> dict[str, Query]:
     t = table
     return {
@@ -21,6 +26,8 @@ def queries() -> dict[str, Query]:
         "p1_draw": lambda s, d: mix.draw(t(s, d, "extraction_results"), t(s, d, "domain_config")),
         "p2_found": lambda s, d: garble.found(t(s, d, "extraction_results")),
         "p2_repair": lambda s, d: garble.repair(t(s, d, "extraction_results")),
+        "p3_found": lambda s, d: language.found(t(s, d, "extraction_results"), _hosts(s, d), t(s, d, "quality_config")),
+        "p3_languages": lambda s, d: language.classify(t(s, d, "extraction_results"), _hosts(s, d)),
         "p7_found": lambda s, d: prose.found(t(s, d, "extraction_results")),
         "p7_statistics": lambda s, d: prose.assess(t(s, d, "extraction_results")),
         "p8_ids": lambda s, d: tokenize.encode_corpus(t(s, d, "documents")),
