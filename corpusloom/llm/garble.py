@@ -140,10 +140,14 @@ SUSPECT = (
     r"|[\u0430-\u044f\u0451][\u0410-\u042f]{2}|[A-Za-z\u00c0-\u00ff][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u00ff]"
 )
 _SUSPECT = re.compile(SUSPECT)
+_OUTSIDE = re.compile(r"[^\x00-\x7f]+")
 
 
 def suspect(text: str) -> bool:
-    return not text.isascii() and _SUSPECT.search(text) is not None
+    """SUSPECT, searched only around characters outside ASCII, which all its branches need."""
+    if text.isascii():
+        return False
+    return any(_SUSPECT.search(text, max(0, m.start() - 1), m.end() + 1) for m in _OUTSIDE.finditer(text))
 
 
 def _decode_chars(s: str, pair: str) -> str:

@@ -46,6 +46,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[㐀-鿿]")
 _CYR = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
+_OTHER_SCRIPT = re.compile("[Ѐ-ӿ㐀-鿿]")
 _RU, _ZH = LANGS.index("ru"), LANGS.index("zh")
 
 
@@ -54,7 +55,7 @@ def scores(text: str, words: list[str] | None = None) -> list[float]:
     out = [0.0] * len(LANGS)
     if not text:
         return out
-    if not text.isascii():
+    if _OTHER_SCRIPT.search(text):
         # scripts: one hanzi carries about as much as two letters; names in Latin letters are common everywhere
         if _CJK.search(text):
             cjk = len(_CJK.findall(text))
@@ -69,10 +70,16 @@ def scores(text: str, words: list[str] | None = None) -> list[float]:
     low = text.lower()
     if words is None:
         words = _WORD.findall(low)
-    for w, n in Counter(w for w in words if w in _OF).items():
-        for k, v in _OF[w]:
-            if k != _RU:
+    known = [w for w in words if w in _OF]
+    if len(known) > 40:
+        for w, n in Counter(known).items():
+            for k, v in _OF[w]:
                 out[k] += v * min(n, 4)
+    else:
+        for w in known:
+            for k, v in _OF[w]:
+                out[k] += v
+    out[_RU] = 0.0
     if not low.isascii():
         for c in set(low) & _LETTER_OF.keys():
             n = min(low.count(c), 5)

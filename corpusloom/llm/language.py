@@ -45,7 +45,7 @@ LEAN = 20.0
 PRIOR_WEIGHT = 0.5
 SUFFIX_BONUS = 2.0
 
-_CUT = re.compile(r"(?<=[.!?。！？])[\"”»’)]*\s+|(?<=[。！？])|\n{2,}")
+_CUT = re.compile(r"[.!?][\"”»’)]*\s+|[。！？]|\n{2,}")
 _BREAK = re.compile(r"[-¬­=]\n(?=\w)")
 
 
@@ -67,10 +67,10 @@ def sentence_evidence(text: str) -> list[tuple[int, int, list[float]]]:
             continue
         start = text.find(s, at)
         at = start + len(s)
-        flat = _BREAK.sub("", s)
-        n = sum(map(len, s.split()))
+        flat = _BREAK.sub("", s) if "\n" in s else s
+        n = len(s) - s.count(" ") - s.count("\n")
         ll = lm.scores(flat)
-        if s.count("\ufffd") > 0.25 * n:
+        if "\ufffd" in s and s.count("\ufffd") > 0.25 * n:
             # the letters are lost: only scripts without Latin letters lose that many, and Chinese has no spaces
             ll = [0.0] * len(LANGS)
             ll[LANGS.index("ru" if s.count(" ") > 0.09 * n else "zh")] = 20.0
@@ -86,9 +86,10 @@ def sentence_evidence(text: str) -> list[tuple[int, int, list[float]]]:
 
 
 def evidence(records: DataFrame) -> DataFrame:
-    """Adds flat arrays ``starts``, ``chars``, ``ll`` (one stretch of LANGS per sentence) and ``top``. Map-only."""
+    """Adds flat arrays ``starts``, ``chars``, ``ll`` (one stretch of LANGS per sentence), ``top`` and the
+    statistics of problem 7 in ``stats``, so that each text is read once. Map-only."""
 
-    @F.pandas_udf("starts array<int>, chars array<int>, ll array<float>, top int")
+    @F.pandas_udf(f"starts array<int>, chars array<int>, ll array<float>, top int, {prose.SCHEMA.replace('lang string', 'text_lang string')}")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             rows = []
@@ -100,14 +101,36 @@ def evidence(records: DataFrame) -> DataFrame:
                 rows.append(([x[0] for x in s], [x[1] for x in s], [v for x in s for v in x[2]], top))
             out = pd.DataFrame(rows, columns=["starts", "chars", "ll", "top"])
             out["top"] = out["top"].astype("Int32")
-            yield out
+            stats = prose.as_frame([prose.measure(t) for t in part]).rename(columns={"lang": "text_lang"})
+            yield pd.concat([out, stats], axis=1)
 
-    return records.withColumn("_e", run(F.col("text"))).select(*[c for c in records.columns if c != "text"], "_e.*")
+    e = records.withColumn("_e", run(F.col("text"))).select(*[c for c in records.columns if c != "text"], "_e.*")
+    stats = F.struct(F.col("text_lang").alias("lang"), *prose.NAMES[1:])
+    return e.select(*[c for c in records.columns if c != "text"], "starts", "chars", "ll", "top", stats.alias("stats"))
 
 
 _RESULT = "lang string, confidence double, shares map<string,double>, stretches array<struct<start:int,chars:int,lang:string,confidence:double>>"
 
 
+def _shares_only(chars: pd.Series, ll: pd.Series, prior: pd.Series) -> pd.DataFrame:
+    """As ``_fuse`` without the stretches, for a whole batch at once."""
+    k = len(LANGS)
+    count = np.array([0 if c is None else len(c) for c in chars])
+    row = np.repeat(np.arange(len(count)), count)
+    if not len(row):
+        return pd.DataFrame({"lang": [None] * len(count), "shares": [{}] * len(count)})
+    x = np.concatenate([np.asarray(v, dtype=float) for v in ll if v is not None and len(v)]).reshape(-1, k)
+    n = np.concatenate([np.asarray(c, dtype=float) for c in chars if c is not None and len(c)])
+    own = x.max(axis=1) != x.min(axis=1)
+    g = (x + np.stack([np.asarray(p, dtype=float) for p in prior])[row]).argmax(axis=1)
+    size = np.zeros((len(count), k))
+    np.add.at(size, (row[own], g[own]), n[own])
+    total = np.maximum(1.0, size.sum(axis=1))
+    top = size.argmax(axis=1)
+    shares = [{LANGS[j]: round(v / t, 6) for j, v in enumerate(s) if v > 0} for s, t in zip(size.tolist(), total.tolist(), strict=True)]
+    return pd.DataFrame({"lang": [LANGS[a] if s else None for a, s in zip(top, shares, strict=True)], "shares": shares})
+
+
 def _fuse(starts: pd.Series, chars: pd.Series, ll: pd.Series, prior: pd.Series) -> pd.DataFrame:
     """Posterior of each sentence; shares and the language of the record from them."""
     rows = []
@@ -164,15 +187,27 @@ def priors(seen: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame, Dat
 
 def classify(records: DataFrame, hosts: DataFrame, host_col: str = "source", address_col: str = "file_path") -> DataFrame:
     """Per delivery: language, confidence, label, shares by language, and stretches with language and confidence."""
-    k = len(LANGS)
+    return fuse(gather(records, host_col, address_col), hosts)
+
+
+def gather(records: DataFrame, host_col: str = "source", address_col: str = "file_path") -> DataFrame:
+    """Evidence of every delivery, checkpointed: numbers only, read by the priors, the fusion and problem 7's fit."""
     src = records.select("result_id", F.lower(F.col(host_col)).alias("host"), F.coalesce(label_code(F.col("language")), F.lit("")).alias("label"), F.col(address_col).alias("address"), "text")
-    e = checkpoint(evidence(src))  # numbers only; read by the priors and by the fusion
+    return checkpoint(evidence(src))
+
+
+def fuse(e: DataFrame, hosts: DataFrame, stretches: bool = True) -> DataFrame:
+    """Evidence with priors and labels; see ``classify``. Cases need no stretches."""
+    k = len(LANGS)
     per_host, per_label, _ = priors(e.where("top is not null").select("host", "label", "top"), hosts)
     suffix = F.regexp_extract(F.col("address"), r"^[a-z]+://[^/:]+\.([a-z]{2})(?:[/:]|$)", 1)
     bonus = F.array(*[F.when(suffix == g, F.lit(SUFFIX_BONUS)).otherwise(0.0) for g in LANGS])
     e = e.join(per_host, "host", "left").join(per_label, "label", "left")
     zero = F.array(*[F.lit(0.0)] * k)
     prior = F.zip_with(F.zip_with(F.coalesce("host_prior", zero), F.coalesce("label_prior", zero), lambda x, y: x + y), bonus, lambda x, y: (x + y) * PRIOR_WEIGHT)
+    if not stretches:
+        e = e.withColumn("_f", F.pandas_udf(_shares_only, "lang string, shares map<string,double>")("chars", "ll", prior))
+        return e.select("result_id", F.nullif("label", F.lit("")).alias("label"), "_f.lang", "_f.shares")
     e = e.withColumn("_f", F.pandas_udf(_fuse, _RESULT)("starts", "chars", "ll", prior))
     return e.select("result_id", F.nullif("label", F.lit("")).alias("label"), "_f.lang", F.coalesce("_f.confidence", F.lit(0.0)).alias("confidence"), "_f.shares", "_f.stretches")
 
@@ -184,12 +219,14 @@ def active_profile(config: DataFrame) -> DataFrame:
 
 def found(records: DataFrame, hosts: DataFrame, config: DataFrame) -> DataFrame:
     """(result_id, lang): texts with a missing or wrong label, and every language of mixed texts."""
-    c = classify(records, hosts).where("lang is not null").join(F.broadcast(active_profile(config)))  # one row
+    e = gather(records)
+    c = fuse(e, hosts, stretches=False).where("lang is not null").join(F.broadcast(active_profile(config)))  # one row
     major = F.expr("filter(map_entries(shares), x -> x.value >= threshold and array_contains(allowed_languages, x.key)).key")
     c = c.withColumn("major", major)
     mixed = F.size("major") >= 2
     wrong = F.col("label").isNull() | (F.col("label") != F.col("lang"))
     langs = F.when(mixed, F.col("major")).when(wrong, F.array("lang"))
     cases = c.select("result_id", F.explode(langs).alias("lang")).distinct()
-    other = prose.found(records).select("result_id")
+    stats = e.select("result_id", "stats.*")
+    other = prose.kinds(prose.score(stats, prose.fit(stats))).select("result_id")
     return cases.join(other, "result_id", "left_anti")

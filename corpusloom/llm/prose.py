@@ -120,7 +120,7 @@ def measure(text: str | None) -> tuple | None:
         return None
     words = words_of(text)
     lang, _ = lm.best(text, words)
-    common = sum(w in lm._OF for w in words) / len(words) if words else 0.0
+    common = len([w for w in words if w in lm._OF]) / len(words) if words else 0.0
     if lang == "zh":
         common = _zh_common(text)
     if common < FEW_COMMON and not text.isascii():
@@ -170,20 +170,27 @@ def _row(text: str, words: list[str], lang: str | None, common: float, form: str
     )
 
 
-_SCHEMA = "lang string, word_count long, " + ", ".join(f"{d} double" for d in DIMS) + ", distinct_share double, form string"
+SCHEMA = "lang string, word_count long, " + ", ".join(f"{d} double" for d in DIMS) + ", distinct_share double, form string"
+
+
+NAMES = ["lang", "word_count", *DIMS, "distinct_share", "form"]
+
+
+def as_frame(rows: list[tuple | None]) -> pd.DataFrame:
+    """Rows of ``measure`` as a frame of the statistics' schema."""
+    empty = (None,) * len(NAMES)
+    out = pd.DataFrame([r or empty for r in rows], columns=NAMES)
+    out["word_count"] = out["word_count"].astype("Int64")
+    return out.astype({d: "float64" for d in (*DIMS, "distinct_share")})
 
 
 def statistics(records: DataFrame, id_col: str = "result_id", text_col: str = "text") -> DataFrame:
     """(id, statistics...): one row per input row; map-only."""
 
-    @F.pandas_udf(_SCHEMA)
+    @F.pandas_udf(SCHEMA)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["lang", "word_count", *DIMS, "distinct_share", "form"]
-        empty = (None,) * len(names)
         for part in texts:
-            out = pd.DataFrame([measure(t) or empty for t in part], columns=names)
-            out["word_count"] = out["word_count"].astype("Int64")
-            yield out.astype({d: "float64" for d in (*DIMS, "distinct_share")})
+            yield as_frame([measure(t) for t in part])
 
     return records.select(id_col, run(F.col(text_col)).alias("_s")).select(id_col, "_s.*")
 
@@ -251,6 +258,11 @@ def assess(records: DataFrame) -> DataFrame:
     return score(stats, fit(stats))
 
 
+def kinds(assessed: DataFrame) -> DataFrame:
+    """(result_id, kind) of the records whose text is not prose."""
+    return assessed.where("kind is not null").select("result_id", "kind").distinct()
+
+
 def found(records: DataFrame) -> DataFrame:
     """(result_id, kind) of the records whose text is not prose."""
-    return assess(records).where("kind is not null").select("result_id", "kind").distinct()
+    return kinds(assess(records))
