@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import table
 
-from . import garble, language, mix, prose, scan, tokenize, unify
+from . import garble, language, leak, mix, prose, scan, tokenize, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,8 @@ def queries() -> dict[str, Query]:
         "p7_statistics": lambda s, d: prose.assess(t(s, d, "extraction_results")),
         "p8_ids": lambda s, d: tokenize.encode_corpus(t(s, d, "documents")),
         "p8_roundtrip": lambda s, d: tokenize.decode_corpus(tokenize.encode_corpus(t(s, d, "documents"))),
+        "p9_found": lambda s, d: leak.found(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p9_leaks": lambda s, d: leak.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p10_found": lambda s, d: unify.found(t(s, d, "documents")),
         "p10_unify": lambda s, d: unify.unify(t(s, d, "documents")),
     }
@@ -83,5 +85,12 @@ def oracle_sql() -> dict[str, str]:
               coalesce(m, 0)::BIGINT AS mixed_chars, round(coalesce(m, 0)::DOUBLE / nullif(sum(coalesce(m, 0)) OVER (), 0), 6) AS actual_share,
               coalesce(short, false) AS short
             FROM epochs e LEFT JOIN got USING (domain)""",
+        "p9_found": r"""
+            WITH w AS (SELECT 'd' AS k, doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pN\s]', '', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL
+              UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pN\s]', '', 'g'), '\s+'), lambda x: x <> '') FROM eval_items WHERE text IS NOT NULL),
+            g AS (SELECT DISTINCT k, id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT k, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+            n AS (SELECT id, count(*) AS n FROM g WHERE k = 'i' GROUP BY id)
+            SELECT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s AND d.k = 'd' AND i.k = 'i' JOIN n ON n.id = i.id
+            GROUP BY d.id, i.id, n.n HAVING count(*) * 3 >= n.n""",
         "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
