@@ -81,8 +81,8 @@ def form_of(text: str, words: list[str]) -> str:
     """Outer form of a text that has few sentences: list, table or junk."""
     lines = [x for x in text.split("\n") if x.strip()]
     n = len(words)
-    solid = sum(not c.isspace() for c in text)
-    letters = sum(c.isalnum() for c in text)
+    solid = sum(map(len, text.split()))
+    letters = sum(map(len, words))
     if n == 0 or letters < 0.55 * solid and not any(_cells(x) > 2 for x in lines[:50]):
         return "junk"
     if n >= 12 and len(set(words)) / n < 0.25 and not (len(lines) > 3 and sum(bool(_BULLET.match(x)) for x in lines) > 0.7 * len(lines) and len(set(lines)) > 0.7 * len(lines)):
@@ -95,7 +95,7 @@ def form_of(text: str, words: list[str]) -> str:
         cells = [_cells(x) for x in lines]
         rules = sum(c < 0 for c in cells)
         rows = [c for c in cells if c >= 3]
-        digits = sum(c.isdigit() for c in text)
+        digits = sum(map(text.count, _DIGITS))
         pairs = [c for c in cells if c == 2]
         if len(rows) + rules >= 0.6 * len(lines) and len(rows) >= 2:
             return "table"
@@ -154,18 +154,19 @@ def _row(text: str, words: list[str], lang: str | None, common: float, form: str
     solid = max(1, sum(map(len, text.split())))
     alnum = sum(map(len, words))
     triples = max(1, n - 2)
+    distinct = len(set(words))
     return (
         lang or "none",
         n,
         alnum / n if n else 0.0,
         max(0.0, (solid - alnum) / solid),
-        math.log(1 + len(set(words))) / math.log(1 + n) if n else 0.0,
+        math.log(1 + distinct) / math.log(1 + n) if n else 0.0,
         sum(map(_ends, lines)) / max(1, len(lines)),
         common,
         sum(map(text.count, _DIGITS)) / solid,
         min(1.0, sum(map(text.count, _END)) / max(1, n)),
-        len(set(zip(words, words[1:], words[2:], strict=False))) / triples if n > 2 else 1.0,
-        len(set(words)) / n if n else 0.0,
+        len(set(zip(words, words[1:], words[2:]))) / triples if n > 2 else 1.0,
+        distinct / n if n else 0.0,
         form,
     )
 

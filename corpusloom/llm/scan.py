@@ -43,6 +43,7 @@ MARKS = "-¬­‐"
 _WORD = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(r"[^\W_]+-[^\W_]+")
 _DIVIDED = re.compile(rf"([^\W\d_]+)([{MARKS}])[ \t]*\n[ \t]*(?=[^\W\d_])([^\W_]+)")
+_MARKED_END = re.compile(rf"[{MARKS}][ \t]*\n")
 _PAGE = re.compile(
     r"^\s*(?:[\[—–\-(]*\s*(?:p\.|pp\.|page|pag\.|pág\.|s\.|seite|стр\.|第)?\s*\d{1,4}\s*(?:(?:of|/|de|von|sur|из)\s*\d{1,4})?\s*[\])—–\-页]*)\s*$"
     r"|^.*\S\s{3,}\d{1,4}\s*$|^\s*\d{1,4}\s+\|\s+\S.*$|^.*\S\s+\|\s+\d{1,4}\s*$",
@@ -62,7 +63,7 @@ DELTAS = tuple((seen, true, anagram(true) - anagram(seen)) for true, seen in CON
 
 def tokens(text: str) -> list[str]:
     """Lower-case words of a text with at least three letters or digits, divided words joined."""
-    joined = _DIVIDED.sub(r"\1\3", text) if "\n" in text else text
+    joined = _DIVIDED.sub(r"\1\3", text) if _MARKED_END.search(text) else text
     return [w for w in _WORD.findall(joined.lower()) if 2 < len(w) <= 40 and not w.isdigit()]
 
 
@@ -70,30 +71,24 @@ def vocabulary(records: DataFrame) -> DataFrame:
     """(kind, word, n, h): counts of words 'w', hyphenated forms 'c' and line-end divisions 'd'."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts = {"w": Counter(), "c": Counter(), "d": Counter()}
 
         def out() -> pd.DataFrame:
-            rows = [(k, w, n, anagram(w) if k == "w" else 0) for (k, w), n in counts.items()]
+            rows = [(k, w, n, anagram(w) if k == "w" else 0) for k, c in counts.items() for w, n in c.items()]
+            for c in counts.values():
+                c.clear()
             return pd.DataFrame(rows, columns=["kind", "word", "n", "h"]).astype({"n": "int64", "h": "int64"})
 
         for part in parts:
-            words: Counter = Counter()
             for t in part["text"]:
-                words.update(tokens(t))
+                counts["w"].update(tokens(t))
                 if "-" in t:
-                    low = t.lower()
-                    for c in _COMPOUND.findall(low):
-                        counts["c", c] += 1
-                    for a, mark, b in _DIVIDED.findall(low):
-                        if mark == "-":
-                            counts["d", f"{a}-{b}"] += 1
-            for w, n in words.items():
-                counts["w", w] += n
-            if len(counts) > FLUSH:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
+                    counts["c"].update(c for piece in t.lower().split() if "-" in piece for c in _COMPOUND.findall(piece))
+                    if _MARKED_END.search(t):
+                        counts["d"].update(f"{a}-{b}" for a, mark, b in _DIVIDED.findall(t.lower()) if mark == "-")
+                if len(counts["w"]) > FLUSH:
+                    yield out()
+        yield out()
 
     src = records.where("text is not null").select("text")
     part = src.mapInPandas(run, "kind string, word string, n long, h long")
@@ -147,7 +142,7 @@ def mend(text: str, wrong: dict[str, str], divided: dict[str, bool]) -> tuple[st
     n_page = n_div = 0
     if "\n" in text or "\x0c" in text:
         lines = text.split("\n")
-        gone = furniture(lines)
+        gone = furniture(lines) if len(lines) > 2 else set()
         n_page = len(gone)
         if gone or "\x0c" in text:
             kept = []
@@ -165,7 +160,8 @@ def mend(text: str, wrong: dict[str, str], divided: dict[str, bool]) -> tuple[st
                 return a + b
             return f"{a}-{b}"
 
-        body = _DIVIDED.sub(join, body)
+        if _MARKED_END.search(body):
+            body = _DIVIDED.sub(join, body)
         paragraphs: list[str] = []
         for block in re.split(r"\n\s*\n", body):
             flat = " ".join(x.strip() for x in block.split("\n") if x.strip())
@@ -176,7 +172,7 @@ def mend(text: str, wrong: dict[str, str], divided: dict[str, bool]) -> tuple[st
             else:
                 paragraphs.append(flat)
         text = "\n\n".join(paragraphs)
-    bad = [w for w in set(_WORD.findall(text)) if w.lower() in wrong]
+    bad = not wrong.keys().isdisjoint(_WORD.findall(text.lower()))
     n_bad = 0
     if bad:
 
