@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import table
 
-from . import dup, garble, language, leak, mix, prose, scan, tokenize, unify
+from . import dup, garble, language, leak, mix, prose, scan, subject, tokenize, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,8 @@ def queries() -> dict[str, Query]:
         "p3_languages": lambda s, d: language.classify(t(s, d, "extraction_results"), _hosts(s, d)),
         "p4_found": lambda s, d: dup.found(t(s, d, "extraction_results")),
         "p4_groups": lambda s, d: dup.groups(t(s, d, "extraction_results")),
+        "p5_found": lambda s, d: subject.found(t(s, d, "extraction_results"), t(s, d, "domain_keywords")),
+        "p5_composition": lambda s, d: subject.composition(t(s, d, "extraction_results"), t(s, d, "domain_keywords")),
         "p6_found": lambda s, d: scan.found(t(s, d, "extraction_results")),
         "p6_repair": lambda s, d: scan.repair(t(s, d, "extraction_results")),
         "p7_found": lambda s, d: prose.found(t(s, d, "extraction_results")),
