@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import activity_queries, balance_queries, dedup_queries, literal_queries, text_queries
+
+_PARTS = (text_queries, dedup_queries, balance_queries, activity_queries, literal_queries)
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL: dict = {k: f for p in _PARTS for k, f in p.SQL.items()}
