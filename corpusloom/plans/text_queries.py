@@ -12,7 +12,6 @@ from corpusloom.sources.tables import table
 from ._registry import Registry
 
 R = Registry()
-T = F.col("text")
 W = r"[\p{L}\p{N}_]+"
 TOK = r"[^ \t\n\r\f]+"
 
@@ -32,45 +31,45 @@ SENT = r"list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s
 WORDS = f"regexp_extract_all(lower(text), '{W}')"
 FW = "('" + "','".join(Q.FUNCTION_WORDS) + "')"
 
-each("token_count", lambda: X.token_count(T), N_TOK)
-each("quality_flag", lambda: Q.quality_flag(X.token_count(T)), f"CASE WHEN {N_TOK} < 100 THEN 'low_quality' WHEN {N_TOK} < 500 THEN 'flagged' ELSE 'ok' END")
-each("normalize_text", lambda: X.normalize_text(T), NORM)
-each("content_hash", lambda: F.concat_ws(":", F.md5(T), F.sha2(T, 256), F.sha1(T)), "concat_ws(':', md5(text), sha256(text), sha1(text))")
+each("token_count", lambda: X.token_count(F.col("text")), N_TOK)
+each("quality_flag", lambda: Q.quality_flag(X.token_count(F.col("text"))), f"CASE WHEN {N_TOK} < 100 THEN 'low_quality' WHEN {N_TOK} < 500 THEN 'flagged' ELSE 'ok' END")
+each("normalize_text", lambda: X.normalize_text(F.col("text")), NORM)
+each("content_hash", lambda: F.concat_ws(":", F.md5(F.col("text")), F.sha2(F.col("text"), 256), F.sha1(F.col("text"))), "concat_ws(':', md5(text), sha256(text), sha1(text))")
 each("title_norm_simple", lambda: X.title_norm_simple(F.col("title")), r"trim(regexp_replace(lower(title), '[^\p{L}\p{N}_ ]', '', 'g'), ' ')")
 STOPS = "('" + "','".join(X.TITLE_STOP) + "', '')"
 TITLE = rf"array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_ ]', '', 'g'), ' '), ' +'), lambda w: w NOT IN {STOPS}), ' ')"
 each("title_norm", lambda: X.title_norm(F.col("title")), TITLE)
 each("safe_filename", lambda: X.safe_filename(F.col("title")), r"substring(regexp_replace(trim(regexp_replace(title, '[^\p{L}\p{N} ._-]', '', 'g'), ' '), '[ _]+', '_', 'g'), 1, 128)")
-each("text_integrity", lambda: F.coalesce((F.octet_length(T) >= 100) & (F.trim(T) != ""), F.lit(False)), "coalesce(octet_length(encode(text)) >= 100 AND trim(text, ' ') <> '', false)")
-each("extract_date", lambda: X.extract_date(T), r"coalesce(nullif(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(text, '([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 1), ''), nullif(regexp_extract(text, '\b((?:19|20)[0-9]{2})\b', 1), ''))")
-R.add("min_length_gate", lambda s, d: docs(s, d).where(F.length(F.trim(T)) >= 1000).select("doc_id", F.length(F.trim(T)).cast("long").alias("n")), "SELECT doc_id, length(trim(text, ' '))::BIGINT AS n FROM documents WHERE length(trim(text, ' ')) >= 1000")
+each("text_integrity", lambda: F.coalesce((F.octet_length(F.col("text")) >= 100) & (F.trim(F.col("text")) != ""), F.lit(False)), "coalesce(octet_length(encode(text)) >= 100 AND trim(text, ' ') <> '', false)")
+each("extract_date", lambda: X.extract_date(F.col("text")), r"coalesce(nullif(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(text, '([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 1), ''), nullif(regexp_extract(text, '\b((?:19|20)[0-9]{2})\b', 1), ''))")
+R.add("min_length_gate", lambda s, d: docs(s, d).where(F.length(F.trim(F.col("text"))) >= 1000).select("doc_id", F.length(F.trim(F.col("text"))).cast("long").alias("n")), "SELECT doc_id, length(trim(text, ' '))::BIGINT AS n FROM documents WHERE length(trim(text, ' ')) >= 1000")
 KEYS = ["latency", "volatility", "liquidity", "risk"]
-R.add("keyword_filter", lambda s, d: docs(s, d).where(F.size(X.keyword_hits(T, KEYS)) > 0).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'latency') OR contains(lower(text), 'volatility') OR contains(lower(text), 'liquidity') OR contains(lower(text), 'risk')")
+R.add("keyword_filter", lambda s, d: docs(s, d).where(F.size(X.keyword_hits(F.col("text"), KEYS)) > 0).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'latency') OR contains(lower(text), 'volatility') OR contains(lower(text), 'liquidity') OR contains(lower(text), 'risk')")
 R.add(
     "keyword_tags",
-    lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.array_join(X.keyword_hits(T, KEYS), ",").alias("tags")),
+    lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.array_join(X.keyword_hits(F.col("text"), KEYS), ",").alias("tags")),
     "SELECT doc_id, array_to_string(list_filter(['latency', 'liquidity', 'risk', 'volatility'], lambda k: contains(lower(text), k)), ',') AS tags FROM documents WHERE text IS NOT NULL",
 )
 RULES = [("risk", ["risk", "margin"]), ("markets", ["order book", "spread"]), ("tokens", ["token", "pool"])]
 each(
-    "route_by_rules", lambda: F.when(T.isNull(), "general").otherwise(X.cascade(T, RULES, "general")),
+    "route_by_rules", lambda: F.when(F.col("text").isNull(), "general").otherwise(X.cascade(F.col("text"), RULES, "general")),
     "CASE WHEN contains(lower(text), 'risk') OR contains(lower(text), 'margin') THEN 'risk' WHEN contains(lower(text), 'order book') OR contains(lower(text), 'spread') THEN 'markets' WHEN contains(lower(text), 'token') OR contains(lower(text), 'pool') THEN 'tokens' ELSE 'general' END",
 )
 R.add(
     "quality_limits",
-    lambda s, d: docs(s, d).select("doc_id", X.token_count(T).between(50, 100_000).alias("tokens_ok"), F.coalesce((F.length(F.regexp_replace(T, r"[ \t\n\r\f]+", "")) / F.nullif(X.token_count(T), F.lit(0))).between(3.0, 12.0), F.lit(False)).alias("word_length_ok")),
+    lambda s, d: docs(s, d).select("doc_id", X.token_count(F.col("text")).between(50, 100_000).alias("tokens_ok"), F.coalesce((F.length(F.regexp_replace(F.col("text"), r"[ \t\n\r\f]+", "")) / F.nullif(X.token_count(F.col("text")), F.lit(0))).between(3.0, 12.0), F.lit(False)).alias("word_length_ok")),
     rf"SELECT doc_id, {N_TOK} BETWEEN 50 AND 100000 AS tokens_ok, coalesce(length(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) / nullif({N_TOK}, 0) BETWEEN 3.0 AND 12.0, false) AS word_length_ok FROM documents",
 )
-each("mt_disclaimer", lambda: F.coalesce(T.rlike(Q.DISCLAIMERS), F.lit(False)), f"coalesce(regexp_matches(text, '{Q.DISCLAIMERS}'), false)")
-each("mt_func_ratio", lambda: F.round(Q.func_ratio(T), 6), f"round(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter({WORDS}, lambda w: w IN {FW}))::DOUBLE / len({WORDS}) END, 6)", "")
+each("mt_disclaimer", lambda: F.coalesce(F.col("text").rlike(Q.DISCLAIMERS), F.lit(False)), f"coalesce(regexp_matches(text, '{Q.DISCLAIMERS}'), false)")
+each("mt_func_ratio", lambda: F.round(Q.func_ratio(F.col("text")), 6), f"round(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter({WORDS}, lambda w: w IN {FW}))::DOUBLE / len({WORDS}) END, 6)", "")
 LONGS = f"list_filter({SENT}, lambda s: len(string_split(s, ' ')) >= 5)"
 MISS = f"CASE WHEN len({LONGS}) = 0 THEN 0.0 ELSE len(list_filter({LONGS}, lambda s: lower(string_split(s, ' ')[1]) NOT IN ('a', 'an', 'the')))::DOUBLE / len({LONGS}) END"
-each("mt_missing_article", lambda: F.round(Q.missing_article(T), 6), f"round({MISS}, 6)")
+each("mt_missing_article", lambda: F.round(Q.missing_article(F.col("text")), 6), f"round({MISS}, 6)")
 TENSE = r"\b(?:is|was|are|were|been|has|have|had) [a-z]+(?:ing|ed)\b"
 TENSES = f"CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(regexp_extract_all(lower(text), '{TENSE}'))::DOUBLE / len({WORDS}) END"
-each("mt_verb_tense", lambda: F.round(Q.verb_tense(T), 6), f"round({TENSES}, 6)")
+each("mt_verb_tense", lambda: F.round(Q.verb_tense(F.col("text")), 6), f"round({TENSES}, 6)")
 RARE = "('" + "','".join(Q.RARE_WORDS) + "')"
-each("mt_rare_word", lambda: F.round(Q.rare_ratio(T), 6), f"round(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter(list_distinct({WORDS}), lambda w: w IN {RARE}))::DOUBLE / len(list_distinct({WORDS})) END, 6)")
+each("mt_rare_word", lambda: F.round(Q.rare_ratio(F.col("text")), 6), f"round(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter(list_distinct({WORDS}), lambda w: w IN {RARE}))::DOUBLE / len(list_distinct({WORDS})) END, 6)")
 GRAMS = f"""SELECT doc_id, max(c) AS top FROM (SELECT doc_id, g, count(*) AS c FROM (
   SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) AS g
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOK}') AS t FROM documents) WHERE len(t) >= 3) GROUP BY ALL) GROUP BY doc_id"""
@@ -99,7 +98,7 @@ R.add(
 def corruption(s, d):
     c = table(s, d, "quality_config").where("active").limit(1).select("non_printable_ratio_threshold", "symbol_ratio_threshold", "word_diversity_threshold")
     j = docs(s, d).select("doc_id", "text").join(F.broadcast(c))  # one row
-    return j.select("doc_id", Q.corruption_score(T, F.col("non_printable_ratio_threshold"), F.col("symbol_ratio_threshold"), F.col("word_diversity_threshold")).alias("score"))
+    return j.select("doc_id", Q.corruption_score(F.col("text"), F.col("non_printable_ratio_threshold"), F.col("symbol_ratio_threshold"), F.col("word_diversity_threshold")).alias("score"))
 
 
 CORRUPT = rf"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE greatest(
@@ -118,14 +117,14 @@ R.add(
 SECT = "['" + "','".join(sorted(Q.SECTIONS)) + "']"
 ACAD = rf"(len(list_filter({SECT}, lambda k: contains(lower(text), k))) + CASE WHEN len(regexp_extract_all(text, '\[[0-9]+\]')) > 5 THEN 2 ELSE 0 END)"
 R.add(
-    "academic_detect", lambda s, d: docs(s, d).where("text is not null").select("doc_id", *[c.alias(n) for c, n in zip(Q.academic(T), ("score", "confidence", "flag"))]),
+    "academic_detect", lambda s, d: docs(s, d).where("text is not null").select("doc_id", *[c.alias(n) for c, n in zip(Q.academic(F.col("text")), ("score", "confidence", "flag"))]),
     f"SELECT doc_id, {ACAD} AS score, round(least(1.0::DOUBLE, {ACAD} / 15.0::DOUBLE), 6) AS confidence, {ACAD} >= 3 AND {ACAD} / 15.0::DOUBLE > 0.3::DOUBLE AS flag FROM documents WHERE text IS NOT NULL",
 )
 R.add(
-    "academic_validate", lambda s, d: docs(s, d).where("text is not null").select("doc_id", (X.token_count(T) >= 200).alias("long_enough"), F.round(1000 * F.size(F.regexp_extract_all(T, F.lit(r"\[[0-9]+\]"), F.lit(0))) / F.greatest(X.token_count(T), F.lit(1)), 4).alias("reference_density"), (F.size(X.keyword_hits(T, list(Q.SECTIONS))) >= 3).alias("sections_ok")),
+    "academic_validate", lambda s, d: docs(s, d).where("text is not null").select("doc_id", (X.token_count(F.col("text")) >= 200).alias("long_enough"), F.round(1000 * F.size(F.regexp_extract_all(F.col("text"), F.lit(r"\[[0-9]+\]"), F.lit(0))) / F.greatest(X.token_count(F.col("text")), F.lit(1)), 4).alias("reference_density"), (F.size(X.keyword_hits(F.col("text"), list(Q.SECTIONS))) >= 3).alias("sections_ok")),
     rf"SELECT doc_id, {N_TOK} >= 200 AS long_enough, round(1000 * len(regexp_extract_all(text, '\[[0-9]+\]'))::DOUBLE / greatest({N_TOK}, 1), 4) AS reference_density, len(list_filter({SECT}, lambda k: contains(lower(text), k))) >= 3 AS sections_ok FROM documents WHERE text IS NOT NULL",
 )
-each("scientific_paper", lambda: F.coalesce((F.size(X.keyword_hits(T, list(Q.SECTIONS))) >= 3) | (T.rlike("(?i)we model|hypothes") & T.rlike(r"\[[0-9]+\]")), F.lit(False)), rf"coalesce(len(list_filter({SECT}, lambda k: contains(lower(text), k))) >= 3 OR (regexp_matches(text, '(?i)we model|hypothes') AND regexp_matches(text, '\[[0-9]+\]')), false)")
+each("scientific_paper", lambda: F.coalesce((F.size(X.keyword_hits(F.col("text"), list(Q.SECTIONS))) >= 3) | (F.col("text").rlike("(?i)we model|hypothes") & F.col("text").rlike(r"\[[0-9]+\]")), F.lit(False)), rf"coalesce(len(list_filter({SECT}, lambda k: contains(lower(text), k))) >= 3 OR (regexp_matches(text, '(?i)we model|hypothes') AND regexp_matches(text, '\[[0-9]+\]')), false)")
 SYM = " UNION ALL ".join(
     f"SELECT doc_id, '{k}' AS type, unnest({f'list_filter(regexp_extract_all(text, {chr(39)}{W}{chr(39)}), lambda w: regexp_matches(w, {chr(39)}{p}{chr(39)}))' if k == 'ticker' else f'regexp_extract_all(text, {chr(39)}{p}{chr(39)})'}) AS symbol FROM documents"
     for k, (p, _) in E.SYMBOL_PATTERNS.items()
@@ -157,12 +156,12 @@ R.add(
 R.add("symbol_glossary", lambda s, d: E.symbols(docs(s, d), "doc_id", "text").groupBy("symbol", "type").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), f"SELECT symbol, type, sum(n)::BIGINT AS occurrences, count(*) AS docs, min(doc_id) AS first_doc FROM ({SYMS}) GROUP BY ALL")
 FORM = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS formula FROM documents" for k, p in E.FORMULA_PATTERNS.items())
 R.add("formulas", lambda s, d: E.formulas(docs(s, d), "doc_id", "text"), FORM)
-R.add("formulas_light", lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(T, F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0)))).alias("formula")), f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{E.FORMULA_PATTERNS['assignment']}'))) AS formula FROM documents")
+R.add("formulas_light", lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0)))).alias("formula")), f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{E.FORMULA_PATTERNS['assignment']}'))) AS formula FROM documents")
 OPS = r"least(1.0::DOUBLE, 0.1::DOUBLE * len(regexp_extract_all(formula, '\\[a-zA-Z]+')) + 0.05::DOUBLE * len(regexp_extract_all(formula, '[-+*/=^<>]')))"
 R.add("formula_stats", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").where("not contains(formula, '{')").select("type", E.complexity(F.col("formula")).alias("c")).groupBy("type", F.when(F.col("c") < 0.3, "simple").when(F.col("c") < 0.7, "medium").otherwise("complex").alias("bucket")).agg(F.count("*").alias("n")), f"SELECT type, CASE WHEN round({OPS}, 4) < 0.3 THEN 'simple' WHEN round({OPS}, 4) < 0.7 THEN 'medium' ELSE 'complex' END AS bucket, count(*) AS n FROM ({FORM}) WHERE NOT contains(formula, '{{') GROUP BY ALL")
 R.add(
     "enhancement_score",
-    lambda s, d: docs(s, d).where("text is not null").select("doc_id", Q.academic(T)[2].alias("a"), (F.size(F.regexp_extract_all(T, F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0))) > 0).alias("f"), (F.size(F.regexp_extract_all(T, F.lit(E.SYMBOL_PATTERNS["money"][0]), F.lit(0))) > 3).alias("m")).select("doc_id", F.round(F.least(F.lit(1.0), 0.5 + F.when(F.col("f"), 0.1).otherwise(0.0) + F.when(F.col("m"), 0.1).otherwise(0.0) + F.when(F.col("a"), 0.15).otherwise(0.0)), 4).alias("score")),
+    lambda s, d: docs(s, d).where("text is not null").select("doc_id", Q.academic(F.col("text"))[2].alias("a"), (F.size(F.regexp_extract_all(F.col("text"), F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0))) > 0).alias("f"), (F.size(F.regexp_extract_all(F.col("text"), F.lit(E.SYMBOL_PATTERNS["money"][0]), F.lit(0))) > 3).alias("m")).select("doc_id", F.round(F.least(F.lit(1.0), 0.5 + F.when(F.col("f"), 0.1).otherwise(0.0) + F.when(F.col("m"), 0.1).otherwise(0.0) + F.when(F.col("a"), 0.15).otherwise(0.0)), 4).alias("score")),
     rf"SELECT doc_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN len(regexp_extract_all(text, '{E.FORMULA_PATTERNS['assignment']}')) > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '{E.SYMBOL_PATTERNS['money'][0]}')) > 3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {ACAD} >= 3 AND {ACAD} / 15.0::DOUBLE > 0.3::DOUBLE THEN 0.15::DOUBLE ELSE 0 END), 4) AS score FROM documents WHERE text IS NOT NULL",
 )
 
@@ -188,18 +187,18 @@ def _known(g):
 
 R.add(
     "lang_segments",
-    lambda s, d: docs(s, d).select("doc_id", F.explode(Q.sentences(T)).alias("s")).select("doc_id", *[_known(g) for g in LANGW])
+    lambda s, d: docs(s, d).select("doc_id", F.explode(Q.sentences(F.col("text"))).alias("s")).select("doc_id", *[_known(g) for g in LANGW])
     .select("doc_id", F.when(F.greatest(*LANGW) == 0, "unknown").otherwise(F.when(F.col("de") == F.greatest(*LANGW), "de").when(F.col("en") == F.greatest(*LANGW), "en").when(F.col("es") == F.greatest(*LANGW), "es").otherwise("fr")).alias("lang")).groupBy("doc_id", "lang").agg(F.count("*").alias("segments")),
     f"""WITH s AS (SELECT doc_id, unnest({SENT}) AS s FROM documents), n AS (SELECT doc_id, {", ".join(f"len(list_filter(regexp_extract_all(lower(s), '{W}'), lambda w: w IN {tuple(v)})) AS {g}" for g, v in LANGW.items())} FROM s),
       b AS (SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'unknown' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS lang FROM n)
       SELECT doc_id, lang, count(*) AS segments FROM b GROUP BY ALL""",
 )
 R.add(
-    "chunk_chars", lambda s, d: docs(s, d).where("length(text) > 0").select("doc_id", T, F.explode(F.expr("sequence(1, greatest(1, length(text) - 100), 900)")).alias("i")).select("doc_id", ((F.col("i") - 1) / 900).cast("int").cast("long").alias("chunk_no"), F.length(F.expr("substring(text, i, 1000)")).cast("long").alias("n_chars")),
+    "chunk_chars", lambda s, d: docs(s, d).where("length(text) > 0").select("doc_id", F.col("text"), F.explode(F.expr("sequence(1, greatest(1, length(text) - 100), 900)")).alias("i")).select("doc_id", ((F.col("i") - 1) / 900).cast("int").cast("long").alias("chunk_no"), F.length(F.expr("substring(text, i, 1000)")).cast("long").alias("n_chars")),
     "SELECT doc_id, ((i - 1) // 900)::BIGINT AS chunk_no, length(substring(text, i, 1000)) AS n_chars FROM (SELECT doc_id, text, unnest(range(1, greatest(1, length(text) - 100) + 1, 900)) AS i FROM documents WHERE length(text) > 0)",
 )
 R.add(
-    "chunk_headers", lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.posexplode(F.split(T, r"\n\n+")).alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("c").cast("long").alias("n_chars")),
+    "chunk_headers", lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.posexplode(F.split(F.col("text"), r"\n\n+")).alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("c").cast("long").alias("n_chars")),
     r"SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_no, length(unnest(l)) AS n_chars FROM (SELECT doc_id, string_split_regex(text, '\n\n+') AS l FROM documents WHERE text IS NOT NULL)",
 )
 R.add(
@@ -210,6 +209,6 @@ R.add(
             named_struct('done', a.done, 'cur', concat(a.cur, array(l)), 'n', a.n + size(split(l, ' ')))),
         a -> if(size(a.cur) > 0, concat(a.done, array(a.cur)), a.done))""").alias("chunks")).select("doc_id", F.posexplode("chunks").alias("chunk_no", "lines")).select("doc_id", "chunk_no", F.length(F.array_join("lines", "\n")).alias("n_chars")),
 )
-R.add("mask_restore", lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.regexp_extract_all(T, F.lit(r"[0-9][0-9,.]*"), F.lit(0)).alias("h"), F.split(T, r"[0-9][0-9,.]*").alias("p")).select("doc_id", F.expr("concat_ws('', zip_with(p, h, (a, b) -> concat(a, coalesce(b, ''))))").alias("text")), "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+R.add("mask_restore", lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.regexp_extract_all(F.col("text"), F.lit(r"[0-9][0-9,.]*"), F.lit(0)).alias("h"), F.split(F.col("text"), r"[0-9][0-9,.]*").alias("p")).select("doc_id", F.expr("concat_ws('', zip_with(p, h, (a, b) -> concat(a, coalesce(b, ''))))").alias("text")), "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 
 QUERIES, SQL = R.queries, R.sql
