@@ -104,7 +104,7 @@ def report(records: DataFrame, config: DataFrame, seed: int = SEED) -> DataFrame
             "records",
             "chars",
             F.round("target_share", 6).alias("target_share"),
-            F.round("given", 2).alias("planned_chars"),
+            F.round("given", 4).alias("planned_chars"),
             F.round("epochs", 6).alias("epochs"),
             mixed.cast("long").alias("mixed_chars"),
             F.round(mixed / F.nullif(F.sum(mixed).over(everything), F.lit(0)), 6).alias("actual_share"),

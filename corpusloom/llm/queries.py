@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_USABLE} SELECT domain FROM plan WHERE short",
         "p1_draw": f"WITH {_USABLE} SELECT result_id, domain, chars, repeats FROM draws",
         "p1_mix": f"""WITH {_USABLE}, got AS (SELECT domain, sum(chars * repeats) AS m FROM draws GROUP BY domain)
-            SELECT e.domain, e.records, e.chars, round(target_share, 6) AS target_share, round(given, 2) AS planned_chars, round(epochs, 6) AS epochs,
+            SELECT e.domain, e.records, e.chars, round(target_share, 6) AS target_share, round(given, 4) AS planned_chars, round(epochs, 6) AS epochs,
               coalesce(m, 0)::BIGINT AS mixed_chars, round(coalesce(m, 0)::DOUBLE / nullif(sum(coalesce(m, 0)) OVER (), 0), 6) AS actual_share,
               coalesce(short, false) AS short
             FROM epochs e LEFT JOIN got USING (domain)""",
