@@ -114,11 +114,12 @@ def form_of(text: str, words: list[str]) -> str:
     return "junk"
 
 
-def measure(text: str | None) -> tuple | None:
+def measure(text: str | None, words: list[str] | None = None) -> tuple | None:
     """(language, statistics..., form) of one text; None for null and blank texts."""
     if not text or not text.strip():
         return None
-    words = words_of(text)
+    if words is None:
+        words = words_of(text)
     lang, _ = lm.best(text, words)
     common = len([w for w in words if w in lm._OF]) / len(words) if words else 0.0
     if lang == "zh":
