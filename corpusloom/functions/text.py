@@ -18,6 +18,16 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def ngrams(arr: Column, n: int) -> Column:
+    """Array of the n-grams of an array of words, joined by blanks; empty for fewer words.
+
+    The shifted copies are zipped, so that the words are computed n times and not once per n-gram.
+    """
+    count = F.greatest(F.size(arr) - (n - 1), F.lit(0))
+    z = F.arrays_zip(*[F.slice(arr, F.lit(k + 1), count).alias(f"g{k}") for k in range(n)])
+    return F.transform(z, lambda x: F.concat_ws(" ", *[x[f"g{k}"] for k in range(n)]))
+
+
 def token_count(c: Column) -> Column:
     return F.coalesce(F.size(tokens(c)), F.lit(0)).cast("long")
 

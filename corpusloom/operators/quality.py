@@ -50,7 +50,7 @@ def rare_ratio(c: Column) -> Column:
 def top_ngram(df: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
     """(id, top): most repeats of one word n-gram in a text. The grams of one row stay in that row."""
     t = X.tokens(F.lower(F.col(text_col)))
-    grams = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = X.ngrams(t, n)
     g = df.select(id_col, F.explode(grams).alias("g")).groupBy(id_col, "g").agg(F.count("*").alias("c"))
     return g.groupBy(id_col).agg(F.max("c").alias("top"))
 

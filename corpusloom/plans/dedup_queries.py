@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import dedup as D
+from corpusloom.operators import near
 from corpusloom.operators.activity import last_delivery
 from corpusloom.sources.tables import table
 
@@ -106,5 +107,22 @@ R.add("best_extraction", lambda s, d: results(s, d).where("content_hash is not n
 R.add("domain_from_path", lambda s, d: results(s, d).select("result_id", F.coalesce(F.nullif(F.regexp_extract("file_path", "^/corpus/([a-z_]+)/", 1), F.lit("")), F.nullif("directory", F.lit("")), F.lit("unknown")).alias("value")).distinct(), "SELECT DISTINCT result_id, coalesce(nullif(regexp_extract(file_path, '^/corpus/([a-z_]+)/', 1), ''), nullif(directory, ''), 'unknown') AS value FROM extraction_results")
 R.add("url_doc_type", lambda s, d: table(s, d, "collectors").select("source", X.cascade(F.col("source"), [("feed", ["feed"]), ("crawl", ["crawl", "scan"]), ("pull", ["pull"])], "other").alias("value")), "SELECT source, CASE WHEN contains(lower(source), 'feed') THEN 'feed' WHEN contains(lower(source), 'crawl') OR contains(lower(source), 'scan') THEN 'crawl' WHEN contains(lower(source), 'pull') THEN 'pull' ELSE 'other' END AS value FROM collectors")
 R.add("name_category", lambda s, d: table(s, d, "collectors").groupBy("kind", F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(F.count("*").alias("n"), F.sum(F.col("enabled").cast("int")).alias("enabled")), "SELECT kind, coalesce(domain, 'unknown') AS domain, count(*) AS n, sum(enabled::INT)::BIGINT AS enabled FROM collectors GROUP BY ALL")
+W5 = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+NEAR = f"""WITH r AS (SELECT min(doc_id) AS id, {W5} AS w FROM documents WHERE trim(text, ' ') <> '' GROUP BY text),
+  g AS (SELECT DISTINCT id, array_to_string(w[k:k+4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM r WHERE len(w) >= 5)),
+  n AS (SELECT id, count(*) AS n FROM g GROUP BY id), b AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+  SELECT i, j, round(c::DOUBLE / (x.n + y.n - c), 6) AS jaccard FROM b JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE round(c::DOUBLE / (x.n + y.n - c), 6) >= 0.8"""
+CLASS = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE trim(text, ' ') <> ''"
+R.add("dedup_near_exact", lambda s, d: near.pairs(docs(s, d), "doc_id", "text"), NEAR)
+R.add(
+    "dedup_near", lambda s, d: near.clusters(docs(s, d), "doc_id", "text").select("doc_id", "links"),
+    f"SELECT doc_id, coalesce(links, 0) AS links FROM ({CLASS}) LEFT JOIN (SELECT rep, count(*) AS links FROM (SELECT i AS rep FROM ({NEAR}) UNION ALL SELECT j FROM ({NEAR})) GROUP BY 1) USING (rep)",
+)
+R.add(
+    "dedup_clusters", lambda s, d: near.clusters(docs(s, d), "doc_id", "text").select("doc_id", "cluster"),
+    f"""WITH RECURSIVE e AS (SELECT i AS u, j AS v FROM ({NEAR}) UNION SELECT j, i FROM ({NEAR})), c AS (SELECT u AS a, u AS l FROM e UNION SELECT e.u, c.l FROM c JOIN e ON e.v = c.a), m AS (SELECT a AS rep, min(l) AS l FROM c GROUP BY a)
+      SELECT doc_id, coalesce(l, rep) AS cluster FROM ({CLASS}) LEFT JOIN m USING (rep)""",
+)
+R.add("domains_import", lambda s, d: table(s, d, "domain_config").select("domain", "priority").unionByName(table(s, d, "domain_keywords").select("domain", F.lit(None).cast("string").alias("priority")).join(table(s, d, "domain_config").select("domain"), "domain", "left_anti")), "SELECT domain, priority FROM domain_config UNION ALL SELECT domain, NULL FROM domain_keywords WHERE domain NOT IN (SELECT domain FROM domain_config)")
 
 QUERIES, SQL = R.queries, R.sql

@@ -70,4 +70,12 @@ def rank(v):
 
 given("rank_candidates", [ID, ("query", "string"), ("format", "string"), ("mb", "double"), ("year", "int")], CANDS, rank, """SELECT query, id::BIGINT AS id, s AS score FROM (SELECT *, CASE format WHEN 'pdf' THEN 10 WHEN 'epub' THEN 5 ELSE 0 END + CASE WHEN mb BETWEEN 1 AND 50 THEN 5 ELSE 0 END + CASE WHEN "year" >= 2020 THEN 3 ELSE 0 END AS s FROM v) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) = 1""")
 
+CODE = [(1, "symbol = 'BTC/USD'\nx = 'AAA/BBB'\npair: \"ETH/EUR\", 'BTC/USD'"), (2, ""), (3, None)]
+given(
+    "code_pairs", [ID, ("c", "string")], CODE,
+    lambda v: v.select("id", F.explode(F.filter(F.split("c", "\n"), lambda x: F.lower(x).rlike("symbol|pair|ticker"))).alias("l")).select("id", F.explode(F.regexp_extract_all("l", F.lit("['\"]([A-Z]{2,6}/[A-Z]{2,6})['\"]"), F.lit(1))).alias("pair")).distinct(),
+    "SELECT DISTINCT id::BIGINT AS id, pair FROM (SELECT id, unnest(regexp_extract_all(l, '[''\"]([A-Z]{2,6}/[A-Z]{2,6})[''\"]', 1)) AS pair FROM (SELECT id, unnest(string_split(c, chr(10))) AS l FROM v) WHERE regexp_matches(lower(l), 'symbol|pair|ticker'))",
+)
+given("notebook_summary", [ID, ("j", "string")], [(1, '{"cells": [{"cell_type": "markdown", "source": ["# Head\\n", "text"]}, {"cell_type": "code", "source": ["import numpy\\n", "x = 1"]}]}'), (2, "broken")], lambda v: v.select("id", H.notebook_summary(F.col("j")).alias("s")).select("id", "s.title", "s.code_cells", "s.modules"), None)
+
 QUERIES, SQL = R.queries, R.sql

@@ -193,6 +193,18 @@ R.add(
       b AS (SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'unknown' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS lang FROM n)
       SELECT doc_id, lang, count(*) AS segments FROM b GROUP BY ALL""",
 )
+
+def lang_mixed(s, d):
+    g = R.queries["lang_segments"](s, d)
+    t = g.groupBy("doc_id").agg(F.sum("segments").alias("t"))
+    big = g.join(t, "doc_id").where((F.col("segments") > 0.15 * F.col("t")) & (F.col("lang") != "unknown"))
+    return big.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.count("*").alias("n")).select("doc_id", "langs", (F.col("n") > 1).alias("mixed"))
+
+
+R.add(
+    "lang_mixed", lang_mixed,
+    f"SELECT doc_id, string_agg(lang, ',' ORDER BY lang) AS langs, count(*) > 1 AS mixed FROM (SELECT *, sum(segments) OVER (PARTITION BY doc_id) AS t FROM ({R.sql['lang_segments']})) WHERE segments > 0.15 * t AND lang <> 'unknown' GROUP BY doc_id",
+)
 R.add(
     "chunk_chars", lambda s, d: docs(s, d).where("length(text) > 0").select("doc_id", F.col("text"), F.explode(F.expr("sequence(1, greatest(1, length(text) - 100), 900)")).alias("i")).select("doc_id", ((F.col("i") - 1) / 900).cast("int").cast("long").alias("chunk_no"), F.length(F.expr("substring(text, i, 1000)")).cast("long").alias("n_chars")),
     "SELECT doc_id, ((i - 1) // 900)::BIGINT AS chunk_no, length(substring(text, i, 1000)) AS n_chars FROM (SELECT doc_id, text, unnest(range(1, greatest(1, length(text) - 100) + 1, 900)) AS i FROM documents WHERE length(text) > 0)",

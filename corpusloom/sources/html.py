@@ -57,6 +57,16 @@ def notebook_text(j: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.when(c["cell_type"] == "code", F.concat(F.lit("```\n"), F.array_join(c["source"], ""), F.lit("\n```"))).otherwise(F.array_join(c["source"], ""))), "\n\n")
 
 
+def notebook_summary(j: Column) -> Column:
+    """title (first heading), number of code cells, imported modules."""
+    cells = F.from_json(j, NOTEBOOK)["cells"]
+    code = F.filter(cells, lambda c: c["cell_type"] == "code")
+    prose = F.array_join(F.transform(F.filter(cells, lambda c: c["cell_type"] == "markdown"), lambda c: F.array_join(c["source"], "")), "\n")
+    src = F.array_join(F.transform(code, lambda c: F.array_join(c["source"], "")), "\n")
+    modules = F.array_distinct(F.regexp_extract_all(src, F.lit(r"(?m)^(?:import|from) ([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
+    return F.struct(F.nullif(F.regexp_extract(prose, r"(?m)^# +(.*)$", 1), F.lit("")).alias("title"), F.size(code).alias("code_cells"), F.array_join(F.array_sort(modules), ",").alias("modules"))
+
+
 ATOM = "id string, title string, published string, summary string, author array<struct<name:string>>"
 
 
