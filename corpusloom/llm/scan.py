@@ -1,7 +1,8 @@
 """Problem 6: damage of scanning and page layout, and its repair into continuous paragraphs.
 
-Pass 1 counts words (one dictionary per Arrow partition, summed natively) and notes words divided at
-line ends. In SQL, rare words are joined with frequent ones by the difference of their anagram hashes:
+Pass 1 counts the distinct texts that hold each word (one dictionary per Arrow partition, summed natively), so
+copies and repeated deliveries say no more than one text, and notes words divided at line ends. A corpus of fewer
+than ``RATIO`` texts can't tell by them; there the occurrences in all rows count. In SQL, rare words are joined with frequent ones by the difference of their anagram hashes:
 replacing 'e' by 'c' changes the hash of any word by the same amount, so all variants under a list of
 confusions are found by equi-joins on hash plus difference, and confirmed by one replacement in place.
 Ranked by frequency, the best variant is the correction. Hyphen evidence compares how often the joined
@@ -67,11 +68,15 @@ def tokens(text: str) -> list[str]:
     return [w for w in _WORD.findall(joined.lower()) if 2 < len(w) <= 40 and not w.isdigit()]
 
 
-def vocabulary(records: DataFrame) -> DataFrame:
-    """(kind, word, n, h): counts of words 'w', hyphenated forms 'c' and line-end divisions 'd'."""
+def vocabulary(records: DataFrame, by_text: bool = True) -> DataFrame:
+    """(kind, word, n, h): counts of words 'w', hyphenated forms 'c' and line-end divisions 'd'; texts 't'.
+
+    Counted are the distinct texts that hold them, or all their occurrences in all rows.
+    """
+    once = set if by_text else list
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = {"w": Counter(), "c": Counter(), "d": Counter()}
+        counts = {"w": Counter(), "c": Counter(), "d": Counter(), "t": Counter()}
 
         def out() -> pd.DataFrame:
             rows = [(k, w, n, anagram(w) if k == "w" else 0) for k, c in counts.items() for w, n in c.items()]
@@ -81,17 +86,18 @@ def vocabulary(records: DataFrame) -> DataFrame:
 
         for part in parts:
             for t in part["text"]:
-                counts["w"].update(tokens(t))
+                counts["t"][""] += 1
+                counts["w"].update(once(tokens(t)))
                 if "-" in t:
-                    counts["c"].update(c for piece in t.lower().split() if "-" in piece for c in _COMPOUND.findall(piece))
+                    counts["c"].update(once(c for piece in t.lower().split() if "-" in piece for c in _COMPOUND.findall(piece)))
                     if _MARKED_END.search(t):
-                        counts["d"].update(f"{a}-{b}" for a, mark, b in _DIVIDED.findall(t.lower()) if mark == "-")
+                        counts["d"].update(once(f"{a}-{b}" for a, mark, b in _DIVIDED.findall(t.lower()) if mark == "-"))
                 if len(counts["w"]) > FLUSH:
                     yield out()
         yield out()
 
     src = records.where("text is not null").select("text")
-    part = src.mapInPandas(run, "kind string, word string, n long, h long")
+    part = (src.distinct() if by_text else src).mapInPandas(run, "kind string, word string, n long, h long")
     return part.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
 
 
@@ -193,6 +199,8 @@ def repair(records: DataFrame, id_col: str = "result_id", text_col: str = "text"
     """(id, text, furniture, divided, misread, damaged): one row per input row."""
     src = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     vocab = checkpoint(vocabulary(src))  # a table over the vocabulary
+    if (vocab.where("kind = 't'").agg(F.sum("n")).first()[0] or 0) < RATIO:
+        vocab = checkpoint(vocabulary(src, by_text=False))  # no word can be in RATIO times as many texts as another
     wrong, parts = corrections(vocab), divisions(vocab)
     changes = checkpoint(wrong.select(F.lit("w").alias("kind"), "word", "correct").unionByName(parts.where("not divided").select(F.lit("d").alias("kind"), "word", F.lit("").alias("correct"))))
     schema = "text string, furniture int, divided int, misread int"

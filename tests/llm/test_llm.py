@@ -145,6 +145,14 @@ def test_scan_corrections_by_join_equal_the_local_ones(spark, monkeypatch):
     assert a == b and "the difference of the model was" in a[-1][1]
 
 
+def test_scan_corrections_count_copies_of_a_text_once(spark):
+    sound = [f"the difference of the model was improved when desk {k} measured it again for the sample" for k in range(60)]
+    bad = "the diffcrence of the rnodel vvas iinproved"
+    r = records(spark, sound + [bad] * 40)  # its misreadings are more frequent than a twentieth of the true words
+    fixed = scan.repair(r.union(r.where(F.col("text") == bad))).where("result_id >= 60").collect()
+    assert len(fixed) == 80 and all(x["damaged"] and x["text"].startswith("the difference of the model was") for x in fixed)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     random.seed(5)
     vocab = [f"w{k}" for k in range(120)]
