@@ -247,3 +247,18 @@ def test_subjects_of_clear_texts(spark):
     r = spark.read.parquet("/root/testdata/sf0.01/extraction_results.parquet").select("result_id", F.lower("domain").alias("d")).distinct().toPandas()
     j = found[found["share"] > 0.6].merge(r[r["d"].isin(found["domain"].unique())])
     assert (j["d"] == j["domain"]).mean() > 0.8  # most recorded domains are right
+
+
+def test_subject_leaves_are_fitted_on_all_distinct_documents(spark, monkeypatch):
+    from pyspark.ml.clustering import BisectingKMeans
+
+    seen, fit = [], BisectingKMeans.fit
+    monkeypatch.setattr(BisectingKMeans, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    r = spark.read.parquet("/root/testdata/sf0.01/extraction_results.parquet").where("text is not null")
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("alpha", "beta", "gamma", "delta", "kappa", "sigma")]), F.col("k").cast("int") + 1)
+    many = r.crossJoin(spark.range(6).withColumnRenamed("id", "k")).withColumn("text", F.concat("text", F.lit(" The report was about "), tail, F.lit(" of the market.")))
+    many = many.withColumn("result_id", F.col("result_id") * 10 + F.col("k"))
+    keywords = spark.read.parquet("/root/testdata/sf0.01/domain_keywords.parquet")
+    subject.subjects(many, keywords)
+    subject.subjects(many.unionByName(many.limit(1).crossJoin(spark.range(2000)).drop("id")), keywords)  # a hot group of copies
+    assert seen[0] > 4000 and seen[0] == seen[1]
