@@ -127,4 +127,13 @@ R.add("upsample_rank", lambda s, d: B.upsample(docs(s, d), "lang", "doc_id"), f"
 R.add("monitor_snapshot", lambda s, d: results(s, d).groupBy("directory").agg(F.count("*").alias("files"), F.sum((F.coalesce(F.trim("text"), F.lit("")) == "").cast("long")).alias("empty"), F.sum((F.coalesce(SC, F.lit(0.0)) >= 80).cast("long")).alias("corrupted")).withColumn("pct_sound", F.round(100 * (F.col("files") - F.col("empty") - F.col("corrupted")) / F.col("files"), 4)), f"SELECT directory, files, empty, corrupted, round(100.0::DOUBLE * (files - empty - corrupted) / files, 4) AS pct_sound FROM (SELECT directory, count(*) AS files, sum((coalesce(trim(text, ' '), '') = '')::INT)::BIGINT AS empty, sum((coalesce({SC}, 0.0) >= 80)::INT)::BIGINT AS corrupted FROM extraction_results GROUP BY 1)")
 R.add("history_pivot", lambda s, d: docs(s, d).where("collected_at is not null").groupBy(F.trunc("collected_at", "month").alias("month")).pivot("lang", ["de", "en", "fr"]).agg(F.count(F.lit(1))).na.fill(0), "SELECT date_trunc('month', collected_at)::DATE AS month, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr FROM documents WHERE collected_at IS NOT NULL GROUP BY 1")
 
+def history_classes(d, column, month="collected_at"):
+    """(month, class, n): documents by month and class, all values and a row for unknown ones."""
+    return d.where(F.col(month).isNotNull()).groupBy(F.trunc(month, "month").alias("month"), F.coalesce(column, F.lit("unknown")).alias("class")).agg(F.count("*").alias("n"))
+
+
+# history_pivot has the three columns of its SQL; these two have every class
+R.add("history_languages", lambda s, d: history_classes(docs(s, d), "lang"), f"SELECT date_trunc('month', collected_at)::DATE AS month, {LANG} AS class, count(*) AS n FROM documents WHERE collected_at IS NOT NULL GROUP BY ALL")
+R.add("history_domains", lambda s, d: history_classes(docs(s, d), "domain"), "SELECT date_trunc('month', collected_at)::DATE AS month, coalesce(domain, 'unknown') AS class, count(*) AS n FROM documents WHERE collected_at IS NOT NULL GROUP BY ALL")
+
 QUERIES, SQL = R.queries, R.sql

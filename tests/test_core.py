@@ -99,3 +99,13 @@ def test_repository_works_without_the_subpackage():
 
     core = {k for k in entry.queries() if not (k[0] == "p" and k[1].isdigit())}
     assert "corpus_overview" in core and core == set(__import__("corpusloom.plans.catalog", fromlist=["x"]).QUERIES)
+
+
+def test_history_has_every_class(spark):
+    from corpusloom.plans import catalog
+
+    dated = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("collected_at is not null")
+    for name in ("history_languages", "history_domains"):
+        h = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert h.agg(F.sum("n")).first()[0] == dated.count()
+    assert {r["class"] for r in catalog.QUERIES["history_languages"](spark, "/root/testdata/sf0.01").collect()} >= {"es", "pt", "ru", "zh", "unknown"}
