@@ -1,4 +1,4 @@
-"""Queries on small literal inputs, for operators whose input is in no test table."""
+"""Queries on small literal inputs, and over the whole tables where one has the input."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import activity as A
 from corpusloom.operators import extract as E
+from corpusloom.operators import near
 from corpusloom.sources import html as H
+from corpusloom.sources.tables import table
 
 from ._registry import Registry
 
@@ -78,4 +80,23 @@ given(
 )
 given("notebook_summary", [ID, ("j", "string")], [(1, '{"cells": [{"cell_type": "markdown", "source": ["# Head\\n", "text"]}, {"cell_type": "code", "source": ["import numpy\\n", "x = 1"]}]}'), (2, "broken")], lambda v: v.select("id", H.notebook_summary(F.col("j")).alias("s")).select("id", "s.title", "s.code_cells", "s.modules"), None)
 
+
+def docs(s, d):
+    return table(s, d, "documents")
+
+
+def near_texts(s, d):
+    """(i, j, a, b): the near-duplicate pairs with their texts."""
+    t = docs(s, d).where(F.trim("text") != "").groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*")
+    a, b = (t.select(F.col("doc_id").alias(k), F.col("text").alias(x)) for k, x in (("i", "a"), ("j", "b")))
+    return near.pairs(docs(s, d), "doc_id", "text").select("i", "j").join(a, "i").join(b, "j")
+
+
+# the same operators over whole tables
+R.add("jaccard_pairs_documents", lambda s, d: near_texts(s, d).select("i", "j", F.round(X.word_jaccard(F.col("a"), F.col("b")), 6).alias("value")))
+R.add("char_similarity_documents", lambda s, d: near_texts(s, d).select("i", "j", F.round(X.char_similarity(F.col("a"), F.col("b")), 6).alias("value")))
+R.add("markdown_strip_documents", lambda s, d: docs(s, d).select("doc_id", X.markdown_strip(F.col("text")).alias("value")), r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '(?m)^#{1,6} +', '', 'g'), '[*]{1,3}', '', 'g'), ' ') AS value FROM documents""")
+R.add("formula_complexity_documents", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").select("doc_id", "type", "formula", E.complexity(F.col("formula")).alias("value")))
+R.add("log_parse_activity", lambda s, d: A.parse_lines(table(s, d, "activity_log").select(F.col("message").alias("line")), "line"))
+
 QUERIES, SQL = R.queries, R.sql

@@ -109,3 +109,22 @@ def test_history_has_every_class(spark):
         h = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
         assert h.agg(F.sum("n")).first()[0] == dated.count()
     assert {r["class"] for r in catalog.QUERIES["history_languages"](spark, "/root/testdata/sf0.01").collect()} >= {"es", "pt", "ru", "zh", "unknown"}
+
+
+def test_operators_of_literals_cover_the_tables(spark):
+    from corpusloom.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    n, q = {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("documents", "activity_log")}, catalog.QUERIES
+    assert q["markdown_strip_documents"](spark, d).count() == n["documents"]
+    assert q["log_parse_activity"](spark, d).count() == n["activity_log"]
+    assert q["formula_complexity_documents"](spark, d).count() == q["formulas"](spark, d).count()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    want = {(r["i"], r["j"]) for r in q["dedup_near_exact"](spark, d).collect()}
+    got = {(r["i"], r["j"]): r["value"] for r in q["char_similarity_documents"](spark, d).collect()}
+    assert got.keys() == want and want
+    for (i, j), v in got.items():
+        a, b = text[i], text[j]
+        assert abs(v - sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b))) < 1e-4
+    jac = {(r["i"], r["j"]): r["value"] for r in q["jaccard_pairs_documents"](spark, d).collect()}
+    assert jac.keys() == want and all(0.5 < v <= 1 for v in jac.values())
