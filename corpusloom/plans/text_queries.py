@@ -158,7 +158,8 @@ FORM = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(list_distinct(r
 R.add("formulas", lambda s, d: E.formulas(docs(s, d), "doc_id", "text"), FORM)
 R.add("formulas_light", lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0)))).alias("formula")), f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{E.FORMULA_PATTERNS['assignment']}'))) AS formula FROM documents")
 OPS = r"least(1.0::DOUBLE, 0.1::DOUBLE * len(regexp_extract_all(formula, '\\[a-zA-Z]+')) + 0.05::DOUBLE * len(regexp_extract_all(formula, '[-+*/=^<>]')))"
-R.add("formula_stats", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").where("not contains(formula, '{')").select("type", E.complexity(F.col("formula")).alias("c")).groupBy("type", F.when(F.col("c") < 0.3, "simple").when(F.col("c") < 0.7, "medium").otherwise("complex").alias("bucket")).agg(F.count("*").alias("n")), f"SELECT type, CASE WHEN round({OPS}, 4) < 0.3 THEN 'simple' WHEN round({OPS}, 4) < 0.7 THEN 'medium' ELSE 'complex' END AS bucket, count(*) AS n FROM ({FORM}) WHERE NOT contains(formula, '{{') GROUP BY ALL")
+# the SQL has no nesting depth and leaves out formulas with braces; the query counts all of them
+R.add("formula_stats", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").select("type", E.complexity(F.col("formula")).alias("c")).groupBy("type", F.when(F.col("c") < 0.3, "simple").when(F.col("c") < 0.7, "medium").otherwise("complex").alias("bucket")).agg(F.count("*").alias("n")), f"SELECT type, CASE WHEN round({OPS}, 4) < 0.3 THEN 'simple' WHEN round({OPS}, 4) < 0.7 THEN 'medium' ELSE 'complex' END AS bucket, count(*) AS n FROM ({FORM}) WHERE NOT contains(formula, '{{') GROUP BY ALL")
 R.add(
     "enhancement_score",
     lambda s, d: docs(s, d).where("text is not null").select("doc_id", Q.academic(F.col("text"))[2].alias("a"), (F.size(F.regexp_extract_all(F.col("text"), F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0))) > 0).alias("f"), (F.size(F.regexp_extract_all(F.col("text"), F.lit(E.SYMBOL_PATTERNS["money"][0]), F.lit(0))) > 3).alias("m")).select("doc_id", F.round(F.least(F.lit(1.0), 0.5 + F.when(F.col("f"), 0.1).otherwise(0.0) + F.when(F.col("m"), 0.1).otherwise(0.0) + F.when(F.col("a"), 0.15).otherwise(0.0)), 4).alias("score")),

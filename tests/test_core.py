@@ -128,3 +128,12 @@ def test_operators_of_literals_cover_the_tables(spark):
         assert abs(v - sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b))) < 1e-4
     jac = {(r["i"], r["j"]): r["value"] for r in q["jaccard_pairs_documents"](spark, d).collect()}
     assert jac.keys() == want and all(0.5 < v <= 1 for v in jac.values())
+
+
+def test_formula_stats_count_formulas_with_braces(spark, tmp_path):
+    from corpusloom.plans import catalog
+
+    rows = [(1, r"Let \begin{equation} x = y \end{equation} hold."), (2, r"So $x^{a^{b^{c}}}$ grows."), (3, "We set y = a + b here.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["type"], r["bucket"]): r["n"] for r in catalog.QUERIES["formula_stats"](spark, str(tmp_path)).collect()}
+    assert got["equation", "medium"] == 1 and got["inline", "complex"] == 1
