@@ -83,7 +83,7 @@ def form_of(text: str, words: list[str]) -> str:
     n = len(words)
     solid = sum(map(len, text.split()))
     letters = sum(map(len, words))
-    if n == 0 or letters < 0.55 * solid and not any(_cells(x) > 2 for x in lines[:50]):
+    if n == 0 or letters < 0.55 * solid and not any(_cells(x) > 2 for x in lines):
         return "junk"
     if n >= 12 and len(set(words)) / n < 0.25 and not (len(lines) > 3 and sum(bool(_BULLET.match(x)) for x in lines) > 0.7 * len(lines) and len(set(lines)) > 0.7 * len(lines)):
         return "junk"

@@ -107,6 +107,12 @@ def test_forms_and_statistics():
     assert m[1] == 4 and m[2] == pytest.approx(3.75)
 
 
+def test_long_table_whose_rows_begin_late():
+    head = "\n".join(["#### ----", "+---+---+---+"] * 30)
+    rows = "\n".join(f"x{k} | +++ | --- | %%% {k}" for k in range(200))
+    assert prose.measure(head + "\n" + rows)[-1] == "table"
+
+
 def test_distance_contributions_sum_up(spark):
     a = prose.assess(spark.read.parquet(f"{DIR}/extraction_results.parquet")).where("distance is not null").toPandas()
     assert ((a["contributions"].map(sum) - a["distance"]).abs() < 1e-3 * (1 + a["distance"])).all()
