@@ -7,10 +7,10 @@ diagonal (place in the document minus place in the item).
 
 Filter, with nothing lost: a five-word sequence that a document shares brings all its q-grams. A document
 with a third of an item's distinct sequences therefore hits at least as many places of the item as the
-cheapest such choice covers (computed per item, over the q-grams that few items share). Hits are counted
-in overlapping diagonal bands.
-Pairs below the bound are dropped. For the others the region of the densest band is verified by
-banded alignment, and the exact share of five-word sequences decides.
+cheapest such choice covers (computed per item, over the q-grams that few items share).
+Pairs below the bound, counted over the whole document, are dropped; for the others the exact share of five-word
+sequences decides. Overlapping diagonal bands and banded alignment decide nothing: they only locate one passage of
+an accepted pair, the densest band, also where an item is leaked in several places.
 
 Items beyond ``BLOCK`` are processed in further passes, so the index has a proven size bound.
 
@@ -97,7 +97,7 @@ def fewest_places(windows: list[tuple[int, int]], need: int, counted: np.ndarray
 class Index:
     """q-gram places of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
         self.ids, self.texts, self.seqs = [], [], []
         windows, keys = [], []
         for i, text in items:
@@ -124,7 +124,7 @@ class Index:
         self.bound, kept = [], np.zeros(len(key), bool)
         for k, end in enumerate(ends):
             part = slice(end - len(keys[k]), end)
-            need = max(1, math.ceil(SHARE * len(self.seqs[k]) - 1e-9))
+            need = max(1, math.ceil(share * len(self.seqs[k]) - 1e-9))
             # q-grams that many items share say little; an item is told by its own ones where they suffice
             bound = fewest_places(windows[k], need, rare[part])
             kept[part] = rare[part]
@@ -242,7 +242,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], share: float) -> DataFr
     names = ["doc_id", "item_id", "shared", "share", "start", "end", "similarity"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(items)
+        index = Index(items, share)
         for part in parts:
             rows = []
             ids, texts, size = [], [], 0

@@ -209,6 +209,13 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_leaks_of_a_smaller_share(spark):
+    words = [f"w{k}x" for k in range(60)]
+    doc = [f"y{k}z" for k in range(40)] + words[10:22] + [f"z{k}y" for k in range(40)]  # 8 of 56 sequences
+    got = leak.leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(words))], "item_id long, text string"), share=0.1)
+    assert [(r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()] == [(1, 2, 8)]
+
+
 def test_alignment():
     item = "the order book thinned out near the touch over three sessions"
     doc = "prefix words " + item.replace("thinned", "thined") + " suffix"
