@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -159,7 +160,12 @@ def test_scan_corrections_count_copies_of_a_text_once(spark):
     assert len(fixed) == 80 and all(x["damaged"] and x["text"].startswith("the difference of the model was") for x in fixed)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize(("tokens", "local"), [(None, None), (40, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, tokens, local):
+    """Also where every bucket is crowded and cut into blocks, and where the texts of candidates are shuffled."""
+    if tokens:
+        monkeypatch.setattr(dup, "BUCKET_TOKENS", tokens)
+        monkeypatch.setattr(dup, "MAX_LOCAL", local)
     random.seed(5)
     vocab = [f"w{k}" for k in range(120)]
     texts = []
@@ -174,7 +180,7 @@ def test_near_duplicates_equal_brute_force(spark):
     texts += ["copy of one text"] * 40 + ["a", "a", "", None]
     r = records(spark, texts)
     got = {tuple(x) for x in dup.found(r.union(r.limit(30))).collect()}
-    sets = [set(dup.sequences(t).tolist()) if t else set() for t in texts]
+    sets = [set(dup.sequences([t])[0].tolist()) if t else set() for t in texts]
     want = set()
     for i in range(len(texts)):
         for j in range(i + 1, len(texts)):
@@ -187,6 +193,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(g) == sum(bool(t) for t in texts)
 
 
+def test_each_part_of_the_prefix_tree_finds_pairs_of_its_own():
+    """Without the pairs of one branch, or without those across branches, pairs are lost; bounds lose none."""
+    random.seed(8)
+    base = [random.randrange(1, 10**6) for _ in range(30)]
+    rows = []
+    for k in range(40):
+        path = sorted(set(random.sample(base, 20)))
+        rows.append((k, 40, path))
+    part = pd.DataFrame({"n": [r[1] for r in rows], "tok": [np.array(r[2], np.uint32).tobytes() for r in rows], "pos": [np.arange(len(r[2]), dtype=np.uint32).tobytes() for r in rows], "parity": [bytes(64)] * len(rows)})
+    all_pairs = {tuple(p) for p in dup.bucket_pairs(part).tolist()}
+    need = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(set(rows[i][2]) & set(rows[j][2])) >= 27}
+    assert need <= all_pairs
+    tree = dup.Tree(part["n"].to_numpy(), [np.frombuffer(x, np.uint32) for x in part["tok"]], [np.frombuffer(x, np.uint32) for x in part["pos"]])
+    own = [len(x) for x, _ in tree.below()]
+    other = [len(x) for x, _ in tree.across()]
+    assert sum(own) and sum(other)
+    shared = tree.start[:, 0]
+    assert all((shared[x] == shared[y]).all() for x, y in tree.below())
+
+
+def test_latest_delivery_gives_the_text(spark):
+    at = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    a, b = "one two three four five", "six seven eight nine ten"
+    r = spark.createDataFrame([(1, a, at[0]), (1, b, at[1]), (2, a, at[0]), (3, b, at[0]), (3, b, at[1])], "result_id long, text string, ingested_at timestamp")
+    assert [tuple(x) for x in dup.found(r).collect()] == [(1, 3)]
+
+
 def test_leaks_equal_brute_force(spark):
     random.seed(6)
     vocab = [f"w{k}x" for k in range(300)]
