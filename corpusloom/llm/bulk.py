@@ -65,23 +65,16 @@ class Words:
     first: np.ndarray
 
 
-def segments(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the values from each start to the next; starts rise strictly."""
-    if not len(starts):
-        return np.zeros(0, values.dtype)
-    return np.add.reduceat(values, starts)
-
-
-def hash_runs(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hash of each run of code points; runs lie one after the other and do not overlap."""
+def hash_runs(codes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Hash of the counted code points from each start to the next; the first start is 0 or what lies before is not counted."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = int(lengths.sum())
-    offset = np.cumsum(lengths) - lengths
-    place = np.arange(total) - np.repeat(offset, lengths)
-    at = place + np.repeat(starts, lengths)
-    value = (codes[at].astype(np.uint64) + np.uint64(1)) * _powers()[place % _PLACES]
-    return mix(np.add.reduceat(value, offset))
+    codes, counted = codes[starts[0] :], counted[starts[0] :]
+    starts = starts - starts[0]
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    value = (codes.astype(np.uint64) + np.uint64(1)) * _powers()[place & (_PLACES - 1)]
+    value *= counted
+    return mix(np.add.reduceat(value, starts))
 
 
 def words(texts: Iterable[str | None]) -> Words:
@@ -100,7 +93,7 @@ def words(texts: Iterable[str | None]) -> Words:
     edges = np.searchsorted(keep, np.cumsum(sizes) - 1)  # the line break after each text
     first = np.concatenate([[0], np.searchsorted(starts, edges)]).astype(np.int64)
     doc = np.repeat(np.arange(len(lowered)), np.diff(first))
-    return Words(hash_runs(codes, starts, lengths), lengths, doc, first)
+    return Words(hash_runs(codes, starts, ~space), lengths, doc, first)
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -117,13 +110,71 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, doc) of all sequences of n words that lie within one text."""
+    """(hash, first) of all sequences of n words that lie within one text; ``first`` as in Words."""
     m = len(w.hash) - n + 1
+    sizes = np.maximum(0, np.diff(w.first) - n + 1)
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), first
     inside = w.doc[:m] == w.doc[n - 1 :]
     h = np.zeros(m, np.uint64)
     for k in range(n):
         h = (h + w.hash[k : k + m]) * _M1
         h ^= h >> np.uint64(29)
-    return mix(h[inside]), w.doc[:m][inside]
+    return mix(h[inside]), first
+
+
+@dataclass
+class Text:
+    """Texts as they are, one after the other with a line break behind each: code points, classes, first places."""
+
+    codes: np.ndarray
+    kind: np.ndarray
+    start: np.ndarray  # of each text, with one more entry at the end
+
+
+def text(texts: Iterable[str | None]) -> Text:
+    texts = [t or "" for t in texts]
+    codes = codes_of("\n".join(texts) + "\n") if texts else np.zeros(0, np.uint32)
+    return Text(codes, class_of(codes), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64))
+
+
+def between(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of the rising places lie in low <= place < high, for each range."""
+    return np.searchsorted(places, high) - np.searchsorted(places, low)
+
+
+@dataclass
+class Lines:
+    """Lines that are not blank: text of each, first and last place that is no white space."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def lines(t: Text) -> Lines:
+    ends = np.flatnonzero(t.codes == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    solid = np.flatnonzero(t.kind != SPACE)
+    a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = b > a
+    a, b = a[some], b[some]
+    doc = np.searchsorted(t.start, starts[some], side="right") - 1
+    return Lines(doc, solid[a] if len(solid) else a, solid[b - 1] if len(solid) else b)
+
+
+def sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of each text."""
+    return np.bincount(doc, weights=values, minlength=n)
+
+
+def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first place of each group) of the distinct sorted values of each group; ``first`` has one more entry."""
+    h = h.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[first[:-1][np.diff(first) > 0]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[first]

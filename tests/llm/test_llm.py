@@ -201,11 +201,11 @@ def test_each_part_of_the_prefix_tree_finds_pairs_of_its_own():
     for k in range(40):
         path = sorted(set(random.sample(base, 20)))
         rows.append((k, 40, path))
-    part = pd.DataFrame({"n": [r[1] for r in rows], "tok": [np.array(r[2], np.uint32).tobytes() for r in rows], "pos": [np.arange(len(r[2]), dtype=np.uint32).tobytes() for r in rows], "parity": [bytes(64)] * len(rows)})
+    part = pd.DataFrame({"n": [r[1] for r in rows], "tok": [np.array(r[2], np.uint32).tobytes() for r in rows], "pos": [0] * len(rows), "parity": [bytes(64)] * len(rows)})
     all_pairs = {tuple(p) for p in dup.bucket_pairs(part).tolist()}
     need = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(set(rows[i][2]) & set(rows[j][2])) >= 27}
     assert need <= all_pairs
-    tree = dup.Tree(part["n"].to_numpy(), [np.frombuffer(x, np.uint32) for x in part["tok"]], [np.frombuffer(x, np.uint32) for x in part["pos"]])
+    tree = dup.Tree(part["n"].to_numpy(), part["tok"].tolist(), part["pos"].to_numpy())
     own = [len(x) for x, _ in tree.below()]
     other = [len(x) for x, _ in tree.across()]
     assert sum(own) and sum(other)
