@@ -176,5 +176,5 @@ def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    new[first[:-1][np.diff(first) > 0]] = True
+    new[first[:-1][np.diff(first) > 0]] = True  # groups of one value each begin anew
     return h[new], np.concatenate([[0], np.cumsum(new)])[first]

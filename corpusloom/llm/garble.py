@@ -24,11 +24,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bulk
+
 #: Encodings that UTF-8 bytes are taken for.
 READ_AS = ("cp1252", "latin1", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "koi8_r", "cp866", "cp1257", "iso8859_15", "mac_cyrillic")
 CYRILLIC_ENCODINGS = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
@@ -132,22 +136,63 @@ _LOST = re.compile("\ufffd")
 _CJK = re.compile("[\u4e00-\u9fff]")
 
 
-#: Quick check for the JVM and for other operators: whatever no sound text of the covered languages has.
-#: It may say yes for sound text (single symbols, capital headings), never no for text with hits.
-SUSPECT = (
-    r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153\u2013\u2014\u2018\u2019\u201c\u201d\u20ac\u0410-\u044f\u0401\u0451\u4e00-\u9fff\u3002\uff08\uff09\uff0c\u3001\uff1a\uff1b\uff01\uff1f]"
-    r"|[\u00e0-\u00ff]\u20ac|[\u00c0-\u00d6\u00d8-\u00de][^\x00-\x7f]|[a-z\u00df-\u00ff][\u00c0-\u00d6\u00d8-\u00de]|[\u00e0-\u00ff]{3}"
-    r"|[\u0430-\u044f\u0451][\u0410-\u042f]{2}|[A-Za-z\u00c0-\u00ff][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u00ff]"
-)
-_SUSPECT = re.compile(SUSPECT)
-_OUTSIDE = re.compile(r"[^\x00-\x7f]+")
+# Classes of characters for the quick check.
+_PLAIN, _LOWER, _UPPER, _LOW_LATIN, _UP_LATIN, _LOW_CYR, _UP_CYR, _EURO, _FINE, _BAD = range(10)
+
+
+@cache
+def _quick() -> tuple[np.ndarray, np.ndarray]:
+    """(class of each code point, whether a pair of classes is suspect: 16 * first + second)."""
+    of = np.full(bulk.TOP + 1, _BAD, np.uint8)
+    for what, low, high in (
+        (_PLAIN, 0, 0x7F), (_LOWER, 0x61, 0x7A), (_UPPER, 0x41, 0x5A), (_LOW_LATIN, 0xDF, 0xF6), (_LOW_LATIN, 0xF8, 0xFF), (_UP_LATIN, 0xC0, 0xD6), (_UP_LATIN, 0xD8, 0xDE),
+        (_LOW_CYR, 0x430, 0x44F), (_UP_CYR, 0x410, 0x42F), (_FINE, 0x4E00, 0x9FFF), (_EURO, 0x20AC, 0x20AC),
+    ):
+        of[low : high + 1] = what
+    for c in "ŒœŠšŽž–—‘’“”。（），、：；！？":
+        of[ord(c)] = _FINE
+    of[ord("Š")] = of[ord("š")] = of[ord("Ž")] = of[ord("ž")] = _BAD
+    of[0x451], of[0x401] = _LOW_CYR, _UP_CYR
+    pair = np.zeros(256, bool)
+    latin, cyrillic, outside = (_LOWER, _UPPER, _LOW_LATIN, _UP_LATIN), (_LOW_CYR, _UP_CYR), range(_LOW_LATIN, _BAD + 1)
+    for x, y in [(_LOW_LATIN, _EURO), *((_UP_LATIN, y) for y in outside), (_LOWER, _UP_LATIN), (_LOW_LATIN, _UP_LATIN), *((x, y) for x in latin for y in cyrillic), *((x, y) for x in cyrillic for y in latin)]:
+        pair[16 * x + y] = True
+    return of, pair
+
+
+def suspects(texts: list[str | None]) -> np.ndarray:
+    """Whether each text has something that no sound text of the covered languages has.
+
+    It may say yes for sound text (single symbols, capital headings), never no for text with hits.
+    """
+    out = np.array([bool(t) and not t.isascii() for t in texts], bool)
+    some = np.flatnonzero(out)
+    if not len(some):
+        return out
+    mine = [texts[k] for k in some.tolist()]
+    codes = bulk.codes_of("\n".join(mine) + "\n")
+    of, pair = _quick()
+    c = of[np.minimum(codes, np.uint32(bulk.TOP))]
+    hit = c == _BAD
+    hit[:-1] |= pair[c[:-1] * np.uint8(16) + c[1:]]
+    three = (c[:-2] == _LOW_LATIN) & (c[1:-1] == _LOW_LATIN) & (c[2:] == _LOW_LATIN)
+    three |= (c[:-2] == _LOW_CYR) & (c[1:-1] == _UP_CYR) & (c[2:] == _UP_CYR)
+    hit[:-2] |= three
+    ends = np.cumsum([len(t) + 1 for t in mine])
+    out[some] = bulk.between(np.flatnonzero(hit), np.concatenate([[0], ends[:-1]]), ends) > 0
+    return out
 
 
 def suspect(text: str) -> bool:
-    """SUSPECT, searched only around characters outside ASCII, which all its branches need."""
-    if text.isascii():
-        return False
-    return any(_SUSPECT.search(text, max(0, m.start() - 1), m.end() + 1) for m in _OUTSIDE.finditer(text))
+    return bool(suspects([text])[0])
+
+
+def sound(texts: list[str | None]) -> list[str | None]:
+    """The texts, those with garbled characters restored."""
+    out = list(texts)
+    for k in np.flatnonzero(suspects(out)).tolist():
+        out[k] = _repair(out[k])[0]
+    return out
 
 
 def _decode_chars(s: str, pair: str) -> str:
@@ -202,8 +247,10 @@ def _recover_lost(text: str) -> str:
 
 def repair_text(text: str) -> tuple[str, int, str | None]:
     """(restored text, garbled spans, most frequent pair)."""
-    if not suspect(text):
-        return text, 0, None
+    return _repair(text) if suspect(text) else (text, 0, None)
+
+
+def _repair(text: str) -> tuple[str, int, str | None]:
     state = _state()
     hits = list(state["machine"].iter(text))
     lost = len(_LOST.findall(text))
@@ -308,10 +355,15 @@ def repair(records: DataFrame, id_col: str = "result_id", text_col: str = "text"
     @F.pandas_udf("text string, hits int, pair string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            yield pd.DataFrame([repair_text(t) if t else (t, 0, None) for t in part], columns=["text", "hits", "pair"])
-
-    # only suspect texts go to Python
-    fixed = src.withColumn("_r", run(F.when(F.col("_t").rlike(SUSPECT), F.col("_t"))))
+            ts = part.tolist()
+            rows: list[tuple] = [(None, 0, None)] * len(ts)  # sound texts stay in the JVM
+            for a, b in bulk.chunks(ts):
+                for k in np.flatnonzero(suspects(ts[a:b])).tolist():
+                    rows[a + k] = _repair(ts[a + k])
+            yield pd.DataFrame(rows, columns=["text", "hits", "pair"])
+
+    # pure ASCII needs no look
+    fixed = src.withColumn("_r", run(F.when(F.octet_length("_t") > F.char_length("_t"), F.col("_t"))))
     return fixed.select(id_col, F.coalesce("_r.text", "_t").alias("text"), F.coalesce("_r.hits", F.lit(0)).alias("hits"), F.col("_r.pair").alias("pair"))
 
 

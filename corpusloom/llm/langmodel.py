@@ -1,14 +1,20 @@
-"""Language evidence of a stretch of text: frequent words and letters of nine languages.
+"""Likelihood of a stretch of text under nine languages and a class for all others.
 
-The lists are short on purpose: function words carry the language and are independent of the subject.
-A word known to several languages counts for each of them with the weight of its rarity.
+Features are runs of three characters and single characters (by block of 64 beyond the alphabets), hashed into tables
+of fixed size. Counts come from labelled rows and, as pseudo-counts, from short lists of function words, which keep
+a language known that no row is labelled with. A language's probabilities lean on those of all languages together, so
+one with few counts is never favoured by rare strings. The class of all others is those of all languages together with a
+large uniform part: it wins for a language that none of the nine explains.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+from functools import cache
+
+import numpy as np
+
+from . import bulk
 
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "zh")
 
@@ -26,78 +32,97 @@ FUNCTION_WORDS = {
 }
 #: Frequent Chinese characters.
 ZH_CHARS = frozenset("的一是了在和有不这中人为以及到个上地我们国要用时而于家可对就也与之其")
-#: Letters that point to a language within the Latin script.
-LETTERS = {
-    "ß": {"de": 3.0}, "ä": {"de": 1.5}, "ö": {"de": 1.5}, "ü": {"de": 1.2},
-    "ñ": {"es": 2.0}, "¿": {"es": 3.0}, "¡": {"es": 2.0},
-    "ã": {"pt": 2.0}, "õ": {"pt": 2.5}, "ç": {"pt": 1.0, "fr": 0.8},
-    "œ": {"fr": 2.5}, "ê": {"fr": 1.0, "pt": 0.6}, "è": {"fr": 1.0, "it": 0.8}, "é": {"fr": 0.6, "es": 0.3, "pt": 0.3},
-    "à": {"fr": 0.8, "it": 0.6, "pt": 0.3}, "ò": {"it": 1.5}, "ù": {"it": 0.8, "fr": 0.6}, "ó": {"es": 0.8, "pt": 0.4}, "í": {"es": 0.6, "pt": 0.4}, "á": {"es": 0.5, "pt": 0.5}, "ú": {"es": 0.4, "pt": 0.3}, "û": {"fr": 1.0}, "î": {"fr": 1.0}, "ô": {"fr": 0.7},
-}
+
 
 _OF: dict[str, list[tuple[int, float]]] = {}
 for _k, _lang in enumerate(LANGS):
     for _w in FUNCTION_WORDS[_lang].split():
         _OF.setdefault(_w, []).append((_k, 0.0))
 _OF = {w: [(k, 2.2 - 0.9 * math.log(len(ks)) if len(ks) > 1 else 2.2) for k, _ in ks] for w, ks in _OF.items()}
-_LETTER_OF = {c: [(LANGS.index(g), v) for g, v in d.items()] for c, d in LETTERS.items()}
-
-_WORD = re.compile(r"[^\W\d_]+")
-_CJK = re.compile("[㐀-鿿]")
-_CYR = re.compile("[Ѐ-ӿ]")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
-_OTHER_SCRIPT = re.compile("[Ѐ-ӿ㐀-鿿]")
-_RU, _ZH = LANGS.index("ru"), LANGS.index("zh")
-
-
-def scores(text: str, words: list[str] | None = None) -> list[float]:
-    """Log-likelihood of the text under each of LANGS, up to a constant. All zero without letters."""
-    out = [0.0] * len(LANGS)
-    if not text:
-        return out
-    if _OTHER_SCRIPT.search(text):
-        # scripts: one hanzi carries about as much as two letters; names in Latin letters are common everywhere
-        if _CJK.search(text):
-            cjk = len(_CJK.findall(text))
-            if 2 * cjk >= 0.3 * len(_LATIN.findall(text)):
-                out[_ZH] += 1.5 * cjk
-                return out
-        if _CYR.search(text):
-            cyr = len(_CYR.findall(text))
-            if cyr >= 0.3 * len(_LATIN.findall(text)):
-                out[_RU] += 0.8 * cyr
-                return out
-    low = text.lower()
-    if words is None:
-        words = _WORD.findall(low)
-    known = [w for w in words if w in _OF]
-    if len(known) > 40:
-        for w, n in Counter(known).items():
-            for k, v in _OF[w]:
-                out[k] += v * min(n, 4)
-    else:
-        for w in known:
-            for k, v in _OF[w]:
-                out[k] += v
-    out[_RU] = 0.0
-    if not low.isascii():
-        for c in set(low) & _LETTER_OF.keys():
-            n = min(low.count(c), 5)
-            for k, v in _LETTER_OF[c]:
-                out[k] += v * n
-    return out
-
-
-def best(text: str, words: list[str] | None = None) -> tuple[str | None, float]:
-    """(language, probability); (None, 0.0) without evidence."""
-    s = scores(text, words)
-    m = max(s)
-    if m <= 0:
-        return None, 0.0
-    return LANGS[s.index(m)], 1.0 / sum(math.exp(max(-60.0, x - m)) for x in s)
+#: Word -> weight by language, in the order of LANGS.
+WEIGHTS = {w: [dict(ks).get(k, 0.0) for k in range(len(LANGS))] for w, ks in _OF.items()}
+#: Classes: the languages and all others.
+CLASSES = (*LANGS, "und")
+#: Table sizes of runs of three characters and of single ones.
+RUNS, SINGLES = 1 << 15, 1 << 12
+#: Times that a function word counts; weight of all languages together in one, as a count and as a share of its own
+#: counts; uniform parts in a language and in "und".
+SEED, LEAN, LEAN_SHARE, UNIFORM, OTHER_UNIFORM = 60, 3000.0, 0.1, 0.3, 0.4
+#: Neighbouring runs overlap, so their evidence is not independent: nats count by this.
+TEMPER = 0.3
+
+_P = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+
+
+def features(t: bulk.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, run bucket, single bucket) of the places at a letter (or lost character) of lower-case texts."""
+    letter = (t.kind == bulk.ALNUM) & ~((t.codes >= 48) & (t.codes <= 57)) | (t.codes == 0xFFFD)
+    c = np.where(letter, t.codes, np.uint32(32))
+    c = np.where(c < 0x600, c, 0x600 + (c >> 6)).astype(np.uint32)  # beyond the alphabets, blocks of 64
+    at = np.flatnonzero(letter)
+    pad = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]]).astype(np.uint32)
+    run = pad[at] * _P[0] + pad[at + 1] * _P[1] + pad[at + 2] * _P[2]
+    run ^= run >> np.uint32(15)
+    run = (run * _P[0]) >> np.uint32(17)
+    single = c[at] & np.uint32(SINGLES - 1)
+    return at, run.astype(np.int64), single.astype(np.int64)
+
 
+def lowered(texts: list[str | None]) -> bulk.Text:
+    return bulk.text([t.lower() if t else "" for t in texts])
 
-def common_share(words: list[str], lang: str) -> float:
-    """Share of the words that are function words of the language."""
-    k = LANGS.index(lang)
-    return sum(any(j == k for j, _ in _OF.get(w, ())) for w in words) / max(1, len(words))
+
+@cache
+def seeds() -> tuple[np.ndarray, np.ndarray]:
+    """Pseudo-counts (languages x runs, languages x singles) of the function words."""
+    runs, singles = np.zeros((len(LANGS), RUNS)), np.zeros((len(LANGS), SINGLES))
+    for k, g in enumerate(LANGS):
+        _, r, s = features(lowered([FUNCTION_WORDS[g] or "".join(sorted(ZH_CHARS))]))
+        np.add.at(runs[k], r, SEED)
+        np.add.at(singles[k], s, SEED)
+    for first, last, g in ((0x430, 0x44F, "ru"), (0x4E00, 0x9FFF, "zh")):  # every letter of a script is possible
+        _, _, s = features(lowered(["".join(map(chr, range(first, last + 1)))]))
+        np.add.at(singles[LANGS.index(g)], s, 1)
+    return runs, singles
+
+
+def tables(counts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities (runs x classes, singles x classes) from counts by language, with the seeds."""
+    out = []
+    for k, seed in enumerate(seeds()):
+        c = seed + (counts[k] if counts is not None else 0.0)
+        pool = (c / np.maximum(1.0, c.sum(axis=1, keepdims=True))).mean(axis=0)  # languages weigh the same
+        n = c.shape[1]
+        base = (1 - UNIFORM) * pool + UNIFORM / n
+        own = c.sum(axis=1, keepdims=True)
+        lean = LEAN + LEAN_SHARE * own
+        p = (c + lean * base) / (own + lean)
+        other = (1 - OTHER_UNIFORM) * pool + OTHER_UNIFORM / n
+        out.append(np.log(np.vstack([p, other])).T.astype(np.float32))
+    return out[0], out[1]
+
+
+def likelihoods(t: bulk.Text, model: tuple[np.ndarray, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood by class, letters) of each stretch from one start to the next."""
+    at, run, single = features(t)
+    cut = np.searchsorted(at, starts)
+    n = np.diff(np.append(cut, len(at)))
+    ll = np.zeros((len(starts), len(CLASSES)), np.float32)
+    some = np.flatnonzero(n)
+    if len(some):
+        values = model[0][run]
+        values += model[1][single]
+        lost = np.flatnonzero(t.codes[at] == 0xFFFD)
+        if len(lost):  # a lost letter is no sign of another language
+            values[lost, -1] = values[lost, :-1].mean(axis=1)
+        ll[some] = np.add.reduceat(values, cut[some], axis=0)
+    return ll * np.float32(TEMPER), n
+
+
+def best(text: str, model: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[str | None, float]:
+    """(language, probability) of a text as a whole; (None, 0.0) without letters."""
+    ll, n = likelihoods(lowered([text]), model or tables(), np.zeros(1, np.int64))
+    if not n[0]:
+        return None, 0.0
+    p = np.exp(ll[0] - ll[0].max())
+    return CLASSES[int(p.argmax())], float(p.max() / p.sum())

@@ -1,25 +1,25 @@
 """Problem 7: quality statistics of each text, and natural prose told from lists, tables and junk.
 
-One Arrow pass computes the statistics of every text. Per language, medians and median absolute
-deviations are aggregated natively; records inside a wide box around the medians give mean and
-covariance (sums and products, aggregated natively: one row of fixed width per language reaches the
-driver). The Mahalanobis distance to the prose of its language and each statistic's contribution to it
-are then computed for every record. What lies beyond the cut-off and has the outer form of a list, a
-table or junk is reported with that kind; prose that is merely unusual (short, garbled, scanned, broken
-into lines) is an outlier at most, never a kind.
-
-Garbled text is measured as it was written (problem 2), so a wrong encoding does not turn prose into junk.
-
-Defined results: null and blank texts have null statistics and no kind; repeated deliveries count once
-(they carry the same text); languages with fewer than ``MIN_ROWS`` typical records use the pooled fit.
+One Arrow pass computes the statistics of all texts of a batch by array operations. Per language, medians and median
+absolute deviations over all records are aggregated natively; records inside a wide box around the medians give mean
+and covariance (sums and products, aggregated natively: one row of fixed width per language reaches the driver). The
+squared Mahalanobis distance of every record to the prose of its language decides: beyond ``CUT`` it is no prose. Each
+statistic's contribution (they sum to the distance) decides the kind: a table where the cells of its lines contribute
+half of ``CUT``, junk where what speaks for junk contributes ``MARGIN`` more than what speaks for a list, else a list.
+
+Garbled text is measured as it was written (problem 2), so a wrong encoding does not turn prose into junk; a text whose
+letters are lost (``LOST`` of it replacement characters) has no distance, as nothing says what it was.
+
+Defined results: null and blank texts have null statistics and no kind; texts without words are junk; repeated deliveries
+count once (they carry the same text); languages with fewer than ``MIN_ROWS`` typical records, and texts of no known
+language, use the fit of all languages together; of fewer than ``MIN_ROWS`` typical records in all, nothing can be said
+and only texts without words have a kind.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,161 +28,172 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import checkpoint
 
-from . import garble
+from . import bulk, garble
 from . import langmodel as lm
 
 #: Statistics that enter the distance, in this order.
-DIMS = ("word_length", "symbol_ratio", "word_diversity", "line_end_punct", "common_words", "digit_ratio", "sentence_ends", "triple_diversity")
+DIMS = (
+    "log_words", "word_length", "symbol_ratio", "word_diversity", "line_end_punct", "common_words", "digit_ratio", "sentence_ends", "triple_diversity", "cell_lines", "marked_lines", "item_words",
+)
 #: Least spread of each statistic, so that a constant one does not make every difference infinite.
-FLOOR = (0.15, 0.01, 0.03, 0.10, 0.03, 0.01, 0.01, 0.02)
+FLOOR = (0.5, 1.0, 0.03, 0.04, 0.6, 0.04, 0.03, 0.03, 0.06, 0.15, 0.3, 0.3)
+#: What speaks for each kind, and on which side of the mean of prose.
+SPEAKS = {
+    "table": {"cell_lines": 1},
+    "list": {"marked_lines": 1, "item_words": -1},
+    "junk": {"word_length": 1, "symbol_ratio": 1, "digit_ratio": 1, "word_diversity": -1, "triple_diversity": -1, "item_words": 1},
+}
 BOX = 6.0
-CUT = 27.9  # 0.999 quantile of chi-squared with 8 degrees of freedom, rounded up
+#: Far beyond the 0.999 quantile of chi-squared with 12 degrees of freedom (32.9): prose has longer tails.
+CUT = 80.0
+MARGIN = 10.0
 MIN_ROWS = 30
-#: Below this share of function words a text is not made of sentences.
-FEW_COMMON = 0.18
-
-_STRIP = re.compile(r"[^\w\s]|_")
-_BULLET = re.compile(r"\s*(?:[-*+•·–—o»>]|\d{1,3}\s*[.):-]|[a-zA-Z][.)])\s+\S")
-_GAPS = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
-_HEXROW = re.compile(r"\s*(?:[0-9a-fA-F]{6,}[:\s]+)?(?:[0-9a-fA-F]{2}\s+){6,}")
-_ITEM_SEPARATORS = (" | ", "; ", ", ", " • ", " / ", " · ", " > ", " » ")
-_END = ".!?。！？…"
-_DIGITS = "0123456789"
+LOST = 0.02
+#: Share of function words of a language from which a text has a language.
+LEAST_WORDS = 0.05
+
+_BULLETS = "-*+•·–—o»>"
+_ENDS = ".!?。！？…"
 _CLOSERS = "\"'”’»)）」"
+_HANZI = (0x3400, 0x9FFF)
+
+
+def _of(codes: np.ndarray, chars: str) -> np.ndarray:
+    """Whether each code point is one of a few characters."""
+    out = codes == ord(chars[0])
+    for c in chars[1:]:
+        out |= codes == ord(c)
+    return out
+
+
+@cache
+def _function_words() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the function words, and their weight by language."""
+    names = sorted(lm.WEIGHTS)
+    h = bulk.words([" ".join(names)]).hash
+    order = np.argsort(h)
+    return h[order], np.array([lm.WEIGHTS[w] for w in names])[order]
+
+
+def word_weights(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each word is a function word, its row in the table of weights)."""
+    keys, _ = _function_words()
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return keys[at] == hashes, at
+
+
+def measure(texts: list[str | None]) -> pd.DataFrame:
+    """Statistics of each text; all null for null and blank texts."""
+    parts = [_measure(texts[a:b]) for a, b in bulk.chunks(texts)]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in NAMES})
+
+
+def _measure(texts: list[str | None]) -> pd.DataFrame:
+    fixed = garble.sound(texts)
+    k = len(texts)
+    w = bulk.words(fixed)
+    t = bulk.text(fixed)
+    n = np.diff(w.first).astype(float)
+    some = np.maximum(n, 1.0)
+    blank = bulk.between(np.flatnonzero(t.kind != bulk.SPACE), t.start[:-1], t.start[1:]) == 0
+
+    # words
+    letters = bulk.sums(w.doc, w.length, k)
+    known, row = word_weights(w.hash)
+    common = bulk.sums(w.doc[known], np.ones(int(known.sum())), k) / some
+    weights = np.zeros((k, len(lm.LANGS)))
+    np.add.at(weights, w.doc[known], _function_words()[1][row[known]])
+    distinct = np.diff(bulk.distinct(w.hash, w.first)[1]).astype(float)
+    triples = np.where(n > 2, np.diff(bulk.distinct(*bulk.grams(w, 3))[1]) / np.maximum(1.0, n - 2), 1.0)
+
+    # characters
+    where = lambda mask: bulk.between(np.flatnonzero(mask), t.start[:-1], t.start[1:]).astype(float)
+    solid = np.maximum(1.0, where(t.kind != bulk.SPACE))
+    digits = where((t.codes >= 48) & (t.codes <= 57))
+    ends = where(_of(t.codes, _ENDS))
+    lost = where(t.codes == 0xFFFD) / solid
+    # Chinese has no spaces: function characters and sentence marks among the hanzi stand for function words
+    hanzi_at = (t.codes >= _HANZI[0]) & (t.codes <= _HANZI[1])
+    hanzi = where(hanzi_at)
+    cyrillic = where((t.codes >= 0x400) & (t.codes <= 0x4FF))
+    chinese = 2 * hanzi >= 0.3 * (letters - hanzi)
+    chinese &= hanzi > 0
+    if chinese.any():
+        function = where(_of(t.codes, "".join(sorted(lm.ZH_CHARS))))
+        marks = where(_of(t.codes, "。，"))
+        common = np.where(chinese, np.minimum(1.0, 2.0 * function / np.maximum(1.0, hanzi) + 3.0 * marks / np.maximum(1.0, hanzi)), common)
+    russian = ~chinese & (cyrillic >= 0.3 * (letters - cyrillic)) & (cyrillic > 0)
+    weights[:, lm.LANGS.index("zh")] += np.where(chinese, 1e6, 0)
+    weights[:, lm.LANGS.index("ru")] += np.where(russian, 1e6, 0)
+    # a stray word of another language is no evidence
+    weights[weights.max(axis=1) < LEAST_WORDS * 2.2 * some] = 0.0
+    lang = np.where(weights.max(axis=1) > 0, np.array(lm.LANGS, dtype=object)[weights.argmax(axis=1)], "none")
+
+    # lines
+    ln = bulk.lines(t)
+    after, width = ln.last + 1, len(t.codes)
+    in_line = lambda mask: bulk.between(np.flatnonzero(mask), ln.first, after)
+    nxt = np.append(t.codes[1:], 10)
+    space = t.kind == bulk.SPACE
+    next_space, last_space = np.append(space[1:], True), np.concatenate([[True], space[:-1]])
+    bars = _of(t.codes, "|")
+    n_bars = in_line(bars) - bars[ln.first] - (bars[ln.last] & (ln.last > ln.first))
+    tabs = in_line(t.codes == 9)
+    gaps = in_line(space & ~last_space & (next_space | (t.codes == 9)))
+    semis = in_line(t.codes == 59)
+    loose = in_line(_of(t.codes, ",;") & next_space)
+    tight = in_line((t.codes == 44) & ~next_space & ~((nxt >= 48) & (nxt <= 57)))
+    rules = in_line(~_of(t.codes, "-+|=: ")) == 0
+    cells = np.maximum.reduce([n_bars, tabs, gaps, np.where(loose == 0, semis, 0), np.where(loose == 0, tight, 0)]) + 1
+    n_lines = np.maximum(1.0, bulk.sums(ln.doc, np.ones(len(ln.doc)), k))
+    rows = bulk.sums(ln.doc, (cells >= 3) | rules, k)
+    cell_lines = np.where(n_lines >= 2, rows / n_lines, 0.0)
+    closed = np.flatnonzero(~space & ~_of(t.codes, _CLOSERS))
+    if len(closed):
+        at = closed[np.maximum(np.searchsorted(closed, after) - 1, 0)]
+        ended = (at >= ln.first) & (at < after) & _of(t.codes[at], _ENDS)
+    else:
+        ended = np.zeros(len(ln.doc), bool)
+    line_end = bulk.sums(ln.doc, ended, k) / n_lines
+    # a bullet, a number or a letter with a mark, then white space; or a title and a mark before the rest
+    c = [t.codes[np.minimum(ln.first + j, width - 1)] if width else t.codes for j in range(5)]
+    s = [space[np.minimum(ln.first + j, width - 1)] if width else space for j in range(5)]
+    digit = [(x >= 48) & (x <= 57) for x in c]
+    mark = [_of(x, ".):-") if len(x) else x == 0 for x in c]
+    bullet = (_of(c[0], _BULLETS) & s[1]) | (digit[0] & mark[1] & s[2]) | (digit[0] & digit[1] & mark[2] & s[3]) | (digit[0] & digit[1] & digit[2] & mark[3] & s[4])
+    bullet |= digit[0] & s[1] & mark[2] & s[3] | digit[0] & digit[1] & s[2] & mark[3] & s[4]
+    letter = (c[0] | 32) - 97 < 26
+    bullet |= letter & _of(c[1], ".)") & s[2]
+    titled = (in_line(_of(t.codes, ":>»=/") & next_space) + in_line(_of(t.codes, "-–—") & next_space & last_space) + in_line((t.codes == 46) & (nxt == 46))) > 0
+    marked = bulk.sums(ln.doc, (bullet | (titled & ~ended)) & ~rules, k) / n_lines
+    inner = in_line((_of(t.codes, "|•/·>»") & next_space & last_space) | (_of(t.codes, ",;") & next_space))
+    items = n_lines + bulk.sums(ln.doc, inner, k)
+    sizes = np.diff(t.start) - 1
+
+    out = pd.DataFrame({
+        "lang": lang, "word_count": n, "log_words": np.log1p(n), "word_length": letters / some, "symbol_ratio": np.maximum(0.0, (solid - letters) / solid),
+        "word_diversity": np.where(n > 1, np.log1p(distinct) / np.log1p(some), 1.0), "line_end_punct": line_end, "common_words": common, "digit_ratio": digits / solid,
+        "sentence_ends": np.minimum(1.0, ends / some), "triple_diversity": triples, "cell_lines": cell_lines, "marked_lines": marked, "item_words": np.log(np.maximum(1.0, n) / items),
+        "distinct_share": distinct / some, "lost": (lost > LOST) & (sizes > 0),
+    })
+    # Chinese runs of letters are no words, so what counts words says nothing there
+    for d in ("word_length", "sentence_ends", "item_words", "log_words"):
+        out.loc[chinese, d] = 0.0
+    for d in ("word_diversity", "triple_diversity"):
+        out.loc[chinese, d] = 1.0
+    out["word_count"] = out["word_count"].astype("Int64")
+    out["lost"] = out["lost"].astype(object)
+    out.loc[blank] = None
+    return out[NAMES]
 
 
-def words_of(text: str) -> list[str]:
-    """Pieces between white space, lower case, letters and digits only; empty ones dropped."""
-    return _STRIP.sub("", text.lower()).split()
-
-
-def _ends(line: str) -> bool:
-    s = line.rstrip()
-    if s[-1:] in _CLOSERS:
-        s = s.rstrip(_CLOSERS)
-    return bool(s) and s[-1] in _END
-
-
-def _cells(line: str) -> int:
-    """Cells of a table row, 0 for other lines."""
-    s = line.strip()
-    if s.startswith(("+-", "|-", "+=", "|:")) or set(s) <= set("-+|=: "):
-        return -1
-    best = 0
-    for sep in ("|", "\t", ";"):
-        if sep in s:
-            best = max(best, len([c for c in s.strip(sep).split(sep)]))
-    if "," in s and ", " not in s and not re.search(r"\d,\d{3}\b", s):
-        best = max(best, s.count(",") + 1)
-    return max(best, len(_GAPS.findall(s)) + 1)
-
-
-def form_of(text: str, words: list[str]) -> str:
-    """Outer form of a text that has few sentences: list, table or junk."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    n = len(words)
-    solid = sum(map(len, text.split()))
-    letters = sum(map(len, words))
-    if n == 0 or letters < 0.55 * solid and not any(_cells(x) > 2 for x in lines):
-        return "junk"
-    if n >= 12 and len(set(words)) / n < 0.25 and not (len(lines) > 3 and sum(bool(_BULLET.match(x)) for x in lines) > 0.7 * len(lines) and len(set(lines)) > 0.7 * len(lines)):
-        return "junk"
-    if len(lines) >= 2:
-        if sum(bool(_HEXROW.match(x)) for x in lines) > 0.6 * len(lines):
-            return "junk"
-        if sum(len(x.split()) == 1 and len(x.strip()) > 30 for x in lines) > 0.6 * len(lines):
-            return "junk"  # encoded bytes
-        cells = [_cells(x) for x in lines]
-        rules = sum(c < 0 for c in cells)
-        rows = [c for c in cells if c >= 3]
-        digits = sum(map(text.count, _DIGITS))
-        pairs = [c for c in cells if c == 2]
-        if len(rows) + rules >= 0.6 * len(lines) and len(rows) >= 2:
-            return "table"
-        if len(pairs) + len(rows) + rules >= 0.8 * len(lines) and len(pairs) >= 3 and (digits > 0.12 * solid or rules):
-            return "table"
-    if len(lines) >= 4 and n / len(lines) <= 12:
-        sep = sum(bool(_BULLET.match(x)) or bool(re.search(r"\S\s*(?:[:>»/|=–—-]|\.{3,})\s+\S", x)) for x in lines)
-        titled = sum(x.strip()[:1].isalpha() for x in lines)
-        if sep >= 0.5 * len(lines) or titled >= 0.8 * len(lines):
-            return "list"
-    flat = " ".join(lines)
-    for s in _ITEM_SEPARATORS:
-        items = flat.split(s)
-        if len(items) >= 6 and n / len(items) <= 9 and len({x.strip() for x in items}) > 0.4 * len(items):
-            return "list"
-    return "junk"
-
-
-def measure(text: str | None, words: list[str] | None = None) -> tuple | None:
-    """(language, statistics..., form) of one text; None for null and blank texts."""
-    if not text or not text.strip():
-        return None
-    if words is None:
-        words = words_of(text)
-    lang, _ = lm.best(text, words)
-    common = len([w for w in words if w in lm._OF]) / len(words) if words else 0.0
-    if lang == "zh":
-        common = _zh_common(text)
-    if common < FEW_COMMON and not text.isascii():
-        fixed, hits, _ = garble.repair_text(text)
-        lost = text.count("�")
-        if hits and lost > 0.02 * len(text):
-            return _row(text, words, lang, 1.0, None)  # the letters are lost; nothing says that it was no prose
-        if hits:
-            text = fixed
-            words = words_of(text)
-            lang, _ = lm.best(text, words)
-            common = _zh_common(text) if lang == "zh" else sum(w in lm._OF for w in words) / max(1, len(words))
-    form = form_of(text, words) if common < FEW_COMMON else None
-    if form is None and len(words) >= 40 and len(set(words)) < 0.12 * len(words) and lang != "zh":
-        form = "junk"
-    return _row(text, words, lang, common, form)
-
-
-def _zh_common(text: str) -> float:
-    """Chinese has no spaces; its measure is function characters and sentence marks among the hanzi."""
-    hanzi = lm._CJK.findall(text)
-    if not hanzi:
-        return 0.0
-    marks = text.count("。") + text.count("，")
-    return min(1.0, 2.0 * sum(c in lm.ZH_CHARS for c in hanzi) / len(hanzi) + 3.0 * marks / len(hanzi))
-
-
-def _row(text: str, words: list[str], lang: str | None, common: float, form: str | None) -> tuple:
-    n = len(words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    solid = max(1, sum(map(len, text.split())))
-    alnum = sum(map(len, words))
-    triples = max(1, n - 2)
-    distinct = len(set(words))
-    return (
-        lang or "none",
-        n,
-        alnum / n if n else 0.0,
-        max(0.0, (solid - alnum) / solid),
-        math.log(1 + distinct) / math.log(1 + n) if n else 0.0,
-        sum(map(_ends, lines)) / max(1, len(lines)),
-        common,
-        sum(map(text.count, _DIGITS)) / solid,
-        min(1.0, sum(map(text.count, _END)) / max(1, n)),
-        len(set(zip(words, words[1:], words[2:]))) / triples if n > 2 else 1.0,
-        distinct / n if n else 0.0,
-        form,
-    )
-
-
-SCHEMA = "lang string, word_count long, " + ", ".join(f"{d} double" for d in DIMS) + ", distinct_share double, form string"
-
-
-NAMES = ["lang", "word_count", *DIMS, "distinct_share", "form"]
-
-
-def as_frame(rows: list[tuple | None]) -> pd.DataFrame:
-    """Rows of ``measure`` as a frame of the statistics' schema."""
-    empty = (None,) * len(NAMES)
-    out = pd.DataFrame([r or empty for r in rows], columns=NAMES)
-    out["word_count"] = out["word_count"].astype("Int64")
+NAMES = ["lang", "word_count", *DIMS, "distinct_share", "lost"]
+SCHEMA = "lang string, word_count long, " + ", ".join(f"{d} double" for d in DIMS) + ", distinct_share double, lost boolean"
+
+
+def as_frame(texts: list[str | None]) -> pd.DataFrame:
+    """``measure`` with the types of SCHEMA."""
+    out = measure(texts)
     return out.astype({d: "float64" for d in (*DIMS, "distinct_share")})
 
 
@@ -192,14 +203,14 @@ def statistics(records: DataFrame, id_col: str = "result_id", text_col: str = "t
     @F.pandas_udf(SCHEMA)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            yield as_frame([measure(t) for t in part])
+            yield as_frame(part.tolist())
 
     return records.select(id_col, run(F.col(text_col)).alias("_s")).select(id_col, "_s.*")
 
 
 def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Language -> (mean, inverse covariance) of its typical records; key '*' pools all languages."""
-    seen = stats.where((F.col("word_count") > 0) & (F.col("common_words") >= FEW_COMMON))  # texts made of sentences
+    seen = stats.where((F.col("word_count") > 0) & ~F.col("lost") & (F.col("lang") != "none"))
     med = seen.groupBy("lang").agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m_{d}") for d in DIMS])
     near = seen.join(F.broadcast(med), "lang")  # one row per language
     mad = near.groupBy("lang").agg(*[F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{d}")), 0.5, 1000).alias(f"d_{d}") for d in DIMS])
@@ -221,34 +232,56 @@ def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     for r in rows:
         p = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         parts[r["lang"]] = (r["n"], np.array([r[f"s{i}"] for i in range(k)]), p)
-    if not parts:
-        return {"*": (np.zeros(k), np.eye(k))}
-    prose = {g: v for g, v in parts.items() if g != "none"} or parts
-    model = {"*": solve(*(sum(v[i] for v in prose.values()) for i in range(3)))}
-    return model | {g: solve(*v) for g, v in prose.items() if v[0] >= MIN_ROWS}
+    if sum(v[0] for v in parts.values()) < MIN_ROWS:
+        return {}
+    model = {"*": solve(*(sum(v[i] for v in parts.values()) for i in range(3)))}
+    return model | {g: solve(*v) for g, v in parts.items() if v[0] >= MIN_ROWS}
+
+
+def contributions(x: np.ndarray, lang: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(contribution of each statistic, difference from the mean of prose) of each row."""
+    c, diff = np.zeros_like(x), np.zeros_like(x)
+    for g in set(lang.tolist()):
+        mean, inv = model.get(g) or model["*"]
+        rows = lang == g
+        diff[rows] = x[rows] - mean
+        c[rows] = diff[rows] * (diff[rows] @ inv)
+    return c, diff
+
+
+def kinds_of(c: np.ndarray, diff: np.ndarray) -> np.ndarray:
+    """Kind of each row beyond CUT, by the contributions; None for prose."""
+
+    def voice(kind: str) -> np.ndarray:
+        return sum(np.where(diff[:, j] * side > 0, np.maximum(c[:, j], 0.0), 0.0) for d, side in SPEAKS[kind].items() if (j := DIMS.index(d)) >= 0)
+
+    items, junk = voice("list"), voice("junk")
+    kind = np.where(voice("table") > CUT / 2, "table", np.where((items <= 0) | (junk > items + MARGIN), "junk", "list")).astype(object)
+    kind[c.sum(axis=1) <= CUT] = None
+    return kind
 
 
 def score(stats: DataFrame, model: dict, id_col: str = "result_id") -> DataFrame:
     """Adds ``distance`` (squared), ``contributions`` (they sum to it), ``outlier`` and ``kind``."""
 
-    @F.pandas_udf("distance double, contributions array<double>")
-    def run(lang: pd.Series, x: pd.Series) -> pd.DataFrame:
-        out_d, out_c = [], []
-        for g, v in zip(lang, x, strict=True):
-            if v is None or any(e is None or e != e for e in v):
-                out_d.append(None)
-                out_c.append(None)
-                continue
-            mean, inv = model.get(g) or model["*"]
-            diff = np.asarray(v, dtype=float) - mean
-            c = diff * (inv @ diff)
-            out_d.append(float(c.sum()))
-            out_c.append(c.round(6).tolist())
-        return pd.DataFrame({"distance": pd.Series(out_d, dtype="float64"), "contributions": out_c})
-
-    d = stats.withColumn("_d", run(F.col("lang"), F.when(F.col("word_count").isNotNull(), F.array(*DIMS))))
-    outlier = F.coalesce(F.col("_d.distance") > CUT, F.lit(False))
-    return d.select(*stats.columns, "_d.distance", "_d.contributions", outlier.alias("outlier"), F.when(outlier | (F.col("word_count") == 0), F.col("form")).alias("kind")).drop("form")
+    @F.pandas_udf("distance double, contributions array<double>, kind string")
+    def run(lang: pd.Series, count: pd.Series, lost: pd.Series, x: pd.Series) -> pd.DataFrame:
+        lost = lost.eq(True).to_numpy()
+        n = count.fillna(-1).to_numpy()
+        distance, shares = np.full(len(lang), np.nan), [None] * len(lang)
+        kind = np.where((n == 0) & ~lost, "junk", None)
+        rows = np.flatnonzero((n > 0) & ~lost) if model else np.zeros(0, int)
+        if len(rows):
+            c, diff = contributions(np.stack(x.iloc[rows].to_list()).astype(float), lang.iloc[rows].to_numpy(), model)
+            distance[rows], kind[rows] = c.sum(axis=1), kinds_of(c, diff)
+            for k, v in zip(rows.tolist(), c.round(6).tolist(), strict=True):
+                shares[k] = v
+        return pd.DataFrame({"distance": distance, "contributions": shares, "kind": kind})
+
+    d = stats.withColumn("_d", run("lang", "word_count", "lost", F.array(*DIMS)))
+    distance = F.when(~F.isnan("_d.distance"), F.col("_d.distance"))
+    kept = [c for c in stats.columns if c != "lost"]
+    return d.select(*kept, distance.alias("distance"), "_d.contributions", F.coalesce(distance > CUT, F.lit(False)).alias("outlier"), "_d.kind")
 
 
 def assess(records: DataFrame) -> DataFrame:

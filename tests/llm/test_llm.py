@@ -96,22 +96,62 @@ def test_unify_is_idempotent_and_leaves_sound_text():
         assert unify.unify_text(t) == (t, [])
 
 
-def test_forms_and_statistics():
-    sentence = "The committee of the fund asked whether the order book was really thin, and it was not. "
-    assert prose.measure(sentence * 3)[-1] is None
-    assert prose.measure("\n".join(f"- thin order {x}" for x in "abcdefgh"))[-1] == "list"
-    assert prose.measure("a | b | c | d\n" + "\n".join(f"x{k} | {k} | {k + 1} | {k * 7}" for k in range(8)))[-1] == "table"
-    assert prose.measure("=@}~# +##=]=*/< #$ #<%|{/#_| }$<")[-1] == "junk"
-    assert prose.measure("loading krfc loading loading krfc loading " * 10)[-1] == "junk"
-    assert prose.measure("  ") is None and prose.measure(None) is None
-    m = prose.measure("One two, three. Four")
-    assert m[1] == 4 and m[2] == pytest.approx(3.75)
+PROSE = ["The committee of the fund asked whether the order book was really thin, and it was not.", "In the end, two of them left because the price of the token had not moved at all.", "When the auction was over, we saw that most of the orders had been placed by one desk.", "It is hard to say how much of this was due to the new rule, but some of it surely was."]
 
 
-def test_long_table_whose_rows_begin_late():
-    head = "\n".join(["#### ----", "+---+---+---+"] * 30)
-    rows = "\n".join(f"x{k} | +++ | --- | %%% {k}" for k in range(200))
-    assert prose.measure(head + "\n" + rows)[-1] == "table"
+def corpus_with(spark, odd):
+    random.seed(3)
+    sound = [" ".join(random.choice(PROSE) for _ in range(random.randint(3, 9))) + f" {k} of them." for k in range(200)]
+    return records(spark, odd + sound)
+
+
+ODD = {
+    "list": ["\n".join(f"- thin order {x}" for x in "abcdefgh"), "; ".join(f"narrow limit {x * 5}" for x in "abcdefghijk"), "\n".join(f"{k}. quiet market {x * 4}" for k, x in enumerate("abcdefgh", 1))],
+    "table": ["a | b | c | d\n" + "\n".join(f"x{k} | {k} | {k + 1} | {k * 7}" for k in range(8)), "\n".join(f"name{k}\t{k * 3}\t{k * 7}\t{k}" for k in range(9))],
+    "junk": ["=@}~# +##=]=*/< #$ #<%|{/#_| }$<" * 3, "loading krfc loading loading krfc loading " * 10, "zq xv kkw prr tlm bvx qqz wrt pls mnb " * 3, "== -- !!"],
+}
+LATE = "\n".join(["#### ----", "+---+---+---+"] * 30) + "\n" + "\n".join(f"x{k} | +++ | --- | %%% {k}" for k in range(200))
+
+
+def test_distance_and_contributions_tell_kinds(spark):
+    """Also a long table whose rows begin late. Without the distance (an endless cut-off) nothing is told."""
+    odd = [(k, t) for k, ts in ODD.items() for t in ts] + [("table", LATE)]
+    short = "We looked at the list again, and this is what was on it:\n- thin order a\n- thin order b\nNone of it was new to us, and so we left it there."
+    r = corpus_with(spark, [t for _, t in odd] + [short, None, "  "])
+    got = {x["result_id"]: x["kind"] for x in prose.found(r).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(odd)}
+
+
+def test_kinds_need_the_distance(spark, monkeypatch):
+    r = corpus_with(spark, ODD["list"])
+    monkeypatch.setattr(prose, "CUT", 1e9)
+    stats = prose.statistics(r)
+    model = prose.fit(stats)
+    c, diff = prose.contributions(np.array([[0.0] * len(prose.DIMS)]), np.array(["en"]), model)
+    assert prose.kinds_of(c, diff).tolist() == [None]
+    monkeypatch.setattr(prose, "CUT", 80.0)
+    assert prose.kinds_of(c, diff).tolist() != [None]
+
+
+def test_few_records_give_no_fit(spark):
+    r = records(spark, ODD["list"] + ["== -- !!"])
+    assert [tuple(x) for x in prose.found(r).collect()] == [(3, "junk")]
+
+
+def test_statistics_equal_plain_python():
+    texts = ["One two, three. Four", "a-b c's  ÀB 12\n\n(x)!", None, " \n", "wörter wörter, ￼ 3.5% — ok?”", "x" * 5000 + " y"]
+    m = prose.measure(texts)
+    for t, r in zip(texts, m.to_dict("records")):
+        if not t or not t.strip():
+            assert r["word_count"] is None or pd.isna(r["word_count"])
+            continue
+        w = ["".join(c for c in p.lower() if c.isalnum()) for p in t.split()]
+        w = [x for x in w if x]
+        solid = sum(not c.isspace() for c in t)
+        assert r["word_count"] == len(w) and r["word_length"] == pytest.approx(sum(map(len, w)) / len(w))
+        assert r["symbol_ratio"] == pytest.approx((solid - sum(map(len, w))) / solid) and r["distinct_share"] == pytest.approx(len(set(w)) / len(w))
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        assert r["line_end_punct"] == pytest.approx(sum(x.rstrip("\"'”)")[-1:] in tuple(".!?") for x in lines) / len(lines))
 
 
 def test_distance_contributions_sum_up(spark):
@@ -134,6 +174,27 @@ def test_mixed_and_wrong_labels(spark):
     assert got == {(1, "en"), (3, "en"), (3, "de"), (4, "de"), (6, "en")}
 
 
+def test_priors_decide_what_the_text_leaves_open(spark):
+    """The same short text is German on a host and under a label of German texts; without priors it is not."""
+    de, en = "Das ist nicht der Bericht und er wird noch im Herbst geprüft. ", "The report was published and it is not final in any way. "
+    rows = [(k, de * 3, "de", "h1") for k in range(60)] + [(100 + k, en * 3, "en", "h2") for k in range(60)]
+    short = "x 7"
+    rows += [(500, short, None, "h1"), (501, short, None, "h2"), (502, "12345", None, "h1")]
+    r = spark.createDataFrame([(i, t, g, h, "/x") for i, t, g, h in rows], "result_id long, text string, language string, source string, file_path string")
+    hosts = spark.createDataFrame([("h1", "a"), ("h2", "b")], "host string, kind string")
+    got = {x["result_id"]: (x["lang"], x["confidence"]) for x in language.classify(r, hosts).where("result_id >= 500").collect()}
+    assert got[500][0] == "de" and got[501][0] == "en" and got[502] == (None, 0.0)
+    assert 0 < got[500][1] <= 1
+
+
+def test_languages_beyond_the_nine_are_no_case(spark):
+    pl = "Zgodnie z raportem, który został opublikowany w zeszłym tygodniu, ceny wzrosły o kilka procent. "
+    r = spark.createDataFrame([(1, pl * 3, "pl", "h", "/x"), (2, pl, None, "h", "/x")], "result_id long, text string, language string, source string, file_path string")
+    hosts = spark.createDataFrame([("h", "k")], "host string, kind string")
+    assert {x["lang"] for x in language.classify(r, hosts).collect()} == {"und"}
+    assert language.found(r, hosts, spark.read.parquet(f"{DIR}/quality_config.parquet")).count() == 0
+
+
 def test_scan_repair():
     wrong, keep = {"diffcrence": "difference", "tbe": "the"}, {"cap-weighted": False}
     text = "Acme Desk Bulletin\np. 9\nIn tbe sample, the liqui-\ndity and the cap-\nweighted index show a\np. 10\nAcme Desk Bulletin\nbig diffcrence.\n\nNext one."
