@@ -57,12 +57,14 @@ def class_of(codes: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """Words of a list of texts: ``hash`` and ``length`` of each, ``doc`` (number of its text), ``first`` (number of the
-    first word of each text, with one more entry at the end)."""
+    first word of each text, with one more entry at the end), ``place`` of its first letter or digit among the code points
+    of the lower-case texts, each with a line break behind."""
 
     hash: np.ndarray
     length: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    place: np.ndarray
 
 
 def hash_runs(codes: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def words(texts: Iterable[str | None]) -> Words:
     edges = np.searchsorted(keep, np.cumsum(sizes) - 1)  # the line break after each text
     first = np.concatenate([[0], np.searchsorted(starts, edges)]).astype(np.int64)
     doc = np.repeat(np.arange(len(lowered)), np.diff(first))
-    return Words(hash_runs(codes, starts, ~space), lengths, doc, first)
+    return Words(hash_runs(codes, starts, ~space), lengths, doc, first, keep[starts])
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
