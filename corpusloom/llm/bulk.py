@@ -18,7 +18,7 @@ import numpy as np
 TOP = 0x323B0
 OTHER, ALNUM, SPACE = 0, 1, 2
 #: Characters of one piece of work: bounds the arrays, whatever the batch.
-CHUNK = 1_500_000
+CHUNK = 150_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACES = 4096
