@@ -33,8 +33,9 @@ from . import prose
 
 #: (as printed, as misread)
 CONFUSIONS = (("e", "c"), ("o", "0"), ("d", "cl"), ("l", "1"), ("u", "ii"), ("h", "b"), ("m", "rn"), ("w", "vv"), ("g", "9"), ("i", "l"), ("i", "1"), ("ri", "n"), ("s", "5"), ("b", "8"), ("b", "6"), ("z", "2"), ("l", "i"), ("c", "e"), ("b", "h"), ("m", "nn"), ("m", "in"), ("h", "li"), ("n", "ri"))
-#: A correction must be this many times as frequent as the word it replaces, and occur this often.
-RATIO, FREQUENT = 20, 20
+#: A correction must be this many times as frequent as the word it replaces. Words have 3 to 40 characters.
+RATIO = 20
+LEAST, LONGEST = 3, 40
 MIN_MISREAD = 2
 MAX_LOCAL = 300_000
 #: Dictionary entries of one partition before they are handed on.
@@ -65,7 +66,7 @@ DELTAS = tuple((seen, true, anagram(true) - anagram(seen)) for true, seen in CON
 def tokens(text: str) -> list[str]:
     """Lower-case words of a text with at least three letters or digits, divided words joined."""
     joined = _DIVIDED.sub(r"\1\3", text) if _MARKED_END.search(text) else text
-    return [w for w in _WORD.findall(joined.lower()) if 2 < len(w) <= 40 and not w.isdigit()]
+    return [w for w in _WORD.findall(joined.lower()) if LEAST <= len(w) <= LONGEST and not w.isdigit()]
 
 
 def vocabulary(records: DataFrame, by_text: bool = True) -> DataFrame:
@@ -104,7 +105,7 @@ def vocabulary(records: DataFrame, by_text: bool = True) -> DataFrame:
 def corrections(vocab: DataFrame) -> DataFrame:
     """(word, correct): misread words with the most frequent word that one confusion explains."""
     words = vocab.where("kind = 'w'").select("word", "n", "h")
-    frequent = words.where(F.col("n") >= FREQUENT).select(F.col("word").alias("correct"), F.col("n").alias("m"), F.col("h").alias("key"))
+    frequent = words.where(F.col("n") >= RATIO).select(F.col("word").alias("correct"), F.col("n").alias("m"), F.col("h").alias("key"))
     deltas = F.array(*[F.struct(F.lit(s).alias("seen"), F.lit(t).alias("true"), F.lit(d).alias("delta")) for s, t, d in DELTAS])
     tried = words.select("word", "n", "h", F.explode(deltas).alias("x")).where(F.col("word").contains(F.col("x.seen")))
     tried = tried.select("word", "n", "x.seen", "x.true", (F.col("h") + F.col("x.delta")).alias("key"))
@@ -195,6 +196,27 @@ def mend(text: str, wrong: dict[str, str], divided: dict[str, bool]) -> tuple[st
     return text, n_page, n_div, n_bad
 
 
+class _Asked(dict):
+    """Remembers the divisions that are looked up, and answers all of them alike."""
+
+    def __init__(self, divided: bool):
+        self.keys_, self.divided = set(), divided
+
+    def get(self, key: str, default: bool = True) -> bool:
+        self.keys_.add(key)
+        return self.divided
+
+
+def asked(text: str) -> set[str]:
+    """All words and divisions that ``mend`` may look up in a text, whatever the decisions on its divisions are."""
+    out: set[str] = set()
+    for divided in (True, False):
+        seen = _Asked(divided)
+        out.update(_WORD.findall(mend(text, {}, seen)[0].lower()))
+        out |= seen.keys_
+    return out
+
+
 def repair(records: DataFrame, id_col: str = "result_id", text_col: str = "text") -> DataFrame:
     """(id, text, furniture, divided, misread, damaged): one row per input row."""
     src = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -221,7 +243,7 @@ def repair(records: DataFrame, id_col: str = "result_id", text_col: str = "text"
 
         @F.pandas_udf("array<string>")
         def words(texts: pd.Series) -> pd.Series:
-            return pd.Series([sorted(set(tokens(t)) | {f"{a}-{b}".lower() for a, _, b in _DIVIDED.findall(t)}) if t else [] for t in texts])
+            return pd.Series([sorted(asked(t)) if t else [] for t in texts])
 
         hits = src.where("text is not null").select("text", F.explode(words("text")).alias("word")).select(F.xxhash64("text").alias("key"), "word").distinct()
         local = hits.join(changes, "word").groupBy("key").agg(F.collect_list(F.struct("kind", "word", "correct")).alias("changes"))  # bounded by the words of one text

@@ -88,6 +88,16 @@ def test_sound_text_stays(text):
 
 
 def test_unify_is_idempotent_and_leaves_sound_text():
+    for same in ["x\u0304 y", "e\u0323\u0301", "\u0437\u0430\u0301\u043c\u043e\u043a"]:  # marks that no composed letter has stay
+        fixed, kinds = unify.unify_text(same)
+        assert fixed == __import__("unicodedata").normalize("NFC", same) and kinds == ["combining"] and unify.unify_text(fixed)[0] == fixed
+    for same in ["\U0001f468\u200d\U0001f469\u200d\U0001f467", "\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", "k\u03a9 \u03bcm", "\u2764\ufe0f"]:  # joiners in emoji and Persian, units
+        assert unify.unify_text(same) == (same, [])
+    for x, y in {"\u212b": "\u00c5", "\u2126": "\u03a9", "\ufb01ne": "fine", "\uff76\uff9e": "\u30ac", "\u1112\u1161\u11ab": "\ud55c", "\u0441\u043e\u0441\u043e a": "coco a"}.items():
+        fixed, kinds = unify.unify_text(x)
+        assert fixed == y and kinds and not set(kinds) & set(unify.CASES) and unify.unify_text(fixed) == (y, [])
+    texts = ["plain", "caf\u00e9", "cafe\u0301", "a\u00a0b", "p\u0430y", "\u041f\u0440\u0438\u0432\u0435\u0442", None, "\u212b", "\u0441\u043e\u0441\u043e"]
+    assert unify.suspects(texts).tolist() == [False, False, True, True, True, False, False, True, True]
     bad = {"Ｆｕｌｌ １２": "Full 12", "café": "café", "zero​width": "zerowidth", "a b c": "a b c", "pаypаl": "paypal", "оrдер": "оrдер"}
     for x, y in list(bad.items())[:5]:
         fixed, kinds = unify.unify_text(x)
@@ -205,12 +215,14 @@ def test_scan_repair():
 
 
 def test_scan_corrections_by_join_equal_the_local_ones(spark, monkeypatch):
-    words = ["the difference of the model was improved when the desk measured it again for the sample"] * 60
-    r = records(spark, words + ["the diffcrence of the rnodel vvas iinproved"])
+    words = [f"the difference of the model was improved when the well desk measured it again for the sample {k}" for k in range(60)]
+    words += ["it was a wcll-known thing", "no wcll-known thing at all"]
+    r = records(spark, words + ["the diffcrence of the rnodel vvas iinproved", "the wcll-\nknown thing and the diffcr-\np. 9\nence of it"])
     a = sorted(map(tuple, scan.repair(r).collect()))
     monkeypatch.setattr(scan, "MAX_LOCAL", 0)
     b = sorted(map(tuple, scan.repair(r).collect()))
-    assert a == b and "the difference of the model was" in a[-1][1]
+    assert a == b and "the difference of the model was" in a[-2][1]
+    assert a[-1][1] == "the well-known thing and the difference of it"
 
 
 def test_scan_corrections_count_copies_of_a_text_once(spark):
@@ -310,11 +322,67 @@ def test_leaks_of_a_smaller_share(spark):
     assert [(r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()] == [(1, 2, 8)]
 
 
-def test_alignment():
-    item = "the order book thinned out near the touch over three sessions"
-    doc = "prefix words " + item.replace("thinned", "thined") + " suffix"
-    a, b, sim = leak.align(doc, item, 13)
-    assert sim == pytest.approx(1 - 1 / len(item), abs=1e-4) and doc[a:b].startswith("the order")
+def test_alignment_equals_plain_edit_distance():
+    random.seed(4)
+
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(last + (x != y), d[j] + 1, d[j - 1] + 1)
+        return d[-1]
+
+    for _ in range(200):
+        a = "".join(random.choice("ab c") for _ in range(random.randint(1, 30)))
+        b = list(a)
+        for _ in range(random.randint(0, 4)):
+            k = random.randrange(len(b) + 1)
+            b[k : k + random.randint(0, 1)] = random.choice(["", "x", "a"])
+        b = "".join(b) or "a"
+        assert leak.align(leak.bulk.codes_of(b), leak.bulk.codes_of(a), 10) == plain(a, b)
+
+
+def test_plain_words_equal_plain_python():
+    for t in ["  One,  two\n\nthree! ", "", "a--b  c", " . ", "x", "Ünï_code 12\t3"]:
+        want = " ".join(w for w in ("".join(c for c in p.lower() if c.isalnum()) for p in t.split()) if w)
+        assert leak.plain(t) == want
+    codes, starts = leak.plain_codes(["a b", None, " c. "])
+    assert leak.text_of(codes) == "a b\n\nc\n" and starts.tolist() == [0, 4, 5, 7]
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Edits spread over a passage leave few whole sequences: the alignment alone reports it, in each of its places. Where
+    nothing aligns, nothing is found."""
+    random.seed(9)
+    words = [f"{random.choice('bcdfg')}{k}{random.choice('aeiou')}vwx{k * 7}" for k in range(60)]
+    changed = [w[:-1] + "Q" if k % 4 == 0 else w for k, w in enumerate(words)]
+    filler = [f"y{k}z" for k in range(50)]
+    docs = spark.createDataFrame([(1, " ".join(filler + changed + filler)), (2, " ".join(words[:30] + filler + words[30:])), (3, " ".join(filler))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in leak.leaks(docs, items).collect()}
+    assert set(got) == {1, 2} and got[1]["share"] < 1 / 3 and got[1]["similarity"] > 0.9 and len(got[2]["passages"]) >= 2
+    assert {r["doc_id"] for r in leak.found(docs, items).collect()} == {2}
+    index = leak.Index([(7, " ".join(words))])
+    texts = [r["text"] for r in docs.collect()]
+    assert {d for d, *_ in leak.verified(index, texts)} == {0, 1}
+    monkeypatch.setattr(leak, "align", lambda *a: 10**6)
+    index.cover[:] = 10**6
+    monkeypatch.setattr(leak, "BUDGET", -1e9)
+    assert not leak.verified(index, texts)
+
+
+def test_many_items_and_short_texts_take_no_table_of_pairs():
+    import tracemalloc
+
+    items = [(k, f"alpha{k} beta{k * 3} gamma{k * 7} delta{k * 11} eps{k * 13} zeta{k * 17}") for k in range(2_000)]
+    index = leak.Index(items)
+    texts = [f"alpha{k} beta{k * 3} gamma{k * 7} delta{k * 11} eps{k * 13} zeta{k * 17} end" for k in range(1_000)]
+    tracemalloc.start()
+    got = leak.verified(index, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(d, k) for d, k, *_ in got} >= {(k, k) for k in range(1_000)} and peak < 100e6
 
 
 def test_mix_shares_and_limits(spark):
@@ -356,6 +424,21 @@ def test_subjects_of_clear_texts(spark):
     assert (j["d"] == j["domain"]).mean() > 0.8  # most recorded domains are right
 
 
+def test_leaves_decide_the_subjects(spark):
+    """Clustering decides the rows: two leaves can't tell eight subjects apart, whatever the keywords."""
+    r, keywords = spark.read.parquet("/root/testdata/sf0.01/extraction_results.parquet"), spark.read.parquet("/root/testdata/sf0.01/domain_keywords.parquet")
+    few, many = (set(map(tuple, subject.subjects(r, keywords, leaves=k).select("result_id", "domain").collect())) for k in (2, subject.LEAVES))
+    assert len(many) > 500 and len(few & many) < len(many) / 2
+
+
+def test_terms_of_sentences():
+    got = subject.sentence_terms(["The small order of Karvo was in the book. It was not the small order, and that is what it was.", "Das ist nicht der Bericht.", None])
+    assert got[1] is None and got[2] is None
+    terms, ends = got[0]
+    assert len(ends) == 2 and subject.keyword_terms("small order")[0] in terms[: ends[0]] and subject.keyword_terms("small order")[0] in terms[ends[0] :]
+    assert subject.keyword_terms("term structure of futures") == subject.keyword_terms("term structure") and subject.keyword_terms("the of") == []
+
+
 def test_subject_leaves_are_fitted_on_all_distinct_documents(spark, monkeypatch):
     from pyspark.ml.clustering import BisectingKMeans
 
