@@ -4,12 +4,17 @@ For every pair (written as A, read as B) the sequences that sound characters tur
 once per Python worker and put into one multi-pattern automaton (Aho-Corasick). One pass over a text
 gives all hits; only matched spans are replaced, sound text around them stays untouched.
 
-Three families of patterns:
-* UTF-8 read as a single-byte encoding (also twice over): each sound character becomes two to six
-  characters; a hit is replaced by its original.
-* Cyrillic single-byte encodings read as one another or as a Western one: single letters tell nothing,
-  so frequent letter triples are the patterns; sentences with enough hits are decoded as a whole.
-* GB2312 read as a Western encoding: runs of two-character hits are decoded.
+Families of patterns:
+* UTF-8 read as a single-byte encoding (also twice over): each sound character of the European alphabets, GB2312, kana
+  and Hangul becomes two to six characters; a hit is replaced by its original, and once a pair is proved, so are
+  well-formed UTF-8 runs of rarer characters.
+* Cyrillic and Greek single-byte encodings read as one another or as a Western one: single letters tell nothing,
+  so frequent letter triples are the patterns; in a sentence with enough hits every pair that has hits there is tried, and
+  its words are decoded but for those that look more sound as they are.
+* Western, Central European and Turkish single-byte encodings read as another Western one: frequent words are the
+  patterns; two different ones prove the pair, and words of the sentences with hits are decoded.
+* GB2312, Big5, EUC-KR, Shift-JIS and EUC-JP: runs of double bytes are decoded where the share of the language's frequent
+  characters proves it; without proof nothing is replaced.
 Western single-byte text read as Cyrillic shows as Cyrillic letters inside Latin words; text read as
 UTF-8 shows U+FFFD, which holds no information, so only context (apostrophe, quotation mark, dash,
 currency sign) can bring characters back and the others stay.
@@ -39,7 +44,27 @@ CYRILLIC_ENCODINGS = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 CYRILLIC_READ_AS = (*CYRILLIC_ENCODINGS, "cp1252", "latin1", "mac_roman", "cp850", "cp437")
 #: Frequent letter triples of Russian.
 TRIPLES = "ени ост ого ств про пре ние ова ать ста при ест нов кот раз ции тор ред вер ель ани пос ном сти тел ров ком рез льн ска рас ван ски сто под пол над нос зна общ каж год сле пер тов ков ров ный ной ных ает ени ует или ере сра чив оце нка ряд цен пор руп вае выш риск рын лот вкл сум меж раб кни фон бир ежд ива сво".split()
+#: Frequent letter triples of Greek, and the encodings it is written in and read as.
+GREEK_TRIPLES = "και του την της των ται στη στο από για που τον τις ναι ουν ατο ότι μεν ικο ματ αντ ειν είν τικ ους εις νος ρισ".split()
+GREEK_ENCODINGS, GREEK_READ_AS = ("cp1253", "iso8859_7"), ("cp1252", "latin1", "mac_roman", "cp850", "cp1251")
+#: Frequent words with letters outside ASCII, by the encodings they are written in; what these are read as.
+WORDS_OF = (
+    (("cp1252", "mac_roman", "cp850"), ("cp1252", "mac_roman", "cp850", "cp437", "cp1250"), "für über können müssen größe während später möglich dafür würde également été même après très déjà où à être première está según también más año después información están não são também já até então você situação preço"),
+    (("cp1250", "iso8859_2"), ("cp1252", "latin1", "mac_roman"), "się że są też być już może będzie także które został więcej przez można łódź před při být také může však další které když něco jsou není že"),
+    (("cp1254",), ("cp1252", "latin1", "mac_roman"), "için değil olduğu olduğunu şey çünkü şimdi şekilde başka göre yılı kadın diğer değer aynı"),
+)
+#: Multi-byte encodings, what they are read as, and frequent characters with the least share that proves them.
+LEGACY_READ_AS = ("cp1252", "latin1", "mac_roman", "cp850", "cp437", "cp1250", "cp1251")
+LEGACY = {
+    "gb2312": ("的一是了在和有不这中人为以及到个上地我们国要用时而于家可对就也与之其大会出年来说分成行生过能市价量交", 0.12),
+    "big5": ("的一是了在和有不這中人為以及到個上地我們國要用時而於家可對就也與之其大會出年來說分成行生過能市價量交", 0.12),
+    "euc_kr": ("이다는의에을를가고하지로은한도사서기시어대나자아리그인정일수해들부스보만주과상제전", 0.2),
+    "shift_jis": ("のにはをたがでてとしれさるいもなかこらりっうくすまよけきせあそやめつえんスルトンーリクア、。", 0.35),
+    "euc_jp": ("のにはをたがでてとしれさるいもなかこらりっうくすまよけきせあそやめつえんスルトンーリクア、。", 0.35),
+}
 _LATIN_SOUND = [chr(c) for c in range(0xA0, 0x100)] + list("ŒœŠšŽžŸ")
+#: Central European, Baltic, Turkish and Greek letters.
+_MORE_LETTERS = [chr(c) for c in range(0x100, 0x180) if chr(c) not in _LATIN_SOUND] + [chr(c) for c in range(0x384, 0x3CF)] + list("ȘșȚț")
 _PUNCT = list("–—‘’‚“”„†‡•…‰‹›€™−≥≤≠√№")
 _CYR = [chr(c) for c in range(0x410, 0x450)] + ["Ё", "ё"]
 _CJK_PUNCT = list("。，、（）：；！？《》「」")
@@ -69,6 +94,18 @@ def _hanzi() -> list[str]:
     return out
 
 
+def _double_bytes(enc: str, rows: range) -> list[str]:
+    """The characters of a double-byte encoding by rule."""
+    out = []
+    for row in rows:
+        for cell in range(0xA1, 0xFF):
+            try:
+                out.append(bytes([row, cell]).decode(enc))
+            except UnicodeDecodeError:
+                pass
+    return out
+
+
 def patterns() -> dict[str, list[tuple[str, str | None, bool]]]:
     """pattern -> [(pair, original or None, weak)]."""
     out: dict[str, list[tuple[str, str | None, bool]]] = {}
@@ -78,8 +115,11 @@ def patterns() -> dict[str, list[tuple[str, str | None, bool]]]:
             out.setdefault(pattern, []).append((pair, original, weak))
 
     hanzi = _hanzi()
+    asian = _double_bytes("euc_kr", range(0xB0, 0xC9)) + [chr(c) for c in range(0x3041, 0x30FF)]
     for enc in READ_AS:
         cyrillic = enc in CYRILLIC_ENCODINGS
+        for c in _MORE_LETTERS:
+            add(_bytes_as(c.encode(), enc), f"utf8>{enc}", c, True)
         for c in _LATIN_SOUND + _PUNCT:
             one = _bytes_as(c.encode(), enc)
             add(one, f"utf8>{enc}", c, cyrillic and len(one) == 2)
@@ -90,23 +130,46 @@ def patterns() -> dict[str, list[tuple[str, str | None, bool]]]:
             add(one, f"utf8>{enc}", c, True)
             if enc in ("cp1252", "latin1"):
                 add(_bytes_as(one.encode(), enc), f"utf8>{enc}x2", c, False)
-        for c in hanzi + _CJK_PUNCT:
+        for c in hanzi + _CJK_PUNCT + asian:
             one = _bytes_as(c.encode(), enc)
             if not (cyrillic and sum("\u0400" <= x <= "\u04ff" for x in one) == len(one)):  # else it may be a sound word
                 add(one, f"utf8>{enc}", c, True)
-    for a in CYRILLIC_ENCODINGS:
-        for b in CYRILLIC_READ_AS:
-            if a != b:
-                for t in TRIPLES:
-                    for word in (t, t.capitalize()):
-                        seen = _bytes_as(word.encode(a), b)
-                        if seen.lower() not in TRIPLES:
-                            add(seen, f"{a}>{b}", None, True)
+    for written, read, triples in ((CYRILLIC_ENCODINGS, CYRILLIC_READ_AS, TRIPLES), (GREEK_ENCODINGS, GREEK_READ_AS, GREEK_TRIPLES)):
+        for a in written:
+            for b in read:
+                if a != b:
+                    for t in triples:
+                        for word in (t, t.capitalize()):
+                            seen = _bytes_as(word.encode(a), b)
+                            if seen.lower() not in triples:
+                                add(seen, f"{a}>{b}", None, True)
+    for a, b, words in word_pairs():
+        for word in words:
+            add(word, f"word:{a}>{b}", None, True)
     for c in [h for h in hanzi if h.encode("gb2312")[0] <= 0xD7] + ["。", "，", "（", "）", "、"]:  # level 1, the common ones
         add(_bytes_as(c.encode("gb2312"), "cp1252"), "gb2312>cp1252", None, True)
     return out
 
 
+def word_pairs() -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(written as, read as, garbled form -> word) of the frequent words; forms that are words themselves are left out."""
+    sound = {w for _, _, words in WORDS_OF for w in words.split()}
+    for written, read, words in WORDS_OF:
+        for a in written:
+            for b in read:
+                forms = {}
+                for w in words.split():
+                    for word in (w, w.capitalize()):
+                        try:
+                            seen = _bytes_as(word.encode(a), b)
+                        except UnicodeEncodeError:
+                            continue
+                        if seen != word and seen.lower() not in sound and len(seen) > 1:
+                            forms[seen] = word
+                if a != b:
+                    yield a, b, forms
+
+
 def _state() -> dict:
     if not _STATE:
         import ahocorasick
@@ -133,6 +196,9 @@ def _state() -> dict:
 _CYR_IN_LATIN = re.compile("(?<=[A-Za-zÀ-ɏ])[\u0400-\u04ff]+|[\u0400-\u04ff]+(?=[a-zß-ɏ])|\u0402(?=\\d)")
 _SENTENCES = re.compile(r"[^.!?。\n]+[.!?。\n]*")
 _LOST = re.compile("\ufffd")
+_INNER_CAPITAL = re.compile("[\u0430-\u044f][\u0410-\u042f]")
+_UTF8 = re.compile(b"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_HIGH_RUN = re.compile(r"[^\x00-\x7f\u0400-\u04ff\u2e80-\uffff]{3}")
 _CJK = re.compile("[\u4e00-\u9fff]")
 
 
@@ -152,6 +218,8 @@ def _quick() -> tuple[np.ndarray, np.ndarray]:
     for c in "ŒœŠšŽž–—‘’“”。（），、：；！？":
         of[ord(c)] = _FINE
     of[ord("Š")] = of[ord("š")] = of[ord("Ž")] = of[ord("ž")] = _BAD
+    for c in "ðþÐÞ":
+        of[ord(c)] = _BAD
     of[0x451], of[0x401] = _LOW_CYR, _UP_CYR
     pair = np.zeros(256, bool)
     latin, cyrillic, outside = (_LOWER, _UPPER, _LOW_LATIN, _UP_LATIN), (_LOW_CYR, _UP_CYR), range(_LOW_LATIN, _BAD + 1)
@@ -214,9 +282,112 @@ def _rank(pair: str) -> int:
     return READ_AS.index(pair.removeprefix("utf8>").removesuffix("x2"))
 
 
-def _triples(s: str) -> int:
+def _triples(s: str, pair: str = "") -> int:
     low = s.lower()
-    return sum(low.count(t) for t in TRIPLES)
+    n = sum(low.count(t) for t in (GREEK_TRIPLES if pair.startswith(GREEK_ENCODINGS) else TRIPLES))
+    return n - len(_INNER_CAPITAL.findall(s)) if n else n
+
+
+def _to_bytes(enc: str) -> dict[str, int]:
+    """Character -> byte of an encoding; bytes without a meaning pass through as control characters."""
+    table = _STATE["back"].get("bytes:" + enc)
+    if table is None:
+        table = _STATE["back"]["bytes:" + enc] = {_bytes_as(bytes([x]), enc): x for x in range(256)}
+    return table
+
+
+def _legacy(text: str) -> tuple[str, int, str | None]:
+    """(text with the runs of a multi-byte encoding decoded, runs, pair), where frequent characters prove it."""
+    best: tuple[float, str, str] | None = None
+    for b in LEGACY_READ_AS:
+        table = _to_bytes(b)
+        for a, (frequent, least) in LEGACY.items():
+            good = shown = length = 0
+            for run in _legacy_runs(text, table, a):
+                length += len(run)
+                try:
+                    d = bytes(table[c] for c in run).decode(a)
+                except UnicodeDecodeError:
+                    continue
+                wide = [c for c in d if ord(c) > 0x2E7F]
+                if len(wide) < 2 or len(wide) < 0.9 * sum(ord(c) > 0x7F for c in d):
+                    continue
+                shown += len(wide)
+                good += sum(c in frequent for c in wide)
+            if shown >= 6 and 2.4 * shown >= length and good >= least * shown and (best is None or good / shown / least > best[0]):
+                best = (good / shown / least, a, b)
+    if best is None:
+        return text, 0, None
+    _, a, b = best
+    table, n, parts, at = _to_bytes(b), 0, [], 0
+    for run, x, y in _legacy_runs(text, table, a, places=True):
+        try:
+            d = bytes(table[c] for c in run).decode(a)
+        except UnicodeDecodeError:
+            continue
+        if sum(ord(c) > 0x2E7F for c in d):
+            parts += [text[at:x], d]
+            at, n = y, n + 1
+    return "".join(parts) + text[at:], n, f"{a}>{b}"
+
+
+def _legacy_runs(text: str, table: dict[str, int], enc: str, places: bool = False) -> Iterator:
+    """Runs that may be double bytes: of high bytes, or of high bytes with any byte behind."""
+    k, n = 0, len(text)
+    trail = enc in ("big5", "shift_jis")
+    while k < n:
+        if table.get(text[k], 0) < 0x80:
+            k += 1
+            continue
+        a = k
+        while k < n and table.get(text[k], 0) >= 0x80:
+            k += 1
+            if trail and k < n and 0x40 <= table.get(text[k], 0) < 0x7F and (k - a) % 2:
+                k += 1
+        if k - a >= (2 if places else 4):
+            yield (text[a:k], a, k) if places else text[a:k]
+
+
+def _rest(text: str, enc: str) -> str:
+    """Runs of high bytes of an encoding that are well-formed UTF-8, decoded."""
+    table = _to_bytes(enc)
+    parts, at, k, n = [], 0, 0, len(text)
+    while k < n:
+        a = k
+        while k < n and table.get(text[k], 0) >= 0x80:
+            k += 1
+        if k - a >= 2 and _UTF8.fullmatch(b := bytes(table[c] for c in text[a:k])) or k - a >= 4 and _UTF8.match(b := bytes(table[c] for c in text[a:k])):
+            decoded = "".join(b[m.start() : m.end()].decode("utf-8", "ignore") for m in _UTF8.finditer(b))
+            if sum(m.end() - m.start() for m in _UTF8.finditer(b)) == len(b):
+                parts += [text[at:a], decoded]
+                at = k
+        k = max(k, a + 1)
+    return "".join(parts) + text[at:]
+
+
+def _words_of(text: str, hits: list, weak: Counter) -> tuple[str, int, str | None]:
+    """Single-byte text read as another Western encoding, sentence by sentence; two different frequent words prove a pair."""
+    pairs = [p for p in weak if p.startswith("word:")]
+    seen: dict[str, list[tuple[int, str]]] = {p: [] for p in pairs}
+    for end, (n, what) in hits:
+        a, b = end - n + 1, end + 1
+        if (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()):
+            continue
+        for p, _, _ in what:
+            if p in seen:
+                seen[p].append((a, text[a:b]))
+    pair = max(pairs, key=lambda p: (len({w for _, w in seen[p]}), len(seen[p]), p))
+    if len({w for _, w in seen[pair]}) < 2:
+        return text, 0, None
+    places = [a for a, _ in seen[pair]]
+    parts, at, n = [], 0, 0
+    for m in _SENTENCES.finditer(text):
+        if any(m.start() <= a < m.end() for a in places):
+            fixed = re.sub(r"\S*[^\x00-\x7f]\S*", lambda w: _decode_chars(w.group(), pair[5:]), m.group())
+            n += fixed != m.group()
+            parts += [text[at : m.start()], fixed]
+            at = m.end()
+    return "".join(parts) + text[at:], n, pair[5:]
 
 
 def _gb_run(run: str) -> str | None:
@@ -268,6 +439,12 @@ def _repair(text: str) -> tuple[str, int, str | None]:
     # text of a Western encoding read as a Cyrillic one
     mixed = [m for m in _CYR_IN_LATIN.finditer(text) if all(c in state["western"] for c in m.group())]
 
+    # double-byte text, where chance hits of UTF-8 patterns are few
+    if max(strong.values(), default=0) < 5 and _HIGH_RUN.search(text):
+        out, n, pair = _legacy(text)
+        if n:
+            return out, spans + n, pair
+
     # UTF-8 read as something else: replace the hits of the pairs that are proved
     proved = {p for p in strong if p.startswith("utf8")}
     for p, n in weak.items():
@@ -295,23 +472,33 @@ def _repair(text: str) -> tuple[str, int, str | None]:
             spans += n_rep
             best = max(proved, key=lambda p: order[p])
             mixed = []
+            if not best.endswith("x2") and best[5:] not in CYRILLIC_ENCODINGS:
+                out = _rest(out, best[5:])  # rare characters of a proved pair
             if n_rep >= 2 and any(0x80 <= ord(c) for c in out):
                 again, more, _ = repair_text(out) if out != text else (out, 0, None)
                 out, spans = again, spans + more
             return out, spans, best
 
     # Cyrillic single-byte pairs, sentence by sentence
-    pairs = [p for p, n in weak.items() if not p.startswith(("utf8", "gb2312")) and n >= 3]
+    pairs = {p for p, n in weak.items() if not p.startswith(("utf8", "gb2312", "word:")) and n >= 3}
     if pairs:
         parts = []
+        near = sorted((end, n, [p for p, _, _ in what if p in pairs]) for end, (n, what) in hits)
+        at_hit = 0
         for m in _SENTENCES.finditer(out):
             s = m.group()
-            base, pick = _triples(s), None
-            for p in sorted(pairs, key=lambda p: -weak[p])[:4]:
-                d = _decode_chars(s, p)
-                n = _triples(d)
-                if n >= base + (1 if best == p else 2):
+            here: Counter = Counter()
+            while at_hit < len(near) and near[at_hit][0] < m.end():  # places hold as long as nothing was replaced
+                here.update(near[at_hit][2])
+                at_hit += 1
+            base, pick, garbled = 0, None, s
+            for p in sorted(here, key=lambda p: (-here[p], -weak[p], p)):
+                before, d = _triples(garbled, p), _decode_chars(garbled, p)
+                n = _triples(d, p)
+                if n >= max(base, before) + (1 if best == p else 2):
                     base, pick, s = n, p, d
+            if pick:  # words that look sound as they are stay
+                s = "".join(x if _triples(x, pick) > _triples(y, pick) else y for x, y in zip(re.split(r"(\s+)", garbled), re.split(r"(\s+)", s))) if len(re.split(r"(\s+)", garbled)) == len(re.split(r"(\s+)", s)) else s
             parts.append(s)
             if pick:
                 spans += 1
@@ -334,10 +521,15 @@ def _repair(text: str) -> tuple[str, int, str | None]:
 
         runs = [m.group() for m in _GB_RUN.finditer(out)]
         good = [r for r in runs if len(r) >= 6 and (d := _gb_run(r)) and len(_CJK.findall(d)) >= 3]
-        if good:
+        shown = "".join(_gb_run(r) for r in good)
+        # frequent characters or marks prove it; other double-byte text would come out as rare ones
+        if good and (sum(c in LEGACY["gb2312"][0] for c in shown) >= 0.08 * len(_CJK.findall(shown)) or re.search("[，。]", shown)):
             out = _GB_RUN.sub(undo, out)
             spans += len(good)
             best = best or "gb2312>cp1252"
+    if best in (None, "lost") and any(p.startswith("word:") for p in weak):
+        out, n, pair = _words_of(out, hits, weak)
+        spans, best = spans + n, pair or best
 
     if mixed:
         out = _CYR_IN_LATIN.sub(lambda m: "".join(state["western"].get(c, c) for c in m.group()), out)

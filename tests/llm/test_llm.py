@@ -82,6 +82,37 @@ def test_garbled_text_comes_back(good, a, b):
     assert hits > 0 and fixed.startswith("A sound sentence with “quotes” and São Paulo.")
 
 
+GOOD = {
+    "ko": "지난주에 발표된 보고서에 따르면 가격이 몇 퍼센트 올랐다고 합니다. 그것은 사실이 아니다.", "ja": "先週発表された報告書によると、価格は数パーセント上昇したということです。これは良いです。",
+    "el": "Η επιτροπή ανακοίνωσε ότι η τιμή των προϊόντων και του πετρελαίου αυξήθηκε στην αγορά από την αρχή.", "pl": "Komisja stwierdziła, że ceny są wysokie i mogą być jeszcze większe, bo się zmieniają.",
+    "tr": "Bu karar için değil, olduğu gibi kalması için şimdi başka bir şey yapıldı.", "zht": "這家公司的交易平台在我們國家是最大的，因為他們有很多的用戶和市場。", "zh": "这家交易平台自己承认低估了篮子中的权重，因为缺少需求。",
+    "cs": "Komise uvedla, že ceny jsou vysoké a může být také další růst, který však není jistý.", "de": "Die Kommission prüfte für den Ausschuss über die Größe, während später alles möglich würde.",
+    "fr": "La commission a également été très à même de déjà dire où être après.", "ru": "Крупнейший поставщик объясняет риск больших потерь, хотя никто этого не ждал.",
+}
+READ = "ko euc_kr latin1,ko euc_kr cp1252,ko utf-8 cp1252,ko utf-8 latin1,ja shift_jis cp1252,ja euc_jp latin1,ja utf-8 cp1252,el utf-8 cp1252,el cp1253 cp1252,el iso8859_7 latin1,pl utf-8 cp1252,pl cp1250 cp1252,pl iso8859_2 latin1,tr cp1254 cp1252,tr utf-8 cp1252,zht big5 cp1252,zht big5 latin1,zht utf-8 cp1252,zh gb2312 mac_roman,zh gbk cp850,cs utf-8 latin1,de mac_roman cp1252,de cp850 cp1252,de cp1252 mac_roman,fr cp1252 cp850,fr mac_roman cp1252,ru koi8_r cp1251,ru cp866 cp1252,ru mac_cyrillic cp437".split(",")
+
+
+@pytest.mark.parametrize("case", READ)
+def test_pairs_of_other_languages(case):
+    lang, a, b = case.split()
+    bad = garble._bytes_as(GOOD[lang].encode(a), b)
+    fixed, hits, _ = garble.repair_text(bad)
+    assert fixed == GOOD[lang] and hits > 0
+
+
+def test_nothing_is_replaced_without_proof():
+    for t in GOOD.values():
+        assert garble.repair_text(t)[0] == t
+    for bad in (garble._bytes_as("příliš".encode("cp1250"), "cp1252"), garble._bytes_as("가격".encode("euc_kr"), "latin1")):
+        assert garble.repair_text(bad)[0] == bad  # too little to tell
+
+
+def test_quick_check_never_says_no_for_text_with_hits():
+    for case in READ:
+        lang, a, b = case.split()
+        assert garble.suspect("A sound sentence first. " + garble._bytes_as(GOOD[lang].encode(a), b))
+
+
 @pytest.mark.parametrize("text", ["ATENÇÃO: AVALIAÇÃO PRELIMINAR. SÃO DUAS VERSÕES.", "Ёлка и ещё одна. Всё сразу.", "σβ and √2 ≥ 1", "Zéphithor “note” — €5", "risque très élevé, déjà créée", "НОВЫЙ ОТЧЁТ О РЫНКЕ", "liqu¬\nidity"])
 def test_sound_text_stays(text):
     assert garble.repair_text(text)[:2] == (text, 0)
