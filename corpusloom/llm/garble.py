@@ -198,6 +198,7 @@ _SENTENCES = re.compile(r"[^.!?。\n]+[.!?。\n]*")
 _LOST = re.compile("\ufffd")
 _INNER_CAPITAL = re.compile("[\u0430-\u044f][\u0410-\u042f]")
 _UTF8 = re.compile(b"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_UTF8_RUN = re.compile(b"(?:" + _UTF8.pattern + b")+")
 _HIGH_RUN = re.compile(r"[^\x00-\x7f\u0400-\u04ff\u2e80-\uffff]{3}")
 _CJK = re.compile("[\u4e00-\u9fff]")
 
@@ -296,72 +297,65 @@ def _to_bytes(enc: str) -> dict[str, int]:
     return table
 
 
+def _raw(text: str, enc: str) -> bytes:
+    """One byte for each character: that of the encoding, or 0."""
+    table = _to_bytes(enc)
+    return bytes([table.get(c, 0) for c in text])
+
+
+#: Runs that may be double bytes: of high bytes, or of high bytes with any byte behind.
+_DOUBLE = re.compile(b"[\x80-\xff]{2,}")
+_DOUBLE_TRAIL = re.compile(b"(?:[\x80-\xff][\x40-\x7e\x80-\xff])+")
+
+
+def _legacy_runs(raw: bytes, enc: str, least: int) -> Iterator[tuple[bytes, int, int]]:
+    for m in (_DOUBLE_TRAIL if enc in ("big5", "shift_jis") else _DOUBLE).finditer(raw):
+        if m.end() - m.start() >= least:
+            yield m.group(), m.start(), m.end()
+
+
 def _legacy(text: str) -> tuple[str, int, str | None]:
     """(text with the runs of a multi-byte encoding decoded, runs, pair), where frequent characters prove it."""
-    best: tuple[float, str, str] | None = None
+    best: tuple[float, str, bytes, str] | None = None
     for b in LEGACY_READ_AS:
-        table = _to_bytes(b)
+        raw = _raw(text, b)
         for a, (frequent, least) in LEGACY.items():
             good = shown = length = 0
-            for run in _legacy_runs(text, table, a):
+            for run, _, _ in _legacy_runs(raw, a, 4):
                 length += len(run)
                 try:
-                    d = bytes(table[c] for c in run).decode(a)
+                    d = run.decode(a)
                 except UnicodeDecodeError:
                     continue
-                wide = [c for c in d if ord(c) > 0x2E7F]
-                if len(wide) < 2 or len(wide) < 0.9 * sum(ord(c) > 0x7F for c in d):
+                wide = [c for c in d if c > "\u2e7f"]
+                if len(wide) < 2 or len(wide) < 0.9 * (len(d) - d.count(" ")) and len(wide) < 0.9 * sum(c > "\x7f" for c in d):
                     continue
                 shown += len(wide)
                 good += sum(c in frequent for c in wide)
             if shown >= 6 and 2.4 * shown >= length and good >= least * shown and (best is None or good / shown / least > best[0]):
-                best = (good / shown / least, a, b)
+                best = (good / shown / least, a, raw, b)
     if best is None:
         return text, 0, None
-    _, a, b = best
-    table, n, parts, at = _to_bytes(b), 0, [], 0
-    for run, x, y in _legacy_runs(text, table, a, places=True):
+    _, a, raw, b = best
+    n, parts, at = 0, [], 0
+    for run, x, y in _legacy_runs(raw, a, 2):
         try:
-            d = bytes(table[c] for c in run).decode(a)
+            d = run.decode(a)
         except UnicodeDecodeError:
             continue
-        if sum(ord(c) > 0x2E7F for c in d):
+        if any(c > "\u2e7f" for c in d):
             parts += [text[at:x], d]
             at, n = y, n + 1
     return "".join(parts) + text[at:], n, f"{a}>{b}"
 
 
-def _legacy_runs(text: str, table: dict[str, int], enc: str, places: bool = False) -> Iterator:
-    """Runs that may be double bytes: of high bytes, or of high bytes with any byte behind."""
-    k, n = 0, len(text)
-    trail = enc in ("big5", "shift_jis")
-    while k < n:
-        if table.get(text[k], 0) < 0x80:
-            k += 1
-            continue
-        a = k
-        while k < n and table.get(text[k], 0) >= 0x80:
-            k += 1
-            if trail and k < n and 0x40 <= table.get(text[k], 0) < 0x7F and (k - a) % 2:
-                k += 1
-        if k - a >= (2 if places else 4):
-            yield (text[a:k], a, k) if places else text[a:k]
-
-
 def _rest(text: str, enc: str) -> str:
     """Runs of high bytes of an encoding that are well-formed UTF-8, decoded."""
-    table = _to_bytes(enc)
-    parts, at, k, n = [], 0, 0, len(text)
-    while k < n:
-        a = k
-        while k < n and table.get(text[k], 0) >= 0x80:
-            k += 1
-        if k - a >= 2 and _UTF8.fullmatch(b := bytes(table[c] for c in text[a:k])) or k - a >= 4 and _UTF8.match(b := bytes(table[c] for c in text[a:k])):
-            decoded = "".join(b[m.start() : m.end()].decode("utf-8", "ignore") for m in _UTF8.finditer(b))
-            if sum(m.end() - m.start() for m in _UTF8.finditer(b)) == len(b):
-                parts += [text[at:a], decoded]
-                at = k
-        k = max(k, a + 1)
+    parts, at = [], 0
+    for m in _DOUBLE.finditer(_raw(text, enc)):
+        if _UTF8_RUN.fullmatch(m.group()):
+            parts += [text[at : m.start()], m.group().decode("utf-8", "ignore")]
+            at = m.end()
     return "".join(parts) + text[at:]
 
 

@@ -58,11 +58,21 @@ _CLOSERS = "\"'”’»)）」"
 _HANZI = (0x3400, 0x9FFF)
 
 
-def _of(codes: np.ndarray, chars: str) -> np.ndarray:
-    """Whether each code point is one of a few characters."""
-    out = codes == ord(chars[0])
-    for c in chars[1:]:
-        out |= codes == ord(c)
+#: Sets of characters that the statistics look for; one bit each.
+SETS = {
+    "end": _ENDS, "closer": _CLOSERS, "digit": "0123456789", "function": "".join(sorted(lm.ZH_CHARS)), "zh_mark": "。，", "bar": "|", "rule": "-+|=: ", "loose": ",;", "title": ":>»=/", "dash": "-–—",
+    "inner": "|•/·>»", "bullet": _BULLETS, "mark": ".):-", "point": ".)", "comma": ",",
+}
+_BIT = {name: np.uint16(1 << k) for k, name in enumerate(SETS)}
+
+
+@cache
+def _flags() -> np.ndarray:
+    """Bits of the sets of each code point."""
+    out = np.zeros(bulk.TOP + 1, np.uint16)
+    for name, chars in SETS.items():
+        for c in chars:
+            out[ord(c)] |= _BIT[name]
     return out
 
 
@@ -107,10 +117,12 @@ def _measure(texts: list[str | None]) -> pd.DataFrame:
     triples = np.where(n > 2, np.diff(bulk.distinct(*bulk.grams(w, 3))[1]) / np.maximum(1.0, n - 2), 1.0)
 
     # characters
+    flags = _flags()[np.minimum(t.codes, np.uint32(bulk.TOP))]
+    is_ = lambda name, f=flags: (f & _BIT[name]) != 0
     where = lambda mask: bulk.between(np.flatnonzero(mask), t.start[:-1], t.start[1:]).astype(float)
     solid = np.maximum(1.0, where(t.kind != bulk.SPACE))
-    digits = where((t.codes >= 48) & (t.codes <= 57))
-    ends = where(_of(t.codes, _ENDS))
+    digits = where(is_("digit"))
+    ends = where(is_("end"))
     lost = where(t.codes == 0xFFFD) / solid
     # Chinese has no spaces: function characters and sentence marks among the hanzi stand for function words
     hanzi_at = (t.codes >= _HANZI[0]) & (t.codes <= _HANZI[1])
@@ -119,8 +131,8 @@ def _measure(texts: list[str | None]) -> pd.DataFrame:
     chinese = 2 * hanzi >= 0.3 * (letters - hanzi)
     chinese &= hanzi > 0
     if chinese.any():
-        function = where(_of(t.codes, "".join(sorted(lm.ZH_CHARS))))
-        marks = where(_of(t.codes, "。，"))
+        function = where(is_("function"))
+        marks = where(is_("zh_mark"))
         common = np.where(chinese, np.minimum(1.0, 2.0 * function / np.maximum(1.0, hanzi) + 3.0 * marks / np.maximum(1.0, hanzi)), common)
     russian = ~chinese & (cyrillic >= 0.3 * (letters - cyrillic)) & (cyrillic > 0)
     weights[:, lm.LANGS.index("zh")] += np.where(chinese, 1e6, 0)
@@ -136,37 +148,37 @@ def _measure(texts: list[str | None]) -> pd.DataFrame:
     nxt = np.append(t.codes[1:], 10)
     space = t.kind == bulk.SPACE
     next_space, last_space = np.append(space[1:], True), np.concatenate([[True], space[:-1]])
-    bars = _of(t.codes, "|")
+    bars = is_("bar")
     n_bars = in_line(bars) - bars[ln.first] - (bars[ln.last] & (ln.last > ln.first))
     tabs = in_line(t.codes == 9)
     gaps = in_line(space & ~last_space & (next_space | (t.codes == 9)))
     semis = in_line(t.codes == 59)
-    loose = in_line(_of(t.codes, ",;") & next_space)
-    tight = in_line((t.codes == 44) & ~next_space & ~((nxt >= 48) & (nxt <= 57)))
-    rules = in_line(~_of(t.codes, "-+|=: ")) == 0
+    loose = in_line(is_("loose") & next_space)
+    tight = in_line(is_("comma") & ~next_space & ~((nxt >= 48) & (nxt <= 57)))
+    rules = in_line(~is_("rule")) == 0
     cells = np.maximum.reduce([n_bars, tabs, gaps, np.where(loose == 0, semis, 0), np.where(loose == 0, tight, 0)]) + 1
     n_lines = np.maximum(1.0, bulk.sums(ln.doc, np.ones(len(ln.doc)), k))
     rows = bulk.sums(ln.doc, (cells >= 3) | rules, k)
     cell_lines = np.where(n_lines >= 2, rows / n_lines, 0.0)
-    closed = np.flatnonzero(~space & ~_of(t.codes, _CLOSERS))
+    closed = np.flatnonzero(~space & ~is_("closer"))
     if len(closed):
         at = closed[np.maximum(np.searchsorted(closed, after) - 1, 0)]
-        ended = (at >= ln.first) & (at < after) & _of(t.codes[at], _ENDS)
+        ended = (at >= ln.first) & (at < after) & is_("end")[at]
     else:
         ended = np.zeros(len(ln.doc), bool)
     line_end = bulk.sums(ln.doc, ended, k) / n_lines
     # a bullet, a number or a letter with a mark, then white space; or a title and a mark before the rest
-    c = [t.codes[np.minimum(ln.first + j, width - 1)] if width else t.codes for j in range(5)]
-    s = [space[np.minimum(ln.first + j, width - 1)] if width else space for j in range(5)]
-    digit = [(x >= 48) & (x <= 57) for x in c]
-    mark = [_of(x, ".):-") if len(x) else x == 0 for x in c]
-    bullet = (_of(c[0], _BULLETS) & s[1]) | (digit[0] & mark[1] & s[2]) | (digit[0] & digit[1] & mark[2] & s[3]) | (digit[0] & digit[1] & digit[2] & mark[3] & s[4])
+    near = [np.minimum(ln.first + j, width - 1) for j in range(5)]
+    f = [flags[x] for x in near]
+    s = [space[x] for x in near]
+    digit, mark = [is_("digit", x) for x in f], [is_("mark", x) for x in f]
+    bullet = (is_("bullet", f[0]) & s[1]) | (digit[0] & mark[1] & s[2]) | (digit[0] & digit[1] & mark[2] & s[3]) | (digit[0] & digit[1] & digit[2] & mark[3] & s[4])
     bullet |= digit[0] & s[1] & mark[2] & s[3] | digit[0] & digit[1] & s[2] & mark[3] & s[4]
-    letter = (c[0] | 32) - 97 < 26
-    bullet |= letter & _of(c[1], ".)") & s[2]
-    titled = (in_line(_of(t.codes, ":>»=/") & next_space) + in_line(_of(t.codes, "-–—") & next_space & last_space) + in_line((t.codes == 46) & (nxt == 46))) > 0
+    letter = (t.codes[near[0]] | 32) - 97 < 26
+    bullet |= letter & is_("point", f[1]) & s[2]
+    titled = (in_line(is_("title") & next_space) + in_line(is_("dash") & next_space & last_space) + in_line((t.codes == 46) & (nxt == 46))) > 0
     marked = bulk.sums(ln.doc, (bullet | (titled & ~ended)) & ~rules, k) / n_lines
-    inner = in_line((_of(t.codes, "|•/·>»") & next_space & last_space) | (_of(t.codes, ",;") & next_space))
+    inner = in_line((is_("inner") & next_space & last_space) | (is_("loose") & next_space))
     items = n_lines + bulk.sums(ln.doc, inner, k)
     sizes = np.diff(t.start) - 1
 
