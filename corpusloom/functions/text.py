@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +127,30 @@ def cascade(c: Column, rules: list[tuple[str, list[str]]], default: str) -> Colu
             cond |= F.contains(low, F.lit(k))
         out = F.when(cond, label) if out is None else out.when(cond, label)
     return out.otherwise(default)
+
+
+def chunk_limits(text: str, size: int = 1000, overlap: int = 100) -> list[tuple[int, int]]:
+    """(start, end) of chunks of at most ``size`` characters that end behind the last sentence mark inside, where there is
+    one beyond the overlap; the next chunk begins ``overlap`` characters before the end of the last."""
+    out, start = [], 0
+    while True:
+        end = min(start + size, len(text))
+        if end < len(text):
+            for mark in (". ", "! ", "? ", "\n\n"):
+                at = text.rfind(mark, start, end)
+                if at + len(mark) > start + overlap:
+                    end = at + len(mark)
+                    break
+        out.append((start, end))
+        if end >= len(text):
+            return out
+        start = end - overlap
+
+
+def sentence_chunks(col: str, size: int = 1000, overlap: int = 100) -> Column:
+    """Array of (chunk_no, start, n_chars); an Arrow pass, as each chunk depends on the one before."""
+    @F.pandas_udf("array<struct<chunk_no:long,start:long,n_chars:long>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"chunk_no": k, "start": a, "n_chars": b - a} for k, (a, b) in enumerate(chunk_limits(t, size, overlap))] if t else [])
+
+    return run(col)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 
-FUNCTION_WORDS = ("a", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "over", "than", "that", "the", "to", "was", "which", "with")
-ARTICLES = ("a", "an", "the")
-RARE_WORDS = ("aforesaid", "heretofore", "hitherto", "notwithstanding", "therein", "whereas", "wherein")
-DISCLAIMERS = r"(?i)(translated (by|with) (a )?(machine|software)|machine[- ]translated|automatic translation|this text is provided by)"
 SECTIONS = ("abstract", "introduction", "method", "results", "discussion", "conclusion", "references", "appendix", "table", "figure", "sample", "model")
 
 
@@ -22,79 +18,12 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"[ \t\n\r\f]+", " "))), lambda s: s != "")
 
 
-def share(arr: Column, cond) -> Column:
-    return F.when(F.size(arr) == 0, 0.0).otherwise(F.size(F.filter(arr, cond)) / F.size(arr))
-
-
-def func_ratio(c: Column) -> Column:
-    return share(X.words(c), lambda w: w.isin(*FUNCTION_WORDS))
-
-
-def missing_article(c: Column) -> Column:
-    """Share of the sentences of at least five words that do not start with an article."""
-    long = F.filter(sentences(c), lambda s: F.size(F.split(s, " ")) >= 5)
-    return share(long, lambda s: ~F.lower(F.element_at(F.split(s, " "), 1)).isin(*ARTICLES))
-
-
-def verb_tense(c: Column) -> Column:
-    """Share of words that form a progressive or perfect."""
-    n = F.size(X.words(c))
-    hits = F.size(F.regexp_extract_all(F.lower(c), F.lit(r"\b(?:is|was|are|were|been|has|have|had) [a-z]+(?:ing|ed)\b"), F.lit(0)))
-    return F.when(n == 0, 0.0).otherwise(hits / n)
-
-
-def rare_ratio(c: Column) -> Column:
-    return share(F.array_distinct(X.words(c)), lambda w: w.isin(*RARE_WORDS))
-
-
-def top_ngram(df: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
-    """(id, top): most repeats of one word n-gram in a text. The grams of one row stay in that row."""
-    t = X.tokens(F.lower(F.col(text_col)))
-    grams = X.ngrams(t, n)
-    g = df.select(id_col, F.explode(grams).alias("g")).groupBy(id_col, "g").agg(F.count("*").alias("c"))
-    return g.groupBy(id_col).agg(F.max("c").alias("top"))
-
-
-def repeated_phrase(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, run): longest run of one sentence repeated in a row; gaps and islands inside each text."""
-    s = df.select(id_col, F.posexplode(sentences(F.lower(F.col(text_col)))).alias("pos", "s"))
-    a = Window.partitionBy(id_col).orderBy("pos")
-    b = Window.partitionBy(id_col, "s").orderBy("pos")
-    isles = s.withColumn("isle", F.row_number().over(a) - F.row_number().over(b)).groupBy(id_col, "s", "isle").agg(F.count("*").alias("n"))
-    return isles.groupBy(id_col).agg(F.max("n").alias("run"))
-
-
-def mt_detect(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Score, confidence and flag of likely machine translation."""
-    c = F.col(text_col)
-    top = top_ngram(df, id_col, text_col)
-    d = df.select(
-        id_col, F.coalesce(F.size(X.words(c)), F.lit(0)).alias("w"), F.coalesce(c.rlike(DISCLAIMERS), F.lit(False)).alias("disclaimer"),
-        F.coalesce(func_ratio(c), F.lit(0.0)).alias("fr"), F.coalesce(missing_article(c), F.lit(0.0)).alias("ma"), F.coalesce(verb_tense(c), F.lit(0.0)).alias("vt"),
-    ).join(top, id_col, "left")
-    rep = F.coalesce("top", F.lit(0))
-    need = F.when(F.col("w") < 200, 3).otherwise(4)
-    p_gram = F.when(rep >= need, 10 + 5 * F.greatest(rep - 2, F.lit(0))).otherwise(0)
-    p = {
-        "disclaimer": F.when(F.col("disclaimer"), 50).otherwise(0), "gram": p_gram, "fr": F.when((F.col("fr") > 0.7) & (F.col("w") >= 100), 10).otherwise(0),
-        "ma": F.when((F.col("ma") > 0.08) & (F.col("w") >= 25), 10).otherwise(0), "vt": F.when(F.col("vt") > 0.12, 10).otherwise(0),
-    }
-    score = F.least(F.lit(100), sum(p.values(), F.lit(0)))
-    conf = F.least(
-        F.lit(1.0),
-        F.when(F.col("disclaimer"), 1.0).otherwise(0.0) + F.when(p_gram >= 20, 0.9).when(p_gram > 0, 0.7).otherwise(0.0) + F.when(p["fr"] > 0, 0.5).otherwise(0.0)
-        + F.when(p["ma"] > 0, F.when(F.col("w") < 100, 0.25).otherwise(0.5)).otherwise(0.0) + F.when(p["vt"] > 0, 0.5).otherwise(0.0),
-    )
-    out = d.select(id_col, score.cast("long").alias("score"), F.round(conf, 4).alias("confidence"), (p_gram > 0).alias("gram"))
-    flag = F.col("gram") | ((F.col("score") >= 30) & (F.col("confidence") > 0.5))
-    sev = F.when(F.col("score") >= 50, "critical").when(F.col("score") >= 30, "warning").otherwise("ok")
-    return out.select(id_col, "score", "confidence", flag.alias("flag"), sev.alias("severity"))
-
-
-def corruption_score(c: Column, non_printable: float, symbols: float, diversity: float) -> Column:
-    """0, 40, 60 or 80: the worst breached check of replacement marks, symbol share and word diversity."""
+def corruption_score(c: Column, non_printable: Column, symbols: Column, diversity: Column, markers: Column) -> Column:
+    """0, 40, 60 or 80: the worst breached check of non-printable characters and corruption markers (their characters
+    together, as a share of the text), symbol share and word diversity."""
     n = F.greatest(F.length(c), F.lit(1))
-    bad = F.size(F.regexp_extract_all(c, F.lit("[\u0000-\u0008\u000e-\u001f\ufffd]"), F.lit(0))) / n
+    marked = F.aggregate(F.coalesce(markers, F.array().cast("array<string>")), F.lit(0), lambda a, m: a + F.length(c) - F.length(F.replace(c, m, F.lit(""))))
+    bad = (F.size(F.regexp_extract_all(c, F.lit("[\u0000-\u0008\u000e-\u001f]"), F.lit(0))) + marked) / n
     sym = F.size(F.regexp_extract_all(c, F.lit(r"[^\p{L}\p{N}\p{Z} \t\n\r\f]"), F.lit(0))) / n
     w = X.words(c)
     div = F.when(F.size(w) == 0, 1.0).otherwise(F.size(F.array_distinct(w)) / F.size(w))

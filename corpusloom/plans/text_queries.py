@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import extract as E
 from corpusloom.operators import quality as Q
+from corpusloom.operators import translation as MT
 from corpusloom.sources.tables import table
 
 from ._registry import Registry
@@ -29,7 +30,6 @@ N_TOK = f"coalesce(len(regexp_extract_all(text, '{TOK}')), 0)"
 NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'), '[^\p{L}\p{N}_ ]', '', 'g'), ' ')"
 SENT = r"list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '[ \t\n\r\f]+', ' ', 'g'), ' ')), lambda s: s <> '')"
 WORDS = f"regexp_extract_all(lower(text), '{W}')"
-FW = "('" + "','".join(Q.FUNCTION_WORDS) + "')"
 
 each("token_count", lambda: X.token_count(F.col("text")), N_TOK)
 each("quality_flag", lambda: Q.quality_flag(X.token_count(F.col("text"))), f"CASE WHEN {N_TOK} < 100 THEN 'low_quality' WHEN {N_TOK} < 500 THEN 'flagged' ELSE 'ok' END")
@@ -60,59 +60,85 @@ R.add(
     lambda s, d: docs(s, d).select("doc_id", X.token_count(F.col("text")).between(50, 100_000).alias("tokens_ok"), F.coalesce((F.length(F.regexp_replace(F.col("text"), r"[ \t\n\r\f]+", "")) / F.nullif(X.token_count(F.col("text")), F.lit(0))).between(3.0, 12.0), F.lit(False)).alias("word_length_ok")),
     rf"SELECT doc_id, {N_TOK} BETWEEN 50 AND 100000 AS tokens_ok, coalesce(length(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) / nullif({N_TOK}, 0) BETWEEN 3.0 AND 12.0, false) AS word_length_ok FROM documents",
 )
-each("mt_disclaimer", lambda: F.coalesce(F.col("text").rlike(Q.DISCLAIMERS), F.lit(False)), f"coalesce(regexp_matches(text, '{Q.DISCLAIMERS}'), false)")
-each("mt_func_ratio", lambda: F.round(Q.func_ratio(F.col("text")), 6), f"round(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter({WORDS}, lambda w: w IN {FW}))::DOUBLE / len({WORDS}) END, 6)", "")
-LONGS = f"list_filter({SENT}, lambda s: len(string_split(s, ' ')) >= 5)"
-MISS = f"CASE WHEN len({LONGS}) = 0 THEN 0.0 ELSE len(list_filter({LONGS}, lambda s: lower(string_split(s, ' ')[1]) NOT IN ('a', 'an', 'the')))::DOUBLE / len({LONGS}) END"
-each("mt_missing_article", lambda: F.round(Q.missing_article(F.col("text")), 6), f"round({MISS}, 6)")
-TENSE = r"\b(?:is|was|are|were|been|has|have|had) [a-z]+(?:ing|ed)\b"
-TENSES = f"CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(regexp_extract_all(lower(text), '{TENSE}'))::DOUBLE / len({WORDS}) END"
-each("mt_verb_tense", lambda: F.round(Q.verb_tense(F.col("text")), 6), f"round({TENSES}, 6)")
-RARE = "('" + "','".join(Q.RARE_WORDS) + "')"
-each("mt_rare_word", lambda: F.round(Q.rare_ratio(F.col("text")), 6), f"round(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter(list_distinct({WORDS}), lambda w: w IN {RARE}))::DOUBLE / len(list_distinct({WORDS})) END, 6)")
-GRAMS = f"""SELECT doc_id, max(c) AS top FROM (SELECT doc_id, g, count(*) AS c FROM (
-  SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) AS g
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOK}') AS t FROM documents) WHERE len(t) >= 3) GROUP BY ALL) GROUP BY doc_id"""
-R.add("mt_ngram", lambda s, d: Q.top_ngram(docs(s, d), "doc_id", "text"), GRAMS)
+# machine translation: the rules once more in SQL, by lists
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x):
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _in(words):
+    return "('" + "','".join(words) + "')"
+
+
+MT_LISTS = rf"""SELECT doc_id, domain, text, regexp_extract_all(text, '{W}') AS o, regexp_extract_all(lower(text), '{W}') AS w,
+    list_filter(list_transform(string_split_regex(text, '[.!?\n]'), lambda x: {_strip('x')}), lambda x: x <> '') AS s, list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '') AS t,
+    list_filter(list_transform(string_split_regex(text, '[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_strip('x')}), lambda x: x <> '') AS l,
+    regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS r FROM documents"""
+MT_SQL = rf"""WITH l0 AS ({MT_LISTS}),
+  l1 AS (SELECT *, list_filter(range(1, len(s) + 1), lambda i: i = 1 OR s[i] <> s[i - 1]) AS b, list_filter(s, lambda x: len(list_filter(string_split_regex(x, '{WS}+'), lambda y: y <> '')) >= 5) AS long,
+    len(list_filter(w, lambda x: x IN {_in(MT.FUNCTION_WORDS)})) AS fn, len(list_filter(o, lambda x: regexp_matches(x, '.(ed)$') OR regexp_matches(x, '.(ing)$'))) AS forms,
+    len(list_filter(range(1, len(r) - 1), lambda i: regexp_full_match(r[i + 1], '{WS}+') AND ((r[i] IN ('am','is','are','was','were') AND regexp_matches(r[i + 2], '.ing$')) OR (r[i] = 'had' AND regexp_matches(r[i + 2], '.ed$'))))) AS odd FROM l0),
+  m AS (SELECT doc_id, domain, text, len(w)::INT AS words, len(list_distinct(w))::INT AS "distinct", regexp_matches(text, '(?i){"|".join(MT.DISCLAIMERS)}') AS disclaimer,
+    coalesce(list_max(list_transform(range(1, len(b) + 1), lambda k: coalesce(b[k + 1], len(s) + 1) - b[k])), 0)::INT AS run,
+    coalesce(list_max(map_values(list_aggregate(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' ')), 'histogram'))), 0)::INT AS gram,
+    len(list_filter(l, lambda x: NOT regexp_matches(x, '^[0-9]+\. '))) = 0 OR len(list_filter(l, lambda x: NOT regexp_matches(x, '^[-*] '))) = 0 AS listed,
+    len(list_filter(l, lambda x: regexp_matches(x, '^(def |class |[a-zA-Z_][a-zA-Z0-9_]* ?=)'))) > 0 AS code,
+    CASE WHEN len(w) > fn THEN fn::DOUBLE / (len(w) - fn) ELSE 0.0 END AS func_ratio,
+    CASE WHEN len(long) > 0 THEN len(list_filter(long, lambda x: NOT regexp_matches(lower(x), '^(the|a|an)($|[^\p{{L}}\p{{N}}_])')))::DOUBLE / len(long) ELSE 0.0 END AS article_ratio,
+    CASE WHEN forms > 0 THEN odd::DOUBLE / forms ELSE 0.0 END AS tense_ratio,
+    CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x NOT IN {_in(MT.COMMON_WORDS)}))::DOUBLE / len(w) ELSE 0.0 END AS rare_ratio FROM l1)"""
+for _name, _field in (("mt_disclaimer", "disclaimer"), ("mt_func_ratio", "func_ratio"), ("mt_missing_article", "article_ratio"), ("mt_verb_tense", "tense_ratio"), ("mt_rare_word", "rare_ratio"), ("mt_ngram", "gram"), ("mt_repeated_phrase", "run")):
+    R.add(
+        _name, lambda s, d, f=_field: docs(s, d).select("doc_id", MT.measures("text").getField(f).alias("value")).select("doc_id", F.round("value", 6).alias("value") if f.endswith("ratio") else "value"),
+        f"{MT_SQL} SELECT doc_id, CASE WHEN text IS NOT NULL THEN {f'round({_field}, 6)' if _field.endswith('ratio') else _field} END AS value FROM m",
+    )
 R.add(
-    "mt_repeated_phrase", lambda s, d: Q.repeated_phrase(docs(s, d), "doc_id", "text"),
-    f"""WITH s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {SENT.replace('text', 'lower(text)', 1)} AS l FROM documents)),
-      i AS (SELECT doc_id, s, pos - row_number() OVER (PARTITION BY doc_id, s ORDER BY pos) AS isle FROM s)
-      SELECT doc_id, max(n) AS run FROM (SELECT doc_id, s, isle, count(*) AS n FROM i GROUP BY ALL) GROUP BY doc_id""",
-)
-R.add(
-    "mt_detect", lambda s, d: Q.mt_detect(docs(s, d), "doc_id", "text"),
-    f"""WITH g AS ({GRAMS}),
-      b AS (SELECT doc_id, coalesce(len({WORDS}), 0) AS w, coalesce(regexp_matches(text, '{Q.DISCLAIMERS}'), false) AS disclaimer,
-        coalesce(CASE WHEN len({WORDS}) = 0 THEN 0.0 ELSE len(list_filter({WORDS}, lambda w: w IN {FW}))::DOUBLE / len({WORDS}) END, 0.0) AS fr,
-        coalesce({MISS}, 0.0) AS ma, coalesce({TENSES}, 0.0) AS vt FROM documents),
-      p AS (SELECT doc_id, w, disclaimer, CASE WHEN coalesce(top, 0) >= CASE WHEN w < 200 THEN 3 ELSE 4 END THEN 10 + 5 * greatest(coalesce(top, 0) - 2, 0) ELSE 0 END AS pg,
-        fr > 0.7 AND w >= 100 AS f, ma > 0.08 AND w >= 25 AS m, vt > 0.12 AS v FROM b LEFT JOIN g USING (doc_id)),
-      q AS (SELECT doc_id, least(100, CASE WHEN disclaimer THEN 50 ELSE 0 END + pg + CASE WHEN f THEN 10 ELSE 0 END + CASE WHEN m THEN 10 ELSE 0 END + CASE WHEN v THEN 10 ELSE 0 END)::BIGINT AS score,
-        round(least(1.0::DOUBLE, CASE WHEN disclaimer THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN pg >= 20 THEN 0.9::DOUBLE WHEN pg > 0 THEN 0.7 ELSE 0 END + CASE WHEN f THEN 0.5::DOUBLE ELSE 0 END
-          + CASE WHEN m THEN CASE WHEN w < 100 THEN 0.25::DOUBLE ELSE 0.5 END ELSE 0 END + CASE WHEN v THEN 0.5::DOUBLE ELSE 0 END), 4) AS confidence, pg > 0 AS gram FROM p)
-      SELECT doc_id, score, confidence, gram OR (score >= 30 AND confidence > 0.5) AS flag, CASE WHEN score >= 50 THEN 'critical' WHEN score >= 30 THEN 'warning' ELSE 'ok' END AS severity FROM q""",
+    "mt_detect", lambda s, d: MT.detect(docs(s, d), "doc_id", "text", F.col("domain")),
+    rf"""{MT_SQL},
+      h AS (SELECT doc_id, text IS NULL OR code OR coalesce(domain IN {_in(MT.EXCLUDED_DOMAINS)}, false) AS exempt, words < 200 AS short, words < 100 AS tiny, disclaimer AS d, run >= 3 AS p,
+        CASE WHEN gram >= CASE WHEN words < 200 THEN 3 ELSE 4 END AND NOT listed THEN 10 + 5 * greatest(gram - 2, 0) ELSE 0 END AS g,
+        words >= 100 AND func_ratio > CASE WHEN words > 500 THEN 0.7::DOUBLE * 0.9::DOUBLE ELSE 0.7::DOUBLE END AS f, words >= 25 AND article_ratio > 0.08 AS a, tense_ratio > 0.12 AS t, "distinct" >= 50 AND rare_ratio > 0.15 AS r FROM m),
+      n AS (SELECT *, f::INT + a::INT + t::INT + r::INT AS n, d OR p OR g > 0 AS major FROM h),
+      q AS (SELECT *, least(100, 50 * d::INT + 30 * p::INT + g + 10 * n) AS s, (d OR p) AND g = 0 AND n = 0 AS alone,
+        least(1.0::DOUBLE, d::INT + 0.9::DOUBLE * p::INT + CASE WHEN g >= 20 THEN 0.9::DOUBLE WHEN g > 0 THEN 0.7::DOUBLE ELSE 0 END + 0.5::DOUBLE * (n - a::INT) + CASE WHEN a THEN CASE WHEN tiny THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END ELSE 0 END) AS w FROM n)
+      SELECT doc_id, CASE WHEN exempt THEN 0 ELSE s END::BIGINT AS score,
+        round(CASE WHEN exempt OR (short AND n < 2 AND NOT major) THEN 0.0::DOUBLE WHEN short AND n >= 2 THEN least(0.8::DOUBLE, 0.4::DOUBLE * n) WHEN g >= 20 THEN 0.9::DOUBLE ELSE w END, 4) AS confidence,
+        CASE WHEN exempt OR (short AND n < 2 AND NOT major) THEN false WHEN short AND n >= 2 THEN true WHEN g > 0 THEN true ELSE (s >= 30 OR alone) AND w > 0.5 END AS flag,
+        CASE WHEN exempt OR (short AND n < 2 AND NOT major) THEN 'ok' WHEN short AND n >= 2 THEN 'warning' WHEN g >= 20 OR s >= 50 THEN 'critical' WHEN s >= 30 THEN 'warning' ELSE 'ok' END AS severity FROM q""",
 )
 
 
 def corruption(s, d):
-    c = table(s, d, "quality_config").where("active").limit(1).select("non_printable_ratio_threshold", "symbol_ratio_threshold", "word_diversity_threshold")
+    c = table(s, d, "quality_config").where("active").limit(1).select("non_printable_ratio_threshold", "symbol_ratio_threshold", "word_diversity_threshold", "known_corruption_markers")
     j = docs(s, d).select("doc_id", "text").join(F.broadcast(c))  # one row
-    return j.select("doc_id", Q.corruption_score(F.col("text"), F.col("non_printable_ratio_threshold"), F.col("symbol_ratio_threshold"), F.col("word_diversity_threshold")).alias("score"))
+    return j.select("doc_id", Q.corruption_score(F.col("text"), F.col("non_printable_ratio_threshold"), F.col("symbol_ratio_threshold"), F.col("word_diversity_threshold"), F.col("known_corruption_markers")).alias("score"))
 
 
 CORRUPT = rf"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE greatest(
-  CASE WHEN len(regexp_extract_all(text, '[\x00-\x08\x0e-\x1f\x{{fffd}}]'))::DOUBLE / greatest(length(text), 1) > non_printable_ratio_threshold THEN 80 ELSE 0 END,
+  CASE WHEN (len(regexp_extract_all(text, '[\x00-\x08\x0e-\x1f]')) + coalesce(list_sum(list_transform(known_corruption_markers, lambda m: length(text) - length(replace(text, m, '')))), 0))::DOUBLE / greatest(length(text), 1) > non_printable_ratio_threshold THEN 80 ELSE 0 END,
   CASE WHEN len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}\p{{Z}} \t\n\r\f]'))::DOUBLE / greatest(length(text), 1) > symbol_ratio_threshold THEN 60 ELSE 0 END,
   CASE WHEN (CASE WHEN len({WORDS}) = 0 THEN 1.0 ELSE len(list_distinct({WORDS}))::DOUBLE / len({WORDS}) END) < word_diversity_threshold THEN 40 ELSE 0 END) END::INT AS score
   FROM documents, (SELECT * FROM quality_config WHERE active LIMIT 1)"""
 R.add("corruption_score", corruption, CORRUPT)
+
+
+def quality_score(s, d):
+    """0.3 translation, 0.3 language (confidence recorded with the extraction record, 0 without), 0.4 corruption, each as goodness."""
+    mt = R.queries["mt_detect"](s, d).select("doc_id", (1 - F.col("score") / 100).alias("a"))
+    cor = corruption(s, d).select("doc_id", (1 - F.coalesce("score", F.lit(100)) / 100).alias("b"))
+    lang = table(s, d, "extraction_results").groupBy("result_id").agg(F.max("language_confidence").alias("c"))
+    lang = docs(s, d).select("doc_id", "result_id").join(lang, "result_id", "left").select("doc_id", F.coalesce("c", F.lit(0.0)).alias("c"))
+    total = 0.3 * F.col("a") + 0.3 * F.col("c") + 0.4 * F.col("b")
+    return mt.join(cor, "doc_id").join(lang, "doc_id").select("doc_id", F.round(total, 6).alias("score"), (F.round(total, 9) >= 0.7).alias("good"))
+
+
 R.add(
-    "quality_score",
-    lambda s, d: Q.mt_detect(docs(s, d), "doc_id", "text").select("doc_id", (1 - F.col("score") / 100).alias("a")).join(corruption(s, d).select("doc_id", (1 - F.coalesce("score", F.lit(100)) / 100).alias("b")), "doc_id")
-    .select("doc_id", F.round((0.3 * F.col("a") + 0.4 * F.col("b")) / 0.7, 6).alias("score"), ((0.3 * F.col("a") + 0.4 * F.col("b")) / 0.7 >= 0.7).alias("good")),
-    f"""SELECT doc_id, round((0.3::DOUBLE * a + 0.4::DOUBLE * b) / 0.7::DOUBLE, 6) AS score, (0.3::DOUBLE * a + 0.4::DOUBLE * b) / 0.7::DOUBLE >= 0.7::DOUBLE AS good FROM
-      (SELECT doc_id, 1 - score / 100.0::DOUBLE AS a FROM ({R.sql['mt_detect']})) JOIN (SELECT doc_id, 1 - coalesce(score, 100) / 100.0::DOUBLE AS b FROM ({CORRUPT})) USING (doc_id)""",
+    "quality_score", quality_score,
+    f"""SELECT doc_id, round(0.3::DOUBLE * a + 0.3::DOUBLE * c + 0.4::DOUBLE * b, 6) AS score, round(0.3::DOUBLE * a + 0.3::DOUBLE * c + 0.4::DOUBLE * b, 9) >= 0.7::DOUBLE AS good FROM
+      (SELECT doc_id, 1 - score / 100.0::DOUBLE AS a FROM ({R.sql['mt_detect']})) JOIN (SELECT doc_id, 1 - coalesce(score, 100) / 100.0::DOUBLE AS b FROM ({CORRUPT})) USING (doc_id)
+      JOIN (SELECT d.doc_id, coalesce(l.c, 0.0) AS c FROM documents d LEFT JOIN (SELECT result_id, max(language_confidence) AS c FROM extraction_results GROUP BY 1) l USING (result_id)) USING (doc_id)""",
 )
 SECT = "['" + "','".join(sorted(Q.SECTIONS)) + "']"
 ACAD = rf"(len(list_filter({SECT}, lambda k: contains(lower(text), k))) + CASE WHEN len(regexp_extract_all(text, '\[[0-9]+\]')) > 5 THEN 2 ELSE 0 END)"
@@ -125,10 +151,15 @@ R.add(
     rf"SELECT doc_id, {N_TOK} >= 200 AS long_enough, round(1000 * len(regexp_extract_all(text, '\[[0-9]+\]'))::DOUBLE / greatest({N_TOK}, 1), 4) AS reference_density, len(list_filter({SECT}, lambda k: contains(lower(text), k))) >= 3 AS sections_ok FROM documents WHERE text IS NOT NULL",
 )
 each("scientific_paper", lambda: F.coalesce((F.size(X.keyword_hits(F.col("text"), list(Q.SECTIONS))) >= 3) | (F.col("text").rlike("(?i)we model|hypothes") & F.col("text").rlike(r"\[[0-9]+\]")), F.lit(False)), rf"coalesce(len(list_filter({SECT}, lambda k: contains(lower(text), k))) >= 3 OR (regexp_matches(text, '(?i)we model|hypothes') AND regexp_matches(text, '\[[0-9]+\]')), false)")
-SYM = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS type, unnest({f'list_filter(regexp_extract_all(text, {chr(39)}{W}{chr(39)}), lambda w: regexp_matches(w, {chr(39)}{p}{chr(39)}))' if k == 'ticker' else f'regexp_extract_all(text, {chr(39)}{p}{chr(39)})'}) AS symbol FROM documents"
-    for k, (p, _) in E.SYMBOL_PATTERNS.items()
-)
+
+
+def _sym(k):
+    p = E.SYMBOL_PATTERNS[k][0].replace("(?![A-Za-z0-9_])", r"\b")
+    hits = f"regexp_extract_all(text, '{chr(92)}b{p}{chr(92)}b')" if k in E.WHOLE else f"regexp_extract_all(text, '{p}')"
+    return f"list_filter({hits}, lambda w: w NOT IN {E.NO_TICKERS})" if k == "stock_ticker" else hits
+
+
+SYM = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest({_sym(k)}) AS symbol FROM documents" for k in E.SYMBOL_PATTERNS)
 SYMS = f"SELECT doc_id, type, symbol, count(*) AS n FROM ({SYM}) GROUP BY ALL"
 R.add("symbols", lambda s, d: E.symbols(docs(s, d), "doc_id", "text"), SYMS)
 R.add("symbol_positions", lambda s, d: E.symbol_positions(docs(s, d), "doc_id", "text"))
@@ -147,36 +178,71 @@ def classified(s, d):
 
 CLASSED = f"SELECT doc_id, type, symbol, coalesce(meaning, type) AS class, CASE WHEN meaning IS NOT NULL THEN 1.0::DOUBLE ELSE (CASE type {PRIOR} END)::DOUBLE END AS confidence, n FROM ({SYMS}) LEFT JOIN (VALUES {V_DICT}) t(symbol, meaning) USING (symbol)"
 R.add("symbol_classify", classified, CLASSED)
-R.add("symbol_validate", lambda s, d: classified(s, d).where("type = 'ticker'").groupBy("symbol").agg(F.sum("n").alias("n"), F.max(F.col("confidence") == 1.0).alias("known")), f"SELECT symbol, sum(n)::BIGINT AS n, max(confidence = 1.0) AS known FROM ({CLASSED}) WHERE type = 'ticker' GROUP BY symbol")
+R.add("symbol_validate", lambda s, d: classified(s, d).where("type = 'stock_ticker'").groupBy("symbol").agg(F.sum("n").alias("n"), F.max(F.col("confidence") == 1.0).alias("known")), f"SELECT symbol, sum(n)::BIGINT AS n, max(confidence = 1.0) AS known FROM ({CLASSED}) WHERE type = 'stock_ticker' GROUP BY symbol")
 R.add(
     "symbol_stats",
     lambda s, d: E.symbols(docs(s, d), "doc_id", "text").groupBy("doc_id").agg(F.sum("n").alias("total"), F.count_distinct("symbol").alias("unique")).join(docs(s, d).select("doc_id", F.length("text").alias("len")), "doc_id").select("doc_id", "total", "unique", F.round(F.col("total") / (F.col("len") / 1000), 6).alias("density")),
     f"SELECT doc_id, total, uniq AS unique, round(total / (length(text) / 1000.0::DOUBLE), 6) AS density FROM (SELECT doc_id, sum(n)::BIGINT AS total, count(DISTINCT symbol) AS uniq FROM ({SYMS}) GROUP BY doc_id) JOIN documents USING (doc_id)",
 )
 R.add("symbol_glossary", lambda s, d: E.symbols(docs(s, d), "doc_id", "text").groupBy("symbol", "type").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), f"SELECT symbol, type, sum(n)::BIGINT AS occurrences, count(*) AS docs, min(doc_id) AS first_doc FROM ({SYMS}) GROUP BY ALL")
-FORM = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS formula FROM documents" for k, p in E.FORMULA_PATTERNS.items())
+
+
+def _form(k):
+    f = f"list_distinct(regexp_extract_all(text, '{E.FORMULA_PATTERNS[k]}', 1))"
+    braces = " AND length(replace(f, '{', '')) = length(replace(f, '}', ''))" if "latex" in k else ""
+    return rf"list_filter({f}, lambda f: length(f) BETWEEN 3 AND 1000 AND NOT regexp_matches(trim(f, ' '), '^([0-9]+|[a-zA-Z]+|[ \t\n\r\f]*)\z'){braces})"
+
+
+FORM = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest({_form(k)}) AS formula FROM documents" for k in E.FORMULA_PATTERNS)
 R.add("formulas", lambda s, d: E.formulas(docs(s, d), "doc_id", "text"), FORM)
-R.add("formulas_light", lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0)))).alias("formula")), f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{E.FORMULA_PATTERNS['assignment']}'))) AS formula FROM documents")
-OPS = r"least(1.0::DOUBLE, 0.1::DOUBLE * len(regexp_extract_all(formula, '\\[a-zA-Z]+')) + 0.05::DOUBLE * len(regexp_extract_all(formula, '[-+*/=^<>]')))"
-# the SQL has no nesting depth and leaves out formulas with braces; the query counts all of them
-R.add("formula_stats", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").select("type", E.complexity(F.col("formula")).alias("c")).groupBy("type", F.when(F.col("c") < 0.3, "simple").when(F.col("c") < 0.7, "medium").otherwise("complex").alias("bucket")).agg(F.count("*").alias("n")), f"SELECT type, CASE WHEN round({OPS}, 4) < 0.3 THEN 'simple' WHEN round({OPS}, 4) < 0.7 THEN 'medium' ELSE 'complex' END AS bucket, count(*) AS n FROM ({FORM}) WHERE NOT contains(formula, '{{') GROUP BY ALL")
+LIGHT = ("inline_latex", "display_latex", "fractions", "percentage")
+R.add("formulas_light", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").where(F.col("type").isin(*LIGHT)).select("doc_id", "formula").distinct(), f"SELECT DISTINCT doc_id, formula FROM ({FORM}) WHERE type IN {LIGHT}")
+DEPTH = "greatest(coalesce(list_max(list_transform(range(1, length(formula) + 1), lambda i: (length(replace(formula[1:i], '}', '')) - length(replace(formula[1:i], '{', ''))))), 0), 0)"
+COMPLEX = rf"least(1.0::DOUBLE, 0.2::DOUBLE * {DEPTH} + 0.1::DOUBLE * len(regexp_extract_all(formula, '\\[a-zA-Z]+')) + 0.05::DOUBLE * len(regexp_extract_all(formula, '[-+*/=<>≤≥≠∈∉⊂⊃∩∪]')))"
+R.add("formula_stats", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").select("type", E.complexity(F.col("formula")).alias("c")).groupBy("type", F.when(F.col("c") < 0.3, "simple").when(F.col("c") < 0.7, "medium").otherwise("complex").alias("bucket")).agg(F.count("*").alias("n")), f"SELECT type, CASE WHEN round({COMPLEX}, 4) < 0.3 THEN 'simple' WHEN round({COMPLEX}, 4) < 0.7 THEN 'medium' ELSE 'complex' END AS bucket, count(*) AS n FROM ({FORM}) GROUP BY ALL")
+MARKS = " + ".join(f"contains(formula, '{m}')::INT" for m in (chr(92), "^", "_", "{", "}", "sum", "int", "frac", "sqrt"))
 R.add(
-    "enhancement_score",
-    lambda s, d: docs(s, d).where("text is not null").select("doc_id", Q.academic(F.col("text"))[2].alias("a"), (F.size(F.regexp_extract_all(F.col("text"), F.lit(E.FORMULA_PATTERNS["assignment"]), F.lit(0))) > 0).alias("f"), (F.size(F.regexp_extract_all(F.col("text"), F.lit(E.SYMBOL_PATTERNS["money"][0]), F.lit(0))) > 3).alias("m")).select("doc_id", F.round(F.least(F.lit(1.0), 0.5 + F.when(F.col("f"), 0.1).otherwise(0.0) + F.when(F.col("m"), 0.1).otherwise(0.0) + F.when(F.col("a"), 0.15).otherwise(0.0)), 4).alias("score")),
-    rf"SELECT doc_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN len(regexp_extract_all(text, '{E.FORMULA_PATTERNS['assignment']}')) > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '{E.SYMBOL_PATTERNS['money'][0]}')) > 3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {ACAD} >= 3 AND {ACAD} / 15.0::DOUBLE > 0.3::DOUBLE THEN 0.15::DOUBLE ELSE 0 END), 4) AS score FROM documents WHERE text IS NOT NULL",
-)
+    "formula_details", lambda s, d: E.formulas(docs(s, d), "doc_id", "text").select("doc_id", "type", "formula", E.formula_confidence(F.col("formula"), F.col("type")).alias("confidence"), E.complexity(F.col("formula")).alias("complexity"), *E.formula_metadata(F.col("formula"))),
+    rf"""SELECT doc_id, type, formula, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN contains(type, 'env') THEN 0.3::DOUBLE WHEN contains(type, 'latex') THEN 0.2::DOUBLE ELSE 0 END
+        + least(0.3::DOUBLE, 0.05::DOUBLE * ({MARKS})) - CASE WHEN length(formula) < 5 THEN 0.2::DOUBLE ELSE 0 END)), 4) AS confidence, round({COMPLEX}, 4) AS complexity, length(formula)::INT AS length,
+      regexp_matches(formula, '\\[a-zA-Z]+') AS has_commands, contains(formula, '^') AS has_superscript, contains(formula, '_') AS has_subscript, regexp_matches(formula, 'frac|/') AS has_fractions,
+      regexp_matches(formula, '\\int|∫') AS has_integrals, regexp_matches(formula, '\\sum|Σ') AS has_summations FROM ({FORM})""",
+)
+
+
+def enhancement_score(s, d):
+    """.5; .1 with formulas, .15 with charts named, .1 with more than ten symbols, .15 of academic form and .1 if also valid; at most 1."""
+    base = docs(s, d).where("text is not null").select("doc_id", "text")
+    n_f = E.formulas(base, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("nf"))
+    n_s = E.symbols(base, "doc_id", "text").groupBy("doc_id").agg(F.sum("n").alias("ns"))
+    valid = R.queries["academic_validate"](s, d).select("doc_id", (F.col("long_enough") & F.col("sections_ok")).alias("v"))
+    j = base.select("doc_id", Q.academic(F.col("text"))[2].alias("a"), F.col("text").rlike("(?i)(chart|figure) [0-9]").alias("c")).join(n_f, "doc_id", "left").join(n_s, "doc_id", "left").join(valid, "doc_id")
+    add = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    total = 0.5 + add(F.col("nf") > 0, 0.1) + add(F.col("c"), 0.15) + add(F.col("ns") > 10, 0.1) + add(F.col("a"), 0.15) + add(F.col("a") & F.col("v"), 0.1)
+    return j.select("doc_id", F.round(F.least(F.lit(1.0), total), 4).alias("score"))
+
+
+R.add(
+    "enhancement_score", enhancement_score,
+    rf"""SELECT d.doc_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN nf > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(chart|figure) [0-9]') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN ns > 10 THEN 0.1::DOUBLE ELSE 0 END
+        + CASE WHEN {ACAD} >= 3 AND {ACAD} / 15.0::DOUBLE > 0.3::DOUBLE THEN CASE WHEN {N_TOK} >= 200 THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END ELSE 0 END), 4) AS score
+      FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS nf FROM ({FORM}) GROUP BY 1) f USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n) AS ns FROM ({SYMS}) GROUP BY 1) s USING (doc_id) WHERE text IS NOT NULL""",
+)
 
 
 def domain_classify(s, d):
-    return E.classify(docs(s, d), table(s, d, "domain_keywords"), "doc_id", "text", "title")
+    return E.classify(docs(s, d), table(s, d, "domain_config"), "doc_id", "text", "title")
 
 
-CLASSIFY = rf"""WITH c AS (SELECT doc_id, lower(concat_ws(' ', coalesce(title, ''), coalesce(title, ''), coalesce(title, ''), coalesce(text, ''))) AS c FROM documents),
-  k AS (SELECT domain, list_distinct(list_transform(required_keywords, lambda x: lower(x))) AS ks FROM domain_keywords),
-  s AS (SELECT doc_id, domain, 0.7::DOUBLE * len(list_filter(ks, lambda x: contains(c, x))) / len(ks)
-      + 0.3::DOUBLE * list_sum(list_transform(ks, lambda x: (length(c) - length(replace(c, x, '')))::DOUBLE / length(x))) / (greatest(len(regexp_extract_all(c, '{TOK}')), 1) / 20.0::DOUBLE) AS s FROM c, k),
+RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+CLASSIFY = rf"""WITH c AS (SELECT doc_id, repeat(lower(coalesce(title, '')) || ' ', 3) || lower(coalesce(text, '')) AS c FROM documents),
+  t AS (SELECT doc_id, regexp_extract_all(c, '{RUNS}') AS t, greatest(1, len(list_filter(string_split_regex(c, '{WS}+'), lambda x: x <> ''))) AS n FROM c),
+  w AS (SELECT DISTINCT domain, k FROM (SELECT domain, unnest(string_split(lower(array_to_string(search_terms, ' ')), ' ')) AS k FROM domain_config) WHERE length(k) > 3 AND k NOT IN {E.KEYWORD_STOPS}),
+  k AS (SELECT domain, list(regexp_extract_all(k, '{RUNS}')) FILTER (k IS NOT NULL) AS ks FROM domain_config LEFT JOIN w USING (domain) GROUP BY domain),
+  h AS (SELECT doc_id, domain, n, len(ks) AS nk, list_transform(ks, lambda k: len(list_filter(range(1, len(t) - len(k) + 2), lambda i: t[i] = k[1] AND t[i:i + len(k) - 1] = k))) AS hits FROM t, k),
+  s AS (SELECT doc_id, domain, CASE WHEN coalesce(nk, 0) = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE * len(list_filter(hits, lambda x: x > 0)) / nk + 0.3::DOUBLE * list_sum(hits) / (n / 20.0::DOUBLE) END AS s FROM h),
   r AS (SELECT doc_id, domain, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, domain) AS r, lead(s) OVER (PARTITION BY doc_id ORDER BY s DESC, domain) AS s2 FROM s)
-  SELECT doc_id, CASE WHEN s > 0 THEN domain ELSE 'unknown' END AS domain, round(s, 6) AS score, round(CASE WHEN s <= 0 OR s2 IS NULL OR s2 <= 0 THEN 0.0 ELSE (s - s2) / s END, 6) AS confidence FROM r WHERE r = 1"""
+  SELECT doc_id, CASE WHEN s > 0 THEN domain ELSE 'unknown' END AS domain, round(s, 6) AS score, round(CASE WHEN s <= 0 OR s2 IS NULL OR s2 <= 0 THEN 0.0::DOUBLE ELSE (s - s2) / s END, 6) AS confidence FROM r WHERE r = 1"""
 R.add("domain_classify", domain_classify, CLASSIFY)
 R.add("relevance", lambda s, d: domain_classify(s, d).select("doc_id", F.round(F.least(F.lit(100.0), F.col("score") * 100), 2).alias("relevance"), F.when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.3, "medium").otherwise("low").alias("band")), f"SELECT doc_id, round(least(100.0::DOUBLE, score * 100), 2) AS relevance, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM ({CLASSIFY})")
 LANGW = {"de": ["der", "die", "das", "und", "nicht"], "en": ["the", "and", "of", "that", "was"], "es": ["el", "los", "las", "una", "con"], "fr": ["le", "les", "des", "une", "dans"]}
@@ -210,10 +276,26 @@ R.add(
     "chunk_chars", lambda s, d: docs(s, d).where("length(text) > 0").select("doc_id", F.col("text"), F.explode(F.expr("sequence(1, greatest(1, length(text) - 100), 900)")).alias("i")).select("doc_id", ((F.col("i") - 1) / 900).cast("int").cast("long").alias("chunk_no"), F.length(F.expr("substring(text, i, 1000)")).cast("long").alias("n_chars")),
     "SELECT doc_id, ((i - 1) // 900)::BIGINT AS chunk_no, length(substring(text, i, 1000)) AS n_chars FROM (SELECT doc_id, text, unnest(range(1, greatest(1, length(text) - 100) + 1, 900)) AS i FROM documents WHERE length(text) > 0)",
 )
+
+
+def chunk_headers(s, d):
+    """Chunks that begin at Markdown header lines; a text without any stays whole."""
+    lines = F.split(F.col("text"), "\n")
+    start = F.transform(lines, lambda x: F.trim(x).startswith("#"))
+    cut = F.aggregate(
+        F.arrays_zip(lines.alias("l"), start.alias("h")), F.array().cast("array<array<string>>"),
+        lambda a, x: F.when(x["h"] | (F.size(a) == 0), F.concat(a, F.array(F.array(x["l"])))).otherwise(F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.array(x["l"]))))),
+    )
+    return docs(s, d).where("text is not null").select("doc_id", F.posexplode(cut).alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length(F.array_join("c", "\n")).cast("long").alias("n_chars"))
+
+
 R.add(
-    "chunk_headers", lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.posexplode(F.split(F.col("text"), r"\n\n+")).alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("c").cast("long").alias("n_chars")),
-    r"SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_no, length(unnest(l)) AS n_chars FROM (SELECT doc_id, string_split_regex(text, '\n\n+') AS l FROM documents WHERE text IS NOT NULL)",
+    "chunk_headers", chunk_headers,
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+      c AS (SELECT *, sum(CASE WHEN i > 1 AND starts_with(trim(x, ' '), '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS chunk_no FROM l)
+      SELECT doc_id, chunk_no::BIGINT AS chunk_no, (sum(length(x)) + count(*) - 1)::BIGINT AS n_chars FROM c GROUP BY ALL""",
 )
+R.add("chunk_sentences", lambda s, d: docs(s, d).where("length(text) > 0").select("doc_id", F.explode(X.sentence_chunks("text")).alias("c")).select("doc_id", "c.*"))
 R.add(
     "chunk_lines",
     lambda s, d: docs(s, d).where("text is not null").select("doc_id", F.expr("""aggregate(split(text, '\\n'), named_struct('done', cast(array() as array<array<string>>), 'cur', cast(array() as array<string>), 'n', 0),

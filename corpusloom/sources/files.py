@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = "{py,ipynb,md,html,htm,json,csv,txt}"
+EXTENSIONS = "{py,ipynb,md,markdown,html,htm,json,csv,tsv,txt,epub}"
 
 
 def scan(spark: SparkSession, path: str, max_mb: int = 64) -> DataFrame:
@@ -21,8 +21,108 @@ def scan(spark: SparkSession, path: str, max_mb: int = 64) -> DataFrame:
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """(path, text): content decoded as UTF-8, bad bytes replaced."""
-    return files.select("path", F.expr("decode(content, 'UTF-8')").alias("text"))
+    """(path, text): content decoded as UTF-8, bad bytes replaced one by one."""
+
+    @F.pandas_udf("string")
+    def decode(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else bytes(c).decode("utf-8", "replace"))
+
+    return files.select("path", decode("content").alias("text"))
+
+
+def csv_text(content: str, separator: str) -> str:
+    """One line for each row: named cells that are not empty; the first row names them."""
+    import csv
+
+    rows = list(csv.reader(io.StringIO(content), delimiter=separator))
+    if not rows:
+        return ""
+    names = [h.strip() or str(k) for k, h in enumerate(rows[0])]
+    lines = ["; ".join(f"{names[k] if k < len(names) else k}: {c.strip()}" for k, c in enumerate(r) if c.strip()) for r in rows[1:]]
+    return "\n".join(x for x in lines if x) if len(rows) > 1 else "; ".join(rows[0])
+
+
+def json_text(content: str) -> str:
+    """One line for each leaf with its path; what is no JSON stays as it is; lines of JSON one after the other."""
+
+    def leaves(x: object, path: str) -> Iterator[str]:
+        if isinstance(x, dict):
+            for k, v in x.items():
+                yield from leaves(v, f"{path}.{k}" if path else str(k))
+        elif isinstance(x, list):
+            for k, v in enumerate(x):
+                yield from leaves(v, f"{path}.{k}" if path else str(k))
+        elif x is not None:
+            yield f"{path}: {x}" if path else str(x)
+
+    try:
+        return "\n".join(leaves(json.loads(content), ""))
+    except ValueError:
+        try:
+            return "\n".join(y for x in content.splitlines() if x.strip() for y in leaves(json.loads(x), ""))
+        except ValueError:
+            return content
+
+
+def front_matter(content: str) -> tuple[str, dict[str, str]]:
+    """(text without its front matter, the simple keys of it)."""
+    import re
+
+    m = re.match(r"---[ \t]*\r?\n(.*?)\r?\n---[ \t]*\r?\n?", content, re.DOTALL)
+    if not m:
+        return content, {}
+    pairs = (x.split(":", 1) for x in m.group(1).splitlines() if ":" in x and not x.startswith((" ", "\t", "#")))
+    return content[m.end() :], {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+
+
+def epub_metadata(content: bytes) -> dict[str, str]:
+    """Dublin Core fields of the package; several values of one field are joined."""
+    import html
+    import re
+
+    out: dict[str, list[str]] = {}
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for n in z.namelist():
+            if n.endswith(".opf"):
+                for field, value in re.findall(r"<dc:(\w+)[^>]*>(.*?)</dc:\1>", z.read(n).decode("utf-8", "replace"), re.DOTALL):
+                    out.setdefault(field, []).append(html.unescape(value.strip()))
+    return {k: "; ".join(v) for k, v in out.items()}
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """(path, text, metadata) of scanned files by their extension; a file that can't be read gives a null text."""
+
+    def one(path: str, c: bytes) -> tuple[str | None, dict[str, str]]:
+        name = path.lower()
+        if name.endswith(".epub"):
+            return epub_text(path, c), epub_metadata(c)
+        if name.endswith(".py"):
+            return python_text(path, c), {}
+        t = c.decode("utf-8", "replace")
+        if name.endswith((".csv", ".tsv")):
+            return csv_text(t, "\t" if name.endswith(".tsv") else ","), {}
+        if name.endswith(".json"):
+            return json_text(t), {}
+        if name.endswith((".md", ".markdown")):
+            return front_matter(t)
+        if name.endswith((".html", ".htm")):
+            from corpusloom.sources.html import parse_page
+
+            p = parse_page(t, "")
+            return p["text"], {"title": p["title"] or "", **p["meta"]}
+        return t, {}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for p, c in zip(part["path"], part["content"], strict=True):
+                try:
+                    rows.append((p, *one(p, bytes(c))))
+                except Exception:  # one bad file must not stop the scan
+                    rows.append((p, None, {}))
+            yield pd.DataFrame(rows, columns=["path", "text", "metadata"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, metadata map<string,string>")
 
 
 def extract_with(files: DataFrame, parse, schema: str = "path string, text string") -> DataFrame:
@@ -89,3 +189,39 @@ def export(df: DataFrame, path: str, version: str, dry_run: bool = False) -> dic
         df.write.mode("errorifexists").partitionBy("domain").parquet(path)
         df.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_manifest")
     return manifest
+
+
+def free_name(folder: str, name: str) -> str:
+    """Path of a name in a folder that is not taken, with _1, _2 and so on before its extension."""
+    import os
+
+    stem, ext = os.path.splitext(name)
+    path, k = os.path.join(folder, name), 0
+    while os.path.exists(path):
+        k += 1
+        path = os.path.join(folder, f"{stem}_{k}{ext}")
+    return path
+
+
+def zip_export(folder: str, target: str, manifest: dict) -> str:
+    """One archive of an exported folder with its manifest, written file by file (local file systems)."""
+    import os
+
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("manifest.json", json.dumps(manifest, sort_keys=True))
+        for base, _, names in sorted(os.walk(folder)):
+            for n in sorted(names):
+                if not n.startswith((".", "_")):
+                    z.write(os.path.join(base, n), os.path.relpath(os.path.join(base, n), folder))
+    return target
+
+
+def move_plan(df: DataFrame, root: str, path_col: str = "path", domain_col: str = "domain") -> DataFrame:
+    """(path, target): where each file goes, by domain; names that meet get a number, in the order of their paths. Nothing is moved."""
+    from pyspark.sql import Window
+
+    name = F.element_at(F.split(F.col(path_col), "/"), -1)
+    base = F.concat_ws("/", F.lit(root.rstrip("/")), F.coalesce(F.col(domain_col), F.lit("unknown")), name)
+    k = F.row_number().over(Window.partitionBy("_t").orderBy(path_col)) - 1
+    numbered = df.select(F.col(path_col).alias("path"), base.alias("_t")).withColumn("_k", k.cast("string"))
+    return numbered.select("path", F.when(F.col("_k") == "0", F.col("_t")).otherwise(F.regexp_replace("_t", r"^(.*?)(\.[^./]*)?$", F.concat(F.lit("$1_"), F.col("_k"), F.lit("$2")))).alias("target"))

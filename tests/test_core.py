@@ -136,4 +136,92 @@ def test_formula_stats_count_formulas_with_braces(spark, tmp_path):
     rows = [(1, r"Let \begin{equation} x = y \end{equation} hold."), (2, r"So $x^{a^{b^{c}}}$ grows."), (3, "We set y = a + b here.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["type"], r["bucket"]): r["n"] for r in catalog.QUERIES["formula_stats"](spark, str(tmp_path)).collect()}
-    assert got["equation", "medium"] == 1 and got["inline", "complex"] == 1
+    # formulas count without their delimiters: x = y has one operator, three levels of braces make 0.6
+    assert got["equation_env", "simple"] == 1 and got["inline_latex", "medium"] == 1
+
+
+def test_translation_rules_fire_one_by_one(spark):
+    from corpusloom.operators import translation as MT
+
+    filler = " ".join(f"The word{k} of group{k} was in place{k}." for k in range(40))
+    texts = {
+        "disclaimer": "This was translated by a machine. " + filler, "phrase": "Same here. Same here. Same here. " + filler, "gram": "one two three x one two three y one two three z one two three w " + filler,
+        "code": "x = 1\n" + filler + " one two three one two three one two three one two three", "listed": "\n".join(["- one two three"] * 9), "short": "Hello there.", "none": None, "empty": "",
+    }
+    rows = [(k, t, "x") for k, t in texts.items()] + [("excluded", texts["gram"], "API")]
+    got = {r["id"]: r for r in MT.detect(spark.createDataFrame(rows, "id string, text string, domain string"), "id", "text", F.col("domain")).collect()}
+    assert got["gram"]["flag"] and got["gram"]["severity"] == "critical" and got["gram"]["confidence"] == 0.9
+    assert got["disclaimer"]["score"] >= 50 and got["disclaimer"]["flag"] and got["phrase"]["score"] >= 30
+    for k in ("code", "excluded", "short", "none", "empty"):
+        assert not got[k]["flag"] and got[k]["severity"] == "ok" and got[k]["confidence"] == 0.0, k
+    m = MT.measure("He is going. They had worked hard and it worked.")
+    assert m[9] == 2 / 3 and MT.measure(texts["listed"])[5] and not MT.measure("a\n- b")[5]
+
+
+def test_classify_takes_whole_words(spark):
+    config = spark.createDataFrame([("finance", ["risk margin"]), ("other", ["cap-weighted"]), ("none", [])], "domain string, search_terms array<string>")
+    rows = [(1, "the asterisk and the brisk marginalia", None), (2, "a risk, a Margin; risk", "Risk"), (3, "cap-weighted cap weighted", None), (4, None, None)]
+    got = {r["id"]: (r["domain"], r["score"]) for r in E.classify(spark.createDataFrame(rows, "id long, t string, title string"), config, "id", "t", "title").collect()}
+    assert got[1] == ("unknown", 0.0) and got[4] == ("unknown", 0.0) and got[2][0] == "finance"
+    assert got[2][1] == round(0.7 + 0.3 * 6 / (8 / 20), 6) and got[3] == ("other", round(0.7 + 0.3 / (3 / 20), 6))
+
+
+def test_chunks_end_behind_sentences():
+    text = "One. Two is here. " * 30
+    parts = X.chunk_limits(text, 100, 10)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(b - a <= 100 for a, b in parts)
+    assert all(text[:b].endswith(". ") for _, b in parts) and all(y[0] == x[1] - 10 for x, y in zip(parts, parts[1:]))
+    assert X.chunk_limits("x" * 250, 100, 10) == [(0, 100), (90, 190), (180, 250)]
+
+
+def test_dirty_files(spark, tmp_path):
+    d = tmp_path / "dirty"
+    (d / "sub").mkdir(parents=True)
+    (d / "bad.txt").write_bytes(b"caf\xe9 \xff ok")
+    (d / "t.csv").write_text('name,n\n"a, b",1\n,2\nshort\n')
+    (d / "u.tsv").write_text("x\ty\n1\t2\n")
+    (d / "j.json").write_text('{"title": "T", "n": [1, {"k": "deep"}], "none": null}')
+    (d / "broken.json").write_text('{"title": ')
+    (d / "m.md").write_text("---\ntitle: Head\ntags: a, b\n---\n# One\ntext")
+    (d / ".hidden.txt").write_text("no")
+    with zipfile.ZipFile(d / "e.epub", "w") as z:
+        z.writestr("content.opf", "<package xmlns:dc='x'><metadata><dc:title>Book &amp; Co</dc:title><dc:creator>A</dc:creator></metadata></package>")
+        z.writestr("c1.xhtml", "<p>Chapter</p>")
+    f = files.scan(spark, str(d))
+    plain = {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.texts(f).collect()}
+    assert plain["bad.txt"] == "caf\ufffd \ufffd ok" and ".hidden.txt" not in plain
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.extract(f).collect()}
+    assert rows["t.csv"]["text"] == "name: a, b; n: 1\nn: 2\nname: short" and rows["u.tsv"]["text"] == "x: 1; y: 2"
+    assert rows["j.json"]["text"] == "title: T\nn.0: 1\nn.1.k: deep" and rows["broken.json"]["text"] == '{"title": '
+    assert rows["m.md"]["text"] == "# One\ntext" and rows["m.md"]["metadata"] == {"title": "Head", "tags": "a, b"}
+    assert rows["e.epub"]["text"] == "Chapter" and rows["e.epub"]["metadata"] == {"title": "Book & Co", "creator": "A"}
+
+
+def test_feed_with_a_namespace(spark):
+    feed = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title><entry><id>1</id><title>A &amp; B</title><published>2024-01-02T00:00:00Z</published><summary> s </summary><author><name>X</name></author><author><name>Y</name></author></entry><entry><id>2</id><title>C</title></entry></feed>'
+    df = spark.createDataFrame([(1, feed), (2, "<entry><id>9</id><title>Z</title></entry>"), (3, "broken <"), (4, None)], "k long, x string")
+    got = {(r["k"], r["p"]["id"]): r["p"] for r in df.select("k", F.explode(html.papers(F.col("x"))).alias("p")).collect()}
+    assert set(got) == {(1, "1"), (1, "2"), (2, "9")}
+    assert got[1, "1"]["title"] == "A & B" and got[1, "1"]["authors"] == ["X", "Y"] and got[1, "1"]["summary"] == "s" and got[1, "2"]["authors"] == []
+
+
+def test_malformed_html(spark):
+    bad = "<html><head><title>T &mdash; x</title><meta name='author' content=\"A B\"></head><body><nav>no</nav><p>One<p>Two &eacute;<table><tr><td>a<td>b<tr><td><table><tr><td>in</table><td>c</table><a href='/rel'>r</a> <a HREF='http://x.y/z'>Z</a><script>if (a < b) {}</script>"
+    r = spark.createDataFrame([(1, bad), (2, None), (3, "")], "k long, h string").select("k", html.page("h", F.lit("http://s.t/d/")).alias("p")).collect()
+    p = {x["k"]: x["p"] for x in r}
+    assert p[1]["title"] == "T \u2014 x" and p[1]["meta"] == {"author": "A B"} and p[1]["text"].split("\n")[:2] == ["One", "Two \u00e9"] and "no" not in p[1]["text"].split()
+    assert ["a", "b"] in p[1]["tables"][0] and p[1]["tables"][1] == [["in"]]
+    assert [tuple(x) for x in p[1]["links"]] == [("http://s.t/rel", "r"), ("http://x.y/z", "Z")]
+    assert p[2]["text"] is None and p[3]["text"] == ""
+
+
+def test_exports_and_safe_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "b", "y")], "doc_id long, domain string, text string")
+    m = files.export(df, str(tmp_path / "out"), "1.0")
+    assert m["domains"] == {"a": 1, "b": 2} and files.export(df, str(tmp_path / "dry"), "1.0", dry_run=True) == m and not (tmp_path / "dry").exists()
+    assert files.free_name(str(tmp_path), "out") == str(tmp_path / "out_1") and files.free_name(str(tmp_path), "new") == str(tmp_path / "new")
+    z = files.zip_export(str(tmp_path / "out"), str(tmp_path / "out.zip"), m)
+    with zipfile.ZipFile(z) as f:
+        assert "manifest.json" in f.namelist() and json.loads(f.read("manifest.json")) == m and len(f.namelist()) > 2
+    plan = files.move_plan(spark.createDataFrame([("/c/a.txt", "x"), ("/d/a.txt", "x"), ("/d/b.txt", None)], "path string, domain string"), "/t").collect()
+    assert sorted(r["target"] for r in plan) == ["/t/unknown/b.txt", "/t/x/a.txt", "/t/x/a_1.txt"]
