@@ -49,7 +49,7 @@ LEAN = 20.0
 PRIOR_WEIGHT, PRIOR_SENTENCES = 1.0, 0.2
 SUFFIX_BONUS = 2.0
 #: Labelled rows that the model is fitted on, about; rounds of the mixture; tenths of nats of a sentence that are kept.
-TRAIN_ROWS, STEPS, RANGE = 20_000, 3, 25.0
+TRAIN_ROWS, STEPS, RANGE = 10_000, 3, 25.0
 
 
 def label_code(label: Column) -> Column:
@@ -78,10 +78,10 @@ def sentences(t: bulk.Text) -> np.ndarray:
 
 
 def text_evidence(texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first characters, characters, log-likelihoods by class, best class or -1) of the sentences of each text."""
+    """(first characters, characters, log-likelihoods by class, best class or -1) of the sentences of each sound text."""
     k = len(lm.CLASSES)
     for a, b in bulk.chunks(texts):
-        t = lm.lowered(garble.sound(texts[a:b]))
+        t = lm.lowered(texts[a:b])
         starts = sentences(t)
         ll, letters = lm.likelihoods(t, model, starts)
         solid = np.flatnonzero(t.kind != bulk.SPACE)
@@ -157,13 +157,13 @@ def evidence(records: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFr
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for part in texts:
-            ts = part.tolist()
+            ts = garble.sound(part.tolist())
             rows = []
             for at, n, ll, top in text_evidence(ts, model):
                 near = np.minimum((ll.max(axis=1, keepdims=True) - ll) * (255 / RANGE), 255).astype(np.uint8) if len(ll) else np.zeros(0, np.uint8)
                 rows.append((at.astype("<i4").tobytes(), n.astype("<i4").tobytes(), near.tobytes(), top))
             out = pd.DataFrame(rows, columns=["starts", "chars", "ll", "top"])
-            yield pd.concat([out, prose.as_frame(ts).rename(columns={"lang": "text_lang"})], axis=1)
+            yield pd.concat([out, prose.as_frame(ts, sound=True).rename(columns={"lang": "text_lang"})], axis=1)
 
     e = records.withColumn("_e", run(F.col("text"))).select(*[c for c in records.columns if c != "text"], "_e.*")
     stats = F.struct(F.col("text_lang").alias("lang"), *prose.NAMES[1:])

@@ -92,15 +92,14 @@ def word_weights(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at] == hashes, at
 
 
-def measure(texts: list[str | None]) -> pd.DataFrame:
-    """Statistics of each text; all null for null and blank texts."""
-    parts = [_measure(texts[a:b]) for a, b in bulk.chunks(texts)]
+def measure(texts: list[str | None], sound: bool = False) -> pd.DataFrame:
+    """Statistics of each text; all null for null and blank texts. ``sound`` says that garbled text is restored already."""
+    parts = [_measure(texts[a:b] if sound else garble.sound(texts[a:b])) for a, b in bulk.chunks(texts)]
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in NAMES})
 
 
-def _measure(texts: list[str | None]) -> pd.DataFrame:
-    fixed = garble.sound(texts)
-    k = len(texts)
+def _measure(fixed: list[str | None]) -> pd.DataFrame:
+    k = len(fixed)
     w = bulk.words(fixed)
     t = bulk.text(fixed)
     n = np.diff(w.first).astype(float)
@@ -203,9 +202,9 @@ NAMES = ["lang", "word_count", *DIMS, "distinct_share", "lost"]
 SCHEMA = "lang string, word_count long, " + ", ".join(f"{d} double" for d in DIMS) + ", distinct_share double, lost boolean"
 
 
-def as_frame(texts: list[str | None]) -> pd.DataFrame:
+def as_frame(texts: list[str | None], sound: bool = False) -> pd.DataFrame:
     """``measure`` with the types of SCHEMA."""
-    out = measure(texts)
+    out = measure(texts, sound)
     return out.astype({d: "float64" for d in (*DIMS, "distinct_share")})
 
 

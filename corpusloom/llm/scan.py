@@ -23,13 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import checkpoint
 
-from . import prose
+from . import bulk, prose
 
 #: (as printed, as misread)
 CONFUSIONS = (("e", "c"), ("o", "0"), ("d", "cl"), ("l", "1"), ("u", "ii"), ("h", "b"), ("m", "rn"), ("w", "vv"), ("g", "9"), ("i", "l"), ("i", "1"), ("ri", "n"), ("s", "5"), ("b", "8"), ("b", "6"), ("z", "2"), ("l", "i"), ("c", "e"), ("b", "h"), ("m", "nn"), ("m", "in"), ("h", "li"), ("n", "ri"))
@@ -69,6 +70,37 @@ def tokens(text: str) -> list[str]:
     return [w for w in _WORD.findall(joined.lower()) if LEAST <= len(w) <= LONGEST and not w.isdigit()]
 
 
+def runs(low: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts joined, first and length of each run of letters and digits, its hash, its text)."""
+    t = bulk.text(low)
+    solid = t.kind == bulk.ALNUM
+    before = np.concatenate([[False], solid[:-1]])
+    starts = np.flatnonzero(solid & ~before)
+    ends = np.flatnonzero(~solid & before)
+    doc = np.searchsorted(t.start, starts, side="right") - 1
+    return "\n".join(low) + "\n", starts, ends - starts, bulk.hash_runs(t.codes, starts, solid), doc
+
+
+def count_words(texts: list[str], by_text: bool) -> Iterator[tuple[str, int]]:
+    """(word, texts that hold it or occurrences) for the words of a piece of texts; as ``tokens`` gives them."""
+    for a, b in bulk.chunks(texts):
+        low = [(_DIVIDED.sub(r"\1\3", t) if _MARKED_END.search(t) else t).lower() for t in texts[a:b]]
+        joined, start, size, h, doc = runs(low)
+        keep = np.flatnonzero((size >= LEAST) & (size <= LONGEST))
+        start, size, h, doc = start[keep], size[keep], h[keep], doc[keep]
+        if by_text:
+            order = np.lexsort((h, doc))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            keep = order[new]
+            start, size, h = start[keep], size[keep], h[keep]
+        _, first, n = np.unique(h, return_index=True, return_counts=True)
+        for x, m, c in zip(start[first].tolist(), size[first].tolist(), n.tolist(), strict=True):
+            w = joined[x : x + m]
+            if not w.isdigit():
+                yield w, c
+
+
 def vocabulary(records: DataFrame, by_text: bool = True) -> DataFrame:
     """(kind, word, n, h): counts of words 'w', hyphenated forms 'c' and line-end divisions 'd'; texts 't'.
 
@@ -86,15 +118,17 @@ def vocabulary(records: DataFrame, by_text: bool = True) -> DataFrame:
             return pd.DataFrame(rows, columns=["kind", "word", "n", "h"]).astype({"n": "int64", "h": "int64"})
 
         for part in parts:
-            for t in part["text"]:
-                counts["t"][""] += 1
-                counts["w"].update(once(tokens(t)))
+            texts = part["text"].tolist()
+            counts["t"][""] += len(texts)
+            for w, n in count_words(texts, by_text):
+                counts["w"][w] += n
+            for t in texts:
                 if "-" in t:
                     counts["c"].update(once(c for piece in t.lower().split() if "-" in piece for c in _COMPOUND.findall(piece)))
                     if _MARKED_END.search(t):
                         counts["d"].update(once(f"{a}-{b}" for a, mark, b in _DIVIDED.findall(t.lower()) if mark == "-"))
-                if len(counts["w"]) > FLUSH:
-                    yield out()
+            if len(counts["w"]) > FLUSH:
+                yield out()
         yield out()
 
     src = records.where("text is not null").select("text")
@@ -233,10 +267,22 @@ def repair(records: DataFrame, id_col: str = "result_id", text_col: str = "text"
         fixes = {r["word"]: r["correct"] for r in rows if r["kind"] == "w"}
         keep = {r["word"]: False for r in rows if r["kind"] == "d"}
 
+        wrong_words = sorted(fixes)
+        wrong_hashes = np.sort(runs([" ".join(wrong_words)])[3]) if wrong_words else np.zeros(1, np.uint64)
+
         @F.pandas_udf(schema)
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for part in texts:
-                yield pd.DataFrame([mend(t, fixes, keep) if t else (t, 0, 0, 0) for t in part], columns=names)
+                ts = part.tolist()
+                rows = []
+                for a, b in bulk.chunks(ts):
+                    # a text of one line without a misread word stays as it is
+                    some = [t.lower() if t else "" for t in ts[a:b]]
+                    _, _, _, h, doc = runs(some)
+                    bad = np.zeros(b - a, bool)
+                    bad[doc[wrong_hashes[np.minimum(np.searchsorted(wrong_hashes, h), len(wrong_hashes) - 1)] == h]] = True
+                    rows += [mend(t, fixes, keep) if t and (x or "\n" in t or "\x0c" in t) else (t, 0, 0, 0) for t, x in zip(ts[a:b], bad.tolist(), strict=True)]
+                yield pd.DataFrame(rows, columns=names)
 
         out = src.select("id", run("text").alias("_m"))
     else:

@@ -236,6 +236,19 @@ def test_languages_beyond_the_nine_are_no_case(spark):
     assert language.found(r, hosts, spark.read.parquet(f"{DIR}/quality_config.parquet")).count() == 0
 
 
+def test_words_counted_by_arrays_equal_plain_ones():
+    from collections import Counter
+
+    texts = ["The liqui-\ndity of A1 and 12 or don't_do  x", "the The THE", "", "é" * 50 + " ab abc", "Straße İstanbul 中文字 １２３"]
+    for by_text in (True, False):
+        want, got = Counter(), Counter()
+        for t in texts:
+            want.update((set if by_text else list)(scan.tokens(t)))
+        for w, n in scan.count_words(texts, by_text):
+            got[w] += n
+        assert got == want
+
+
 def test_scan_repair():
     wrong, keep = {"diffcrence": "difference", "tbe": "the"}, {"cap-weighted": False}
     text = "Acme Desk Bulletin\np. 9\nIn tbe sample, the liqui-\ndity and the cap-\nweighted index show a\np. 10\nAcme Desk Bulletin\nbig diffcrence.\n\nNext one."
