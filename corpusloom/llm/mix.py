@@ -92,13 +92,15 @@ def draw(records: DataFrame, config: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def report(records: DataFrame, config: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per domain: target share, planned characters and repeats, and the share it really gets."""
+    """Per domain: target share, planned characters and repeats, the share it really gets, whether its share is out of
+    reach (``short``) and whether it has fewer records than ``min_documents`` (``too_few``)."""
     got = draw(records, config, seed).groupBy("domain").agg(F.sum(F.col("chars") * F.col("repeats")).alias("mixed_chars"))
     everything = Window.partitionBy(F.lit(1))
     mixed = F.coalesce("mixed_chars", F.lit(0))
     return (
         allocate(records, config)
         .join(got, "domain", "left")
+        .join(F.broadcast(config.groupBy("domain").agg(F.max("min_documents").alias("least"))), "domain", "left")  # configuration
         .select(
             "domain",
             "records",
@@ -109,6 +111,7 @@ def report(records: DataFrame, config: DataFrame, seed: int = SEED) -> DataFrame
             mixed.cast("long").alias("mixed_chars"),
             F.round(mixed / F.nullif(F.sum(mixed).over(everything), F.lit(0)), 6).alias("actual_share"),
             F.coalesce("short", F.lit(False)).alias("short"),
+            (F.col("records") < F.coalesce("least", F.lit(0))).alias("too_few"),
         )
     )
 

@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_mix": f"""WITH {_USABLE}, got AS (SELECT domain, sum(chars * repeats) AS m FROM draws GROUP BY domain)
             SELECT e.domain, e.records, e.chars, round(target_share, 6) AS target_share, round(given, 4) AS planned_chars, round(epochs, 6) AS epochs,
               coalesce(m, 0)::BIGINT AS mixed_chars, round(coalesce(m, 0)::DOUBLE / nullif(sum(coalesce(m, 0)) OVER (), 0), 6) AS actual_share,
-              coalesce(short, false) AS short
+              coalesce(short, false) AS short, e.records < coalesce((SELECT max(min_documents) FROM domain_config c WHERE c.domain = e.domain), 0) AS too_few
             FROM epochs e LEFT JOIN got USING (domain)""",
         "p9_found": r"""
             WITH w AS (SELECT 'd' AS k, doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pN\s]', '', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL

@@ -5,8 +5,9 @@ every worker). Texts go through Arrow record batches; the ids of a batch are wri
 int32 buffer with offsets, so no Python list per document crosses the boundary.
 
 Long texts are cut only where the split pattern always cuts: before a single space that stands
-between two characters that are not white space. Every match of the pattern either ends before such a
-space or starts with it, so the pieces encode to exactly the ids of the whole text.
+between two characters that are not white space, and between letters, digits and symbols of common ranges (never
+behind an apostrophe, which may begin a contraction). Every match of the pattern ends there, and it never looks
+back, so the pieces encode to exactly the ids of the whole text. A run of letters alone is one match and stays whole.
 
 Defined results: null and empty texts give an empty list; blank texts give their own ids; strings
 that spell special tokens are ordinary text. Extra columns are ignored. Repeated ids stay repeated.
@@ -29,7 +30,9 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: Texts above this many characters are encoded in pieces of about this size.
 PIECE_CHARS = 65_536
 
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-Ωα-ωЀ-ҁ\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3"
+_SYMBOLS = r"!-/:-@\[-`{-~。，、：；！？（）《》「」"
+_SAFE_CUT = re.compile(rf"(?<=\S) (?=\S)|(?<=[{_LETTERS}])(?=[0-9{_SYMBOLS}])|(?<=[0-9])(?=[{_LETTERS}{_SYMBOLS}])|(?<=[{_SYMBOLS}])(?<!')(?=[0-9{_LETTERS}])")
 _ENCODINGS: dict = {}
 
 

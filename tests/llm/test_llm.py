@@ -56,6 +56,11 @@ def test_tokens_of_long_texts_equal_the_whole(spark):
     for _ in range(200):
         t = " ".join(random.choice(alphabet) for _ in range(60)) + random.choice(alphabet)
         assert tokenize.encode(t, enc, limit=20) == enc.encode_ordinary(t)
+    solid = ["字", "汉字", "。", "，", "a", "Zz", "é", "1", "23", "²", "'", "'s", "'ll", "-", "/", "+", "_", "=", "“", "×", "ß", "ж", "ｶ", "\u0301"]
+    for _ in range(400):
+        t = "".join(random.choice(solid) for _ in range(80))
+        assert tokenize.encode(t, enc, limit=7) == enc.encode_ordinary(t)
+    assert max(map(len, tokenize.pieces("汉字。" * 1000 + "aB3/" * 1000, 50))) < 60
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \t"), (4, "naïve 中文 <|endoftext|>"), (4, "again")], "doc_id long, text string")
     ids = {(r["doc_id"], tuple(r["ids"])) for r in tokenize.encode_corpus(docs).collect()}
     assert (1, ()) in ids and (2, ()) in ids and (3, tuple(enc.encode_ordinary(" \t"))) in ids and len(ids) == 5
@@ -432,8 +437,9 @@ def test_many_items_and_short_texts_take_no_table_of_pairs():
 def test_mix_shares_and_limits(spark):
     rows = [(k, "x" * 100, "A", dt.datetime(2024, 1, 1)) for k in range(100)] + [(200 + k, "y" * 100, " b ", dt.datetime(2024, 1, 1)) for k in range(5)] + [(1, "x" * 100, "A", dt.datetime(2024, 2, 1)), (300, " ", "A", None), (301, "z", "other", None)]
     r = spark.createDataFrame(rows, "result_id long, text string, domain string, ingested_at timestamp")
-    c = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3), ("none", 0.0, 1)], "domain string, target_weight double, max_repeats int")
+    c = spark.createDataFrame([("a", 0.5, 2, 100), ("b", 0.5, 3, 6), ("none", 0.0, 1, None)], "domain string, target_weight double, max_repeats int, min_documents int")
     m = {x["domain"]: x for x in mix.report(r, c).collect()}
+    assert m["b"]["too_few"] and not m["a"]["too_few"] and not m["none"]["too_few"]
     assert m["b"]["short"] and m["b"]["planned_chars"] == 1500 and m["a"]["planned_chars"] == 9000 and m["none"]["planned_chars"] == 0
     d = mix.draw(r, c).toPandas()
     assert len(d) == 105 and d.loc[d.domain == "b", "repeats"].eq(3).all() and d.loc[d.domain == "a", "repeats"].between(0, 2).all()
