@@ -51,3 +51,30 @@ def status_of(c: Column) -> Column:
         F.when(s.isin("success", "succeeded", "completed", "complete", "done", "ok", "finished"), "success").when(s.isin("failed", "failure", "error", "fail"), "failed")
         .when(s.isin("running", "in_progress", "started"), "running").when(s.isin("cancelled", "canceled", "aborted"), "cancelled").when(s.isNull() | (s == ""), "unknown").otherwise(s)
     )
+
+
+def split_details(message: Column) -> tuple[Column, Column]:
+    """(message, details) of a line written as 'message | details'; details are null without a bar."""
+    parts = F.split(message, r" \| ", 2)
+    return F.trim(parts[0]), F.trim(F.try_element_at(parts, F.lit(2)))
+
+
+def filter_lines(df: DataFrame, level: str | None = None, component: str | None = None, text: str | None = None, day: Column | None = None) -> DataFrame:
+    """Parsed lines by level, component, a text in any case, and the day of their time."""
+    out = df
+    if level:
+        out = out.where(F.upper("level") == level.upper())
+    if component:
+        out = out.where(F.col("component") == component)
+    if text:
+        out = out.where(F.contains(F.lower("message"), F.lit(text.lower())))
+    return out.where(F.to_date(F.substring("time", 1, 10)) == day) if day is not None else out
+
+
+def log_kind(name: Column) -> Column:
+    """What a log file holds, by its name."""
+    low = F.lower(name)
+    kind = None
+    for k, label in (("error", "error"), ("collect", "collector"), ("process", "processor"), ("balanc", "balancer"), ("gui", "interface"), ("ui", "interface")):
+        kind = F.when(F.contains(low, F.lit(k)), label) if kind is None else kind.when(F.contains(low, F.lit(k)), label)
+    return kind.otherwise("general")

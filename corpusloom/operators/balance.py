@@ -75,3 +75,68 @@ def upsample(df: DataFrame, class_col: str, id_col: str) -> DataFrame:
     w = Window.partitionBy(F.lit(1))
     times = n.select("class", F.floor(F.max("n").over(w) / F.col("n")).alias("copies"))
     return k.join(F.broadcast(times), "class").select("class", id_col, "copies")  # one row per class
+
+
+def quality_rules(df: DataFrame, domain: Column, flag: Column, kind: Column, plan: DataFrame) -> DataFrame:
+    """(severity, action, subject, value): what to do about missing and crowded classes, poor quality and one file type.
+
+    Missing classes are high; a first class more than DOMINANCE_MAX times the second, more than a fifth of low quality
+    (above LOW_QUALITY_MAX critical) and more than four fifths of one file type are medium.
+    """
+    rows = lambda d, sev, act, subject, value: d.select(F.lit(sev).alias("severity") if isinstance(sev, str) else sev.alias("severity"), F.lit(act).alias("action"), subject.alias("subject"), F.round(value, 6).alias("value"))
+    k = counts(df, domain)
+    # the two largest classes by a maximum of pairs: no sort of the corpus
+    two = k.agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "class")), asc=False), 1, 2).alias("t"))  # one row per class
+    lead = F.col("t")[0]["n"] / F.try_element_at("t", F.lit(2))["n"]
+    total = df.agg(F.avg(F.coalesce((flag == "low_quality").cast("double"), F.lit(0.0))).alias("low"))
+    kinds = counts(df, kind)
+    share = kinds.join(F.broadcast(kinds.agg(F.sum("n").alias("t")))).select("class", (F.col("n") / F.col("t")).alias("s"))
+    return (
+        rows(plan.where("current = 0"), "high", "collect", F.col("domain"), F.lit(0.0))
+        .unionByName(rows(two.where(lead > DOMINANCE_MAX), "medium", "downsample", F.col("t")[0]["class"], lead))
+        .unionByName(rows(total.where("low > 0.2"), F.when(F.col("low") > LOW_QUALITY_MAX, "critical").otherwise("medium"), "review_quality", F.lit("low_quality"), F.col("low")))
+        .unionByName(rows(share.where("s > 0.8"), "medium", "diversify_types", F.col("class"), F.col("s")))
+    )
+
+
+def config_check(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(check, key, a, b) of two configurations (key, weight): missing, extra, mismatch, duplicate, and a sum that is not 1."""
+    one = lambda d: d.groupBy("key").agg(F.max("weight").alias("w"), F.count("*").alias("n"))
+    j = one(a).select("key", F.col("w").alias("a"), F.col("n").alias("na")).join(one(b).select("key", F.col("w").alias("b"), F.col("n").alias("nb")), "key", "full_outer")
+    pick = lambda cond, name: j.where(cond).select(F.lit(name).alias("check"), "key", "a", "b")
+    total = lambda d, name: d.agg(F.round(F.sum("weight"), 9).alias("s")).where(F.abs(F.coalesce("s", F.lit(0.0)) - 1) > tolerance).select(F.lit("sum").alias("check"), F.lit(name).alias("key"), *[(F.col("s") if name == x else F.lit(None).cast("double")).alias(x) for x in "ab"])
+    return (
+        pick("nb is null", "missing").unionByName(pick("na is null", "extra")).unionByName(pick(F.abs(F.col("a") - F.col("b")) > tolerance, "mismatch"))
+        .unionByName(pick("na > 1 or nb > 1", "duplicate")).unionByName(total(a, "a")).unionByName(total(b, "b"))
+    )
+
+
+def config_sync(a: DataFrame, b: DataFrame, force: bool = False) -> DataFrame:
+    """(key, weight) of a brought up to date from b: keys that only b has are added; weights of a stay unless forced."""
+    x, y = a.select("key", F.col("weight").alias("x"), F.lit(True).alias("in_a")), b.select("key", F.col("weight").alias("y"))
+    first, second = ("y", "x") if force else ("x", "y")
+    return x.join(y, "key", "full_outer").select("key", F.coalesce(first, second).alias("weight"))
+
+
+def weighted_quality(tokens: Column, flag: Column, language: Column, corruption: Column) -> Column:
+    """0.3 tokens (full at 1,000), 0.4 flag, 0.2 language confidence, 0.1 corruption score; each from 0 to 1."""
+    good = F.when(flag == "ok", 1.0).when(flag == "flagged", 0.5).otherwise(0.0)
+    size = F.least(F.lit(1.0), F.coalesce(tokens, F.lit(0)) / 1000.0)
+    return F.round(0.3 * size + 0.4 * good + 0.2 * F.coalesce(language, F.lit(0.0)) + 0.1 * F.coalesce(corruption, F.lit(100.0)) / 100, 6)
+
+
+def report_markdown(df: DataFrame, c: Column, title: str) -> str:
+    """The balance of a corpus as a Markdown page; only class counts and one row of metrics reach the driver."""
+    m = metrics(df, c).first()
+    rows = counts(df, c).orderBy(F.desc("n"), "class").collect()  # one row per class
+    total = sum(r["n"] for r in rows) or 1
+    lines = [f"# {title}", "", "| measure | value |", "|---|---|", *[f"| {k} | {m[k]} |" for k in ("classes", "total", "entropy", "balance_ratio", "gini", "dominance")]]
+    lines += ["", "| class | records | share |", "|---|---|---|", *[f"| {r['class']} | {r['n']} | {100 * r['n'] / total:.1f} % |" for r in rows]]
+    issues = imbalances(df, c).orderBy("severity", "rule").collect()
+    return "\n".join([*lines, "", *[f"- **{r['severity']}** {r['rule']}: {r['value']:.4g}" for r in issues]]) + "\n"
+
+
+def term_shift(config: DataFrame, plan: DataFrame) -> DataFrame:
+    """(domain, terms, factor): search terms of under-filled domains, to be searched by the factor more."""
+    j = config.select("domain", "search_terms").join(plan.where("current < target"), "domain")
+    return j.select("domain", F.array_join(F.sort_array("search_terms"), "; ").alias("terms"), F.round(F.least(F.lit(3.0), (F.col("target") + 1) / (F.col("current") + 1)), 4).alias("factor"))

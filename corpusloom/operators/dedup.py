@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.sources.tables import checkpoint
 
 
 def exact_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -32,13 +33,21 @@ def keep(df: DataFrame, id_col: str, text_col: str, policy: str = "first") -> Da
     return j.select(F.col("id").alias(id_col), "group_md5", (F.col("best").isNull() | (F.col("best") == F.col("id"))).alias("kept"))
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``no``, 1 and up in the order of a column without ties: ranges are sorted apart from each other, and the
+    sizes of the ranges before are added. No task sees more than one range."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_k", F.monotonically_increasing_id())
+    ranged = checkpoint(ranged.withColumn("_p", F.shiftright("_k", 33)).withColumn("_i", F.col("_k").bitwiseAND((1 << 33) - 1)))
+    size = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = size.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each range
+    return ranged.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("no", F.col("_b") + F.col("_i") + 1).drop("_k", "_p", "_i", "_b")
+
+
 def annotate(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Group number, kept flag, duplicate-of and token loss of the members of duplicate groups."""
     src = df.select(F.col(id_col).alias("id"), F.md5(text_col).alias("h"), X.token_count(F.col(text_col)).alias("tokens")).where("h is not null")
     g = src.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("kept_id")).where("n > 1")
-    # groups are numbered in the order of their kept id: a range sort of the group table only
-    numbered = g.withColumn("no", F.row_number().over(Window.orderBy("kept_id")))
-    j = src.join(numbered, "h")
+    j = src.join(numbered(g, "kept_id"), "h")
     dup = F.col("id") != F.col("kept_id")
     return j.select(
         F.col("id").alias(id_col), F.format_string("dg-%03d", "no").alias("group_id"), (~dup).alias("kept"),

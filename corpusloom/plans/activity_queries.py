@@ -23,6 +23,14 @@ def tasks(s, d):
     return t.select("task_id", "task_name", "source", A.status_of(F.col("status")).alias("status"), F.least(F.greatest(F.coalesce("progress", F.lit(0)), F.lit(0)), F.lit(100)).alias("progress"), "start_time", F.when(ok, minutes).alias("minutes"))
 
 
+def health(s, d):
+    """100 less twice the population variance of the percents of documents by domain, and its band at 80 and 60."""
+    k = table(s, d, "documents").groupBy("domain").agg(F.count("*").alias("n"))
+    p = k.join(F.broadcast(k.agg(F.sum("n").alias("t")))).select((100.0 * F.col("n") / F.col("t")).alias("p"))  # one row
+    h = p.agg(F.round(F.greatest(F.lit(0.0), 100 - 2 * F.var_pop("p")), 4).alias("health"))
+    return h.select("health", F.when(F.col("health") >= 80, "good").when(F.col("health") >= 60, "fair").otherwise("poor").alias("band"))
+
+
 LAST = "SELECT * FROM activity_log QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC, ts DESC, lower(source) DESC, task_id DESC, message DESC, details DESC) = 1"
 FLAT = f"""SELECT event_id, ts, coalesce(lower(source), 'unknown') AS source, task_id, coalesce(message, '') AS message,
   coalesce(CASE WHEN json_valid(details) THEN json_extract_string(details, '$.status') END, 'unknown') AS status, CASE WHEN json_valid(details) THEN try_cast(json_extract_string(details, '$.files') AS BIGINT) END AS files,
@@ -37,6 +45,16 @@ R.add(
     f"SELECT source, count(*) AS n, round(avg((status = 'success')::INT::DOUBLE), 6) AS success_rate, sum((status = 'running')::INT)::BIGINT AS running, round(avg(seconds), 6) AS mean_seconds FROM ({FLAT}) GROUP BY source",
 )
 R.add("log_filter", lambda s, d: log(s, d).where(F.contains(F.lower("message"), F.lit("failed")) & (F.col("status") == "error")).select("event_id", "source", "message"), f"SELECT event_id, source, message FROM ({FLAT}) WHERE contains(lower(message), 'failed') AND status = 'error'")
+R.add(
+    "log_details", lambda s, d: log(s, d).select("event_id", *[c.alias(n) for c, n in zip(A.split_details(F.col("message")), ("message", "details"))]),
+    f"SELECT event_id, trim(CASE WHEN contains(message, ' | ') THEN substr(message, 1, position(' | ' IN message) - 1) ELSE message END, ' ') AS message, CASE WHEN contains(message, ' | ') THEN trim(substr(message, position(' | ' IN message) + 3), ' ') END AS details FROM ({FLAT})",
+)
+R.add(
+    "log_lines_filter",
+    lambda s, d: A.filter_lines(A.parse_lines(log(s, d).select(F.concat_ws(" - ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.translate("source", "0123456789", ""), F.when(F.col("status") == "error", "ERROR").otherwise("INFO"), "message").alias("line")), "line"), level="error", text="FAILED").select("time", "component", "message"),
+    f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, translate(source, '0123456789', '') AS component, trim(message, ' ') AS message FROM ({FLAT}) WHERE status = 'error' AND contains(lower(message), 'failed')",
+)
+R.add("log_kinds", lambda s, d: table(s, d, "collectors").select("source", A.log_kind(F.concat("source", F.lit(".log"))).alias("value")), "SELECT source, CASE WHEN contains(lower(source), 'error') THEN 'error' WHEN contains(lower(source), 'collect') THEN 'collector' WHEN contains(lower(source), 'process') THEN 'processor' WHEN contains(lower(source), 'balanc') THEN 'balancer' WHEN contains(lower(source), 'gui') OR contains(lower(source), 'ui') THEN 'interface' ELSE 'general' END AS value FROM collectors")
 R.add("log_components", lambda s, d: log(s, d).select("source").distinct(), f"SELECT DISTINCT source FROM ({FLAT})")
 R.add(
     "task_rates", lambda s, d: tasks(s, d).groupBy("task_name").agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == "success").cast("double")), 6).alias("success_rate"), F.round(F.avg((F.col("status") == "failed").cast("double")), 6).alias("failure_rate"), F.round(F.avg("progress"), 4).alias("progress")),
@@ -50,8 +68,9 @@ R.add(
 )
 R.add("recent_tasks", lambda s, d: tasks(s, d).orderBy(F.desc("start_time"), "task_id").limit(20).select("task_id", "status", "start_time"), f"SELECT task_id, status, start_time FROM ({TASKS}) ORDER BY start_time DESC, task_id LIMIT 20")
 R.add(
-    "corpus_health", lambda s, d: tasks(s, d).groupBy("source").agg(F.avg((F.col("status") == "success").cast("double") * 100).alias("p")).agg(F.round(F.greatest(F.lit(0.0), 100 - 2 * F.var_pop("p") / 100), 4).alias("health")),
-    f"SELECT round(greatest(0.0, 100 - 2 * var_pop(p) / 100), 4) AS health FROM (SELECT avg((status = 'success')::INT::DOUBLE * 100) AS p FROM ({TASKS}) GROUP BY source)",
+    "corpus_health", health,
+    """WITH k AS (SELECT coalesce(domain, 'unknown') AS class, count(*) AS n FROM documents GROUP BY 1), p AS (SELECT 100.0::DOUBLE * n / sum(n) OVER () AS p FROM k), h AS (SELECT round(greatest(0.0, 100 - 2 * var_pop(p)), 4) AS health FROM p)
+      SELECT health, CASE WHEN health >= 80 THEN 'good' WHEN health >= 60 THEN 'fair' ELSE 'poor' END AS band FROM h""",
 )
 R.add("activity_by_task", lambda s, d: log(s, d).join(tasks(s, d).select("task_id", "task_name").distinct(), "task_id").groupBy("task_name").agg(F.count("*").alias("n"), F.sum("files").alias("files")), f"SELECT task_name, count(*) AS n, sum(files)::BIGINT AS files FROM ({FLAT}) JOIN (SELECT DISTINCT task_id, task_name FROM task_history) USING (task_id) GROUP BY 1")
 R.add("late_events", lambda s, d: log(s, d).select("event_id").join(table(s, d, "activity_log").groupBy("event_id").agg(F.min("ingested_at").alias("i"), F.min("ts").alias("t")).where("i > t + interval 7 days"), "event_id").select("event_id"), "SELECT event_id FROM activity_log GROUP BY 1 HAVING min(ingested_at) > min(ts) + INTERVAL 7 DAYS")

@@ -78,7 +78,16 @@ def plan(s, d):
 R.add("rebalance_plan", plan, PLAN)
 R.add("should_rebalance", lambda s, d: plan(s, d).agg(F.max((F.col("action") != "keep")).alias("value")), f"SELECT max(action <> 'keep') AS value FROM ({PLAN})")
 R.add("missing_domains", lambda s, d: plan(s, d).where("current = 0").select("domain"), f"SELECT domain FROM ({PLAN}) WHERE current = 0")
-R.add("recommendations", lambda s, d: plan(s, d).where("action <> 'keep'").select(F.when(F.col("action") == "collect", "high").otherwise("medium").alias("severity"), "action", "domain"), f"SELECT CASE WHEN action = 'collect' THEN 'high' ELSE 'medium' END AS severity, action, domain FROM ({PLAN}) WHERE action <> 'keep'")
+R.add(
+    "recommendations", lambda s, d: B.quality_rules(results(s, d), F.regexp_replace(F.lower(F.trim("domain")), "[ -]", "_"), F.col("quality_flag"), F.col("file_type"), plan(s, d)),
+    f"""WITH k AS (SELECT coalesce({KEY}, 'unknown') AS class, count(*) AS n FROM extraction_results GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, class DESC) AS r, lead(n) OVER (ORDER BY n DESC, class DESC) AS n2 FROM k),
+      l AS (SELECT avg(coalesce((quality_flag = 'low_quality')::INT::DOUBLE, 0)) AS low FROM extraction_results), f AS (SELECT coalesce(file_type, 'unknown') AS class, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM extraction_results GROUP BY 1)
+      SELECT 'high' AS severity, 'collect' AS action, domain AS subject, 0.0::DOUBLE AS value FROM ({PLAN}) WHERE current = 0
+      UNION ALL SELECT 'medium', 'downsample', class, round(n::DOUBLE / n2, 6) FROM o WHERE r = 1 AND n::DOUBLE / n2 > 5
+      UNION ALL SELECT CASE WHEN low > 0.3 THEN 'critical' ELSE 'medium' END, 'review_quality', 'low_quality', round(low, 6) FROM l WHERE low > 0.2
+      UNION ALL SELECT 'medium', 'diversify_types', class, round(s, 6) FROM f WHERE s > 0.8""",
+)
+R.add("term_shift", lambda s, d: B.term_shift(table(s, d, "domain_config"), plan(s, d)), f"SELECT domain, array_to_string(list_sort(search_terms), '; ') AS terms, round(least(3.0::DOUBLE, (target + 1)::DOUBLE / (current + 1)), 4) AS factor FROM domain_config JOIN ({PLAN}) USING (domain) WHERE current < target")
 
 
 def gap(s, d):
@@ -97,9 +106,30 @@ R.add(
     "allocation", lambda s, d: table(s, d, "domain_config").select("domain", F.floor(1000 * F.col("allocation")).alias("n"), F.row_number().over(Window.orderBy("domain")).alias("r")).select("domain", "r", "n", (1000 - F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("rest")).select("domain", (F.col("n") + F.when((F.col("r") == 1) & (F.col("rest") > 0), F.col("rest")).otherwise(0)).alias("n")),
     "WITH a AS (SELECT domain, floor(1000 * allocation)::BIGINT AS n, row_number() OVER (ORDER BY domain) AS r FROM domain_config), b AS (SELECT *, (1000 - sum(n) OVER ())::BIGINT AS rest FROM a) SELECT domain, n + CASE WHEN r = 1 AND rest > 0 THEN rest ELSE 0 END AS n FROM b",
 )
+
+
+def configs(s, d):
+    """The domain table and the keyword table as two configurations with their weights."""
+    return table(s, d, "domain_config").select(F.col("domain").alias("key"), F.col("target_weight").alias("weight")), table(s, d, "domain_keywords").select(F.col("domain").alias("key"), F.col("min_confidence").alias("weight"))
+
+
+R.add(
+    "config_diff", lambda s, d: B.config_check(*configs(s, d)),
+    """WITH a AS (SELECT domain AS key, max(target_weight) AS a, count(*) AS na FROM domain_config GROUP BY 1), b AS (SELECT domain AS key, max(min_confidence) AS b, count(*) AS nb FROM domain_keywords GROUP BY 1), j AS (SELECT * FROM a FULL JOIN b USING (key))
+      SELECT 'missing' AS check, key, a, b FROM j WHERE nb IS NULL UNION ALL SELECT 'extra', key, a, b FROM j WHERE na IS NULL UNION ALL SELECT 'mismatch', key, a, b FROM j WHERE abs(a - b) > 1e-6
+      UNION ALL SELECT 'duplicate', key, a, b FROM j WHERE na > 1 OR nb > 1 UNION ALL SELECT 'sum', 'a', s, NULL FROM (SELECT round(sum(target_weight), 9) AS s FROM domain_config) WHERE abs(coalesce(s, 0) - 1) > 1e-6
+      UNION ALL SELECT 'sum', 'b', NULL, s FROM (SELECT round(sum(min_confidence), 9) AS s FROM domain_keywords) WHERE abs(coalesce(s, 0) - 1) > 1e-6""",
+)
+for _force in (False, True):
+    R.add(
+        "config_sync_force" if _force else "config_sync", lambda s, d, f=_force: B.config_sync(*configs(s, d), force=f),
+        f"SELECT domain AS key, {'coalesce(min_confidence, target_weight)' if _force else 'coalesce(target_weight, min_confidence)'} AS weight FROM domain_config FULL JOIN domain_keywords USING (domain)",
+    )
 R.add(
-    "config_diff", lambda s, d: table(s, d, "domain_config").select("domain", "target_weight").alias("a").join(table(s, d, "domain_keywords").select("domain", "min_confidence").alias("b"), "domain", "full_outer").select("domain", F.when(F.col("min_confidence").isNull(), "no_keywords").when(F.col("target_weight").isNull(), "not_configured").otherwise("ok").alias("status")),
-    "SELECT domain, CASE WHEN min_confidence IS NULL THEN 'no_keywords' WHEN target_weight IS NULL THEN 'not_configured' ELSE 'ok' END AS status FROM domain_config a FULL JOIN domain_keywords b USING (domain)",
+    "weighted_quality",
+    lambda s, d: results(s, d).select("result_id", B.weighted_quality(F.col("token_count"), F.col("quality_flag"), F.col("language_confidence"), F.col(SC)).alias("q")).groupBy("result_id").agg(F.max("q").alias("quality")),
+    f"""SELECT result_id, max(round(0.3::DOUBLE * least(1.0::DOUBLE, coalesce(token_count, 0) / 1000.0::DOUBLE) + 0.4::DOUBLE * CASE WHEN quality_flag = 'ok' THEN 1.0::DOUBLE WHEN quality_flag = 'flagged' THEN 0.5::DOUBLE ELSE 0.0 END
+      + 0.2::DOUBLE * coalesce(language_confidence, 0.0) + 0.1::DOUBLE * coalesce({{SC}}, 100.0) / 100, 6)) AS quality FROM extraction_results GROUP BY 1""".replace("{SC}", "quality_metrics.corruption.corruption_score_normalized"),
 )
 R.add(
     "token_stats", lambda s, d: docs(s, d).select(X.token_count(F.col("text")).alias("t")).agg(F.round(F.avg("t"), 6).alias("mean"), F.expr("percentile(t, 0.5)").alias("median"), F.round(F.stddev_samp("t"), 6).alias("std"), F.min("t").alias("min"), F.max("t").alias("max"), F.expr("percentile(t, 0.25)").alias("q25"), F.expr("percentile(t, 0.75)").alias("q75")),

@@ -49,7 +49,7 @@ given("html_links", [ID, ("h", "string")], HTML, lambda v: v.select("id", F.expl
 given("html_tables", [ID, ("h", "string")], HTML, lambda v: v.select("id", F.explode(H.tables(F.col("h"))).alias("t")).select("id", F.size("t").alias("rows"), F.array_join(F.flatten("t"), "|").alias("cells")), None)
 given("html_images", [ID, ("h", "string")], HTML, lambda v: v.select("id", F.explode(H.images(F.col("h"), F.lit("https://base.org/dir/page"))).alias("src")), None)
 given("notebook_text", [ID, ("j", "string")], [(1, '{"cells": [{"cell_type": "markdown", "source": ["# H\\n", "text"]}, {"cell_type": "code", "source": ["x = 1"]}]}'), (2, "broken"), (3, None)], lambda v: v.select("id", H.notebook_text(F.col("j")).alias("value")), None)
-given("arxiv_parse", [ID, ("x", "string")], [(1, "<entry><id>p1</id><title>T</title><published>2024-01-01</published><summary>S</summary><author><name>A</name></author><author><name>B</name></author></entry>")], lambda v: v.select("id", H.paper(F.col("x")).alias("p")).select("id", "p.title", F.array_join("p.author.name", ";").alias("authors")), "SELECT id::BIGINT AS id, regexp_extract(x, '<title>(.*?)</title>', 1) AS title, array_to_string(regexp_extract_all(x, '<name>(.*?)</name>', 1), ';') AS authors FROM v")
+given("arxiv_parse", [ID, ("x", "string")], [(1, "<entry><id>p1</id><title>T</title><published>2024-01-01</published><summary>S</summary><author><name>A</name></author><author><name>B</name></author></entry>")], lambda v: v.select("id", F.explode(H.papers(F.col("x"))).alias("p")).select("id", "p.title", F.array_join("p.authors", ";").alias("authors")), "SELECT id::BIGINT AS id, regexp_extract(x, '<title>(.*?)</title>', 1) AS title, array_to_string(regexp_extract_all(x, '<name>(.*?)</name>', 1), ';') AS authors FROM v")
 given("series_observations", [ID, ("j", "string")], [(1, '{"series_id": "S1", "observations": [{"date": "2024-01-01", "value": "1.5"}, {"date": "2024-02-01", "value": "."}]}')], lambda v: v.select("id", F.explode(H.observations(F.col("j"))).alias("o")).select("id", "o.date", "o.value"), "SELECT id::BIGINT AS id, try_cast(o->>'date' AS DATE) AS date, try_cast(o->>'value' AS DOUBLE) AS value FROM (SELECT id, unnest(CAST(j->'observations' AS JSON[])) AS o FROM v)")
 LINES = [("[2024-01-02 03:04:05] INFO collector - started",), ("2024-01-02 03:04:05,123 - app.core - ERROR - failed hard",), ("WARNING:root:careful",), ("free text",)]
 PA, PB, PC = A.LINE_FORMATS

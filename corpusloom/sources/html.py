@@ -195,13 +195,6 @@ def papers(xml: Column) -> Column:
     return run(xml)
 
 
-ATOM = "id string, title string, published string, summary string, author array<struct<name:string>>"
-
-
-def paper(xml: Column) -> Column:
-    return F.from_xml(xml, ATOM)
-
-
 SERIES = "series_id string, observations array<struct<date:string,value:string>>"
 
 

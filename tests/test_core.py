@@ -225,3 +225,59 @@ def test_exports_and_safe_names(spark, tmp_path):
         assert "manifest.json" in f.namelist() and json.loads(f.read("manifest.json")) == m and len(f.namelist()) > 2
     plan = files.move_plan(spark.createDataFrame([("/c/a.txt", "x"), ("/d/a.txt", "x"), ("/d/b.txt", None)], "path string, domain string"), "/t").collect()
     assert sorted(r["target"] for r in plan) == ["/t/unknown/b.txt", "/t/x/a.txt", "/t/x/a_1.txt"]
+
+
+def test_groups_are_numbered_over_ranges(spark):
+    df = spark.range(0, 5000, 3).withColumn("x", F.col("id") * 2).repartition(7)
+    got = D.numbered(df, "id").select("id", "no").orderBy("id").collect()
+    assert [r["no"] for r in got] == list(range(1, len(got) + 1))
+    assert D.numbered(df.where("false"), "id").count() == 0
+    plan = D.annotate(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {(r["doc_id"], r["group_id"]) for r in plan} == {(1, "dg-001"), (2, "dg-001"), (3, "dg-002"), (4, "dg-002")}
+
+
+def test_config_checks_and_sync(spark):
+    make = lambda rows: spark.createDataFrame(rows, "key string, weight double")
+    a, b = make([("x", 0.5), ("x", 0.5), ("y", 0.3), ("z", None)]), make([("y", 0.4), ("w", 0.6)])
+    got = {(r["check"], r["key"]) for r in B.config_check(a, b).collect()}
+    assert got == {("missing", "x"), ("missing", "z"), ("extra", "w"), ("mismatch", "y"), ("duplicate", "x"), ("sum", "a")}
+    safe = {r["key"]: r["weight"] for r in B.config_sync(make([("y", 0.3)]), b).collect()}
+    assert safe == {"y": 0.3, "w": 0.6} and {r["key"]: r["weight"] for r in B.config_sync(make([("y", 0.3)]), b, force=True).collect()} == {"y": 0.4, "w": 0.6}
+    assert B.config_check(make([]), make([])).count() == 2  # sums of nothing
+
+
+def test_quality_rules_and_report(spark):
+    rows = [("a", "low_quality", "pdf")] * 60 + [("b", "ok", "pdf")] * 10 + [(None, "ok", "txt")]
+    df = spark.createDataFrame(rows, "domain string, flag string, kind string")
+    plan = spark.createDataFrame([("c", 0, 10)], "domain string, current long, target long")
+    got = {(r["severity"], r["action"], r["subject"]) for r in B.quality_rules(df, F.col("domain"), F.col("flag"), F.col("kind"), plan).collect()}
+    assert got == {("high", "collect", "c"), ("medium", "downsample", "a"), ("critical", "review_quality", "low_quality"), ("medium", "diversify_types", "pdf")}
+    page = B.report_markdown(df, F.col("domain"), "Corpus")
+    assert page.startswith("# Corpus") and "| a | 60 | 84.5 % |" in page and "low_entropy" in page
+
+
+def test_log_lines(spark):
+    from corpusloom.operators import activity as A
+
+    lines = ["[2024-01-02 03:04:05] INFO collector - started | 3 files", "2024-01-02 03:04:05,123 - app.core - ERROR - Failed hard", "2024-01-03 03:04:05,123 - app.core - ERROR - failed again", "free text"]
+    p = A.parse_lines(spark.createDataFrame([(x,) for x in lines], "line string"), "line")
+    assert A.filter_lines(p, level="error", component="app.core", text="FAILED", day=F.to_date(F.lit("2024-01-02"))).count() == 1
+    assert A.filter_lines(p, level="error").count() == 2 and A.filter_lines(p).count() == 4
+    m = {r["m"]: r["d"] for r in p.select(*[c.alias(n) for c, n in zip(A.split_details(F.col("message")), "md")]).collect()}
+    assert m["started"] == "3 files" and m["free text"] is None
+    kinds = spark.createDataFrame([("Error_1.log",), ("collector.log",), ("x.log",)], "n string").select(A.log_kind(F.col("n")).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["error", "collector", "general"]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from corpusloom.sources import tables
+
+    empty = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: empty))
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.checkpoint(df)
