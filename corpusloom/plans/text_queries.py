@@ -236,11 +236,15 @@ def domain_classify(s, d):
 
 RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 CLASSIFY = rf"""WITH c AS (SELECT doc_id, repeat(lower(coalesce(title, '')) || ' ', 3) || lower(coalesce(text, '')) AS c FROM documents),
-  t AS (SELECT doc_id, regexp_extract_all(c, '{RUNS}') AS t, greatest(1, len(list_filter(string_split_regex(c, '{WS}+'), lambda x: x <> ''))) AS n FROM c),
+  t AS (SELECT doc_id, c, regexp_extract_all(c, '{RUNS}') AS t, greatest(1, len(list_filter(string_split_regex(c, '{WS}+'), lambda x: x <> ''))) AS n FROM c),
   w AS (SELECT DISTINCT domain, k FROM (SELECT domain, unnest(string_split(lower(array_to_string(search_terms, ' ')), ' ')) AS k FROM domain_config) WHERE length(k) > 3 AND k NOT IN {E.KEYWORD_STOPS}),
-  k AS (SELECT domain, list(regexp_extract_all(k, '{RUNS}')) FILTER (k IS NOT NULL) AS ks FROM domain_config LEFT JOIN w USING (domain) GROUP BY domain),
-  h AS (SELECT doc_id, domain, n, len(ks) AS nk, list_transform(ks, lambda k: len(list_filter(range(1, len(t) - len(k) + 2), lambda i: t[i] = k[1] AND t[i:i + len(k) - 1] = k))) AS hits FROM t, k),
-  s AS (SELECT doc_id, domain, CASE WHEN coalesce(nk, 0) = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE * len(list_filter(hits, lambda x: x > 0)) / nk + 0.3::DOUBLE * list_sum(hits) / (n / 20.0::DOUBLE) END AS s FROM h),
+  nk AS (SELECT domain, count(k) AS nk FROM domain_config LEFT JOIN w USING (domain) GROUP BY domain),
+  one AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(t) AS k FROM t) GROUP BY ALL),
+  many AS (SELECT doc_id, k, len(list_filter(range(1, len(t) - len(ks) + 2), lambda i: t[i] = ks[1] AND t[i:i + len(ks) - 1] = ks)) AS n
+    FROM t, (SELECT DISTINCT k, regexp_extract_all(k, '{RUNS}') AS ks FROM w WHERE NOT regexp_full_match(k, '{W}')) WHERE contains(c, k)),
+  h AS (SELECT doc_id, domain, sum(n) AS hits, count(*) AS found FROM (SELECT * FROM one UNION ALL SELECT * FROM many WHERE n > 0) JOIN w USING (k) GROUP BY ALL),
+  s AS (SELECT t.doc_id, nk.domain, CASE WHEN nk = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE * coalesce(found, 0) / nk + 0.3::DOUBLE * coalesce(hits, 0) / (n / 20.0::DOUBLE) END AS s
+    FROM t CROSS JOIN nk LEFT JOIN h ON h.doc_id = t.doc_id AND h.domain = nk.domain),
   r AS (SELECT doc_id, domain, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, domain) AS r, lead(s) OVER (PARTITION BY doc_id ORDER BY s DESC, domain) AS s2 FROM s)
   SELECT doc_id, CASE WHEN s > 0 THEN domain ELSE 'unknown' END AS domain, round(s, 6) AS score, round(CASE WHEN s <= 0 OR s2 IS NULL OR s2 <= 0 THEN 0.0::DOUBLE ELSE (s - s2) / s END, 6) AS confidence FROM r WHERE r = 1"""
 R.add("domain_classify", domain_classify, CLASSIFY)
