@@ -34,10 +34,38 @@ def unseen(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key])
 
 
-def auto_balance(stream: DataFrame, class_col: str, act: Callable[[DataFrame, int], None], trigger: str = "15 minutes"):
-    """Runs the imbalance rules on every batch and hands the actions on; it never deletes or moves anything."""
+def auto_balance(stream: DataFrame, class_col: str, act: Callable[[DataFrame, int], None], corpus: Callable[[], DataFrame] | None = None, trigger: str = "15 minutes"):
+    """Runs the imbalance rules whenever a batch arrives and hands the actions on; it never deletes or moves anything.
+
+    The rules see the whole corpus as ``corpus`` reads it at that moment; without it, the batch alone.
+    """
 
     def batch(df: DataFrame, k: int) -> None:
-        act(balance.imbalances(df, F.col(class_col)), k)
+        act(balance.imbalances(corpus() if corpus else df, F.col(class_col)), k)
 
     return stream.writeStream.foreachBatch(batch).trigger(processingTime=trigger)
+
+
+MILESTONES = (25, 50, 75, 100)
+
+
+def passed(before: int, now: int, expected: int) -> list[int]:
+    """Milestones in percent of the expected number that lie between two counts."""
+    return [m for m in MILESTONES if expected > 0 and 100 * before < m * expected <= 100 * now]
+
+
+def monitor(stream: DataFrame, text_col: str, expected: int, report: Callable[[dict, list[int]], None], trigger: str = "5 minutes"):
+    """Running totals of files, empty and damaged texts (replacement characters beyond 2 %) after every batch, with the
+    milestones passed since the last; one row of totals reaches the driver. After a restart the totals go on from the checkpoint."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lost = F.length(text) - F.length(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    totals = stream.select((F.trim(text) == "").cast("long").alias("empty"), (lost > 0.02 * F.length(text)).cast("long").alias("damaged")).agg(F.count("*").alias("files"), F.sum("empty").alias("empty"), F.sum("damaged").alias("damaged"))
+    last = {"files": 0}
+
+    def batch(df: DataFrame, k: int) -> None:
+        for r in df.collect():  # one row
+            now = {c: r[c] or 0 for c in ("files", "empty", "damaged")}
+            report(now | {"percent": round(100 * now["files"] / expected, 2) if expected else 0.0}, passed(last["files"], now["files"], expected))
+            last["files"] = now["files"]
+
+    return totals.writeStream.outputMode("complete").foreachBatch(batch).trigger(processingTime=trigger)

@@ -281,3 +281,48 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.checkpoint(df)
+
+
+def test_log_tail_goes_on_from_its_checkpoint(spark, tmp_path):
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+
+    def run():
+        q = streams.log_lines(spark, str(logs)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        return spark.read.parquet(out)
+
+    (logs / "a.log").write_text("[2024-01-02 03:04:05] INFO collector - started\nfree text\n")
+    assert run().count() == 2
+    (logs / "b.log").write_text("2024-01-02 03:04:06,000 - app.core - ERROR - failed\n")
+    got = run()
+    assert got.count() == 3 and got.where("level = 'ERROR'").first()["component"] == "app.core"
+
+
+def test_monitor_counts_and_milestones(spark, tmp_path):
+    assert streams.passed(0, 5, 10) == [25, 50] and streams.passed(5, 5, 10) == [] and streams.passed(5, 10, 10) == [75, 100] and streams.passed(0, 3, 0) == []
+    src, seen = str(tmp_path / "in"), []
+    make = lambda rows: spark.createDataFrame([(x,) for x in rows], "text string").coalesce(1).write.mode("append").parquet(src)
+    make(["ok", "", None, "\ufffd\ufffd x"])
+
+    def run():
+        stream = spark.readStream.schema("text string").parquet(src)
+        q = streams.monitor(stream, "text", 8, lambda now, m: seen.append((now, m)), trigger="0 seconds").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    make(["more"] * 4)
+    run()
+    assert seen[0] == ({"files": 4, "empty": 2, "damaged": 1, "percent": 50.0}, [25, 50]) and seen[-1][0] == {"files": 8, "empty": 2, "damaged": 1, "percent": 100.0} and 100 in seen[-1][1]
+
+
+def test_auto_balance_sees_the_whole_corpus(spark, tmp_path):
+    src, got = str(tmp_path / "in"), []
+    spark.createDataFrame([("a",)] * 3, "domain string").write.parquet(src)
+    corpus = spark.createDataFrame([(x,) for x in "abcdefgh" for _ in range(40)], "domain string")
+    stream = spark.readStream.schema("domain string").parquet(src)
+    q = streams.auto_balance(stream, "domain", lambda df, k: got.append({r["rule"] for r in df.collect()}), corpus=lambda: corpus, trigger="0 seconds").start()
+    q.processAllAvailable()
+    q.stop()
+    assert got == [set()]
