@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[^ \t\n\r\f]+"
-TITLE_STOP = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with")
+# Words left out of titles that are compared.
+TITLE_STOP = ("a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for")
 
 
 def tokens(c: Column) -> Column:

@@ -186,6 +186,7 @@ def classify(df: DataFrame, config: DataFrame, id_col: str, text_col: str, title
     return d.select(id_col, "r.domain", F.round("r.score", 6).alias("score"), F.round("r.confidence", 6).alias("confidence"))
 
 
+# Fixed value: words that are no keywords.
 KEYWORD_STOPS = ("and", "the", "for", "with")
 
 

@@ -25,6 +25,7 @@ EXCLUDED_DOMAINS = ("blockchain", "cryptocurrency", "API", "function", "paramete
 GRAMS, GRAMS_CODE, RARE, RARE_CODE, FUNCTION, ARTICLE, TENSE = 4, 6, 0.15, 0.25, 0.7, 0.08, 0.12
 POINTS = {"disclaimer": 50, "phrase": 30, "minor": 10}
 
+# Patterns of sentence ends, code and list lines.
 _WORD = re.compile(r"\w+")
 _RUNS = re.compile(r"\w+|\W+")
 _SENTENCE = re.compile(r"[.!?\n]")

@@ -78,6 +78,12 @@ def plan(s, d):
 R.add("rebalance_plan", plan, PLAN)
 R.add("should_rebalance", lambda s, d: plan(s, d).agg(F.max((F.col("action") != "keep")).alias("value")), f"SELECT max(action <> 'keep') AS value FROM ({PLAN})")
 R.add("missing_domains", lambda s, d: plan(s, d).where("current = 0").select("domain"), f"SELECT domain FROM ({PLAN}) WHERE current = 0")
+R.add(
+    "balance_ratio_configured",  # over the configured domains, whether they occur or not
+    lambda s, d: B.metrics(results(s, d), F.regexp_replace(F.lower(F.trim("domain")), "[ -]", "_"), table(s, d, "domain_config").count()).select(F.col("balance_ratio").alias("value")),
+    f"""WITH k AS (SELECT coalesce({KEY}, 'unknown') AS c, count(*)::DOUBLE AS n FROM extraction_results GROUP BY 1), t AS (SELECT sum(n) AS t FROM k)
+      SELECT round(-sum(n / t * log2(n / t)) / log2((SELECT count(*) FROM domain_config)), 6) AS value FROM k, t""",
+)
 R.add(
     "recommendations", lambda s, d: B.quality_rules(results(s, d), F.regexp_replace(F.lower(F.trim("domain")), "[ -]", "_"), F.col("quality_flag"), F.col("file_type"), plan(s, d)),
     f"""WITH k AS (SELECT coalesce({KEY}, 'unknown') AS class, count(*) AS n FROM extraction_results GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, class DESC) AS r, lead(n) OVER (ORDER BY n DESC, class DESC) AS n2 FROM k),
