@@ -326,3 +326,42 @@ def test_auto_balance_sees_the_whole_corpus(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got == [set()]
+
+
+def test_near_duplicates_store_prefixes_only(spark, monkeypatch):
+    """All pairs by brute force; of the shingles of a corpus a small part is stored."""
+    import random
+    import re
+
+    from corpusloom.operators import near
+
+    rng = random.Random(5)
+    stock = [" ".join(rng.choices(["alpha", "Бета", "gamma_1", "d", "ñu", "中文", "x9"], k=6)) for _ in range(40)]
+    rows = [(k, ". ".join(" ".join(f"w{rng.randrange(4000)}" for _ in range(20)) + " " + rng.choice(stock) for _ in range(8))) for k in range(150)]
+    for k in range(30):
+        w = rows[k][1].split(" ")
+        w[rng.randrange(len(w))] = "other"
+        rows.append((1000 + k, " ".join(w[: len(w) - k])))
+    rows += [(2000 + k, rows[k][1].upper()) for k in range(4)] + [(3000 + k, rows[k][1]) for k in range(4)] + [(4000, None), (4001, "  "), (4002, "one two three"), (4003, "- ! -"), (4004, stock[0] * 3), (4005, stock[0] * 3 + " end")]
+    sets, first = {}, {}
+    for k, t in rows:
+        if t and t.strip(" ") and t not in first:
+            first[t] = k
+            w = re.findall(r"\w+", t.lower())
+            if len(w) > 4:
+                sets[k] = {tuple(w[x : x + 5]) for x in range(len(w) - 4)}
+    want = {(i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6) for i in sets for j in sets if i < j}
+    want = {p: v for p, v in want.items() if v >= 0.8}
+    stored, inner = [], near.checkpoint
+
+    def counted(df):
+        out = inner(df)
+        lists = [c for c, kind in out.dtypes if kind == "array<bigint>"]
+        stored.append(sum(r[0] or 0 for c in lists for r in out.selectExpr(f"sum(size({c}))").collect()))
+        return out
+
+    monkeypatch.setattr(near, "checkpoint", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["i"], r["j"]): r["jaccard"] for r in near.pairs(df, "doc_id", "text").collect()}
+    assert got == want and len(want) > 30
+    assert stored and stored[0] < 0.4 * sum(map(len, sets.values()))
