@@ -87,9 +87,7 @@ def docs(s, d):
 
 def near_texts(s, d):
     """(i, j, a, b): the near-duplicate pairs with their texts."""
-    t = docs(s, d).where(F.trim("text") != "").groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.*")
-    a, b = (t.select(F.col("doc_id").alias(k), F.col("text").alias(x)) for k, x in (("i", "a"), ("j", "b")))
-    return near.pairs(docs(s, d), "doc_id", "text").select("i", "j").join(a, "i").join(b, "j")
+    return near.linked_texts(docs(s, d), "doc_id", "text")
 
 
 # the same operators over whole tables

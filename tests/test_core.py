@@ -365,3 +365,14 @@ def test_near_duplicates_store_prefixes_only(spark, monkeypatch):
     got = {(r["i"], r["j"]): r["jaccard"] for r in near.pairs(df, "doc_id", "text").collect()}
     assert got == want and len(want) > 30
     assert stored and stored[0] < 0.4 * sum(map(len, sets.values()))
+
+
+def test_texts_of_pairs_are_read_once(spark):
+    """Only the texts of pairs reach the joins, not the table of documents."""
+    from corpusloom.plans import literal_queries as L
+
+    df = L.near_texts(spark, "/root/testdata/sf0.001")
+    text = {r["doc_id"]: r["text"] for r in L.docs(spark, "/root/testdata/sf0.001").collect()}
+    rows = df.collect()
+    assert rows and all(r["a"] == text[r["i"]] and r["b"] == text[r["j"]] for r in rows)
+    assert "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
