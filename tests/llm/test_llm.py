@@ -315,6 +315,32 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, tokens, local):
     assert len(g) == sum(bool(t) for t in texts)
 
 
+def test_paths_are_joined_in_rounds(spark, monkeypatch):
+    """Where paths are cut into many buckets, no join shuffles more than a part of all stretches; the pairs stay the same."""
+    random.seed(6)
+    vocab = [f"w{k}" for k in range(40)]
+    bases = [[random.choice(vocab) for _ in range(90)] for _ in range(40)]
+    texts = [" ".join(b) for b in bases] + [" ".join(b[k % 9 :] + ["end"]) for k, b in enumerate(bases)]
+    r = records(spark, texts)
+    r = r.union(r).repartition(5)  # copies in several batches
+    want = {tuple(x) for x in dup.found(r).collect()}
+    sets = [set(dup.sequences([t])[0].tolist()) for t in texts]
+    assert want == {(i, j) for i in range(80) for j in range(i + 1, 80) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5} and len(want) >= 40
+    rows, inner = [], dup.candidates
+
+    def counted(packs, *rest):
+        x = [(p["bucket"], p["key"][k : k + 16]) for p in packs.where("i = j").collect() for k in range(0, len(p["key"]), 16)]
+        rows.append(len(x))
+        assert len(set(x)) == len(x)  # copies have one path
+        return inner(packs, *rest)
+
+    monkeypatch.setattr(dup, "candidates", counted)
+    monkeypatch.setattr(dup, "BUCKET_TOKENS", 100)
+    monkeypatch.setattr(dup, "LEAST_ROUND", 0, raising=False)
+    assert {tuple(x) for x in dup.found(r).collect()} == want
+    assert len(rows) > 2 and max(rows) <= 0.5 * sum(rows)
+
+
 def test_each_part_of_the_prefix_tree_finds_pairs_of_its_own():
     """Without the pairs of one branch, or without those across branches, pairs are lost; bounds lose none."""
     random.seed(8)
