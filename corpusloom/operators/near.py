@@ -206,15 +206,19 @@ def distance(x: Column, y: Column) -> Column:
 
 
 def candidates(rows: DataFrame, low: float) -> DataFrame:
-    """(a, b): numbers of the texts of the pairs that share a shingle of their prefixes within all bounds, each once."""
+    """(a, b): numbers of the texts of the pairs that share a shingle of their prefixes within all bounds, each once.
+
+    Spark's estimate takes an array for one entry and an exploded row for one row, so it would broadcast through the driver ten
+    times what its threshold allows. The hints rule that out.
+    """
     each = rows.select("u", "n", "pos", F.posexplode("g").alias("k", "g")).select("g", "u", "n", (F.col("pos") + F.col("k")).alias("p"))
     a, b = each.alias("a"), each.alias("b")
     least = F.ceil(low / (1 + low) * (F.col("a.n") + F.col("b.n")))
     # what stands before the shared shingle can be shared too, up to the shorter stretch
     most = F.least("a.p", "b.p") + F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
     ok = (F.col("a.u") < F.col("b.u")) & (F.least("a.n", "b.n") >= low * F.greatest("a.n", "b.n")) & (most >= least)
-    cand = a.join(b, (F.col("a.g") == F.col("b.g")) & ok).select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
-    x, y = (rows.select(F.col("u").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
+    cand = a.join(b.hint("merge"), (F.col("a.g") == F.col("b.g")) & ok).select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
+    x, y = (rows.select(F.col("u").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")).hint("merge") for k in "ab")
     room = F.col("na") + F.col("nb") - 2 * F.ceil(low / (1 + low) * (F.col("na") + F.col("nb")))
     return cand.join(x, "a").join(y, "b").where(distance(F.col("pa"), F.col("pb")) <= room).select("a", "b")
 
@@ -256,11 +260,11 @@ def linked(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHO
 
 
 def linked_texts(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(i, j, a, b): the pairs with their texts."""
+    """(i, j, a, b): the pairs with their texts, which are not broadcast however well the files compress them."""
     v = checkpoint(linked(df, id_col, text_col, threshold).select("i", "j", "a", "b"))
     wanted = checkpoint(v.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     t = checkpoint(texts_of(keyed(df, text_col), wanted))
-    x, y = (t.select(F.col("key").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    x, y = (t.select(F.col("key").alias(k), F.col("text").alias(f"t{k}")).hint("merge") for k in "ab")
     return v.join(x, "a").join(y, "b").select("i", "j", F.col("ta").alias("a"), F.col("tb").alias("b"))
 
 

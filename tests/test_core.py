@@ -130,6 +130,26 @@ def test_operators_of_literals_cover_the_tables(spark):
     assert jac.keys() == want and all(0.5 < v <= 1 for v in jac.values())
 
 
+def broadcasts(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "BroadcastExchange" in x]
+
+
+def test_prefixes_and_texts_of_pairs_are_not_broadcast(spark, tmp_path):
+    from corpusloom.operators import near
+
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"v{k}" for k in range(40)), None, " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path := str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(path)
+    cut = near.keyed(df, "text").select("key", near.spaced("text").alias("text"))
+    rows = near.checkpoint(near.prefixes(cut, near.sketch(cut, 18, near.WORDS), 18, near.WORDS, near.THRESHOLD).withColumn("u", F.monotonically_increasing_id()))
+    cand = near.candidates(rows, near.THRESHOLD)
+    assert cand.count() == 1 and not broadcasts(cand)
+    pairs = near.linked_texts(df, "doc_id", "text")
+    assert [tuple(r) for r in pairs.collect()] == [(0, 1, texts[0], texts[1])] and not broadcasts(pairs)
+
+
 def test_formula_stats_count_formulas_with_braces(spark, tmp_path):
     from corpusloom.plans import catalog
 
