@@ -36,7 +36,7 @@ _M1, _M2, _M3 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9
 def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, rep): the smallest id with the same text; texts that are null or blank have no class."""
     t = df.where(F.trim(text_col) != "").select(F.col(id_col).alias("id"), F.md5(text_col).alias("h"))
-    return t.join(t.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep")
+    return t.join(t.groupBy("h").agg(F.min("id").alias("rep")).hint("merge"), "h").select("id", "rep")  # as many rows as texts: never broadcast
 
 
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
@@ -273,18 +273,34 @@ def pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOL
     return linked(df, id_col, text_col, threshold).select("i", "j", "jaccard")
 
 
-def clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, cluster, links): connected components over the pairs by minimum labels with pointer jumps."""
+def edges(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(u, v): the pairs of class representatives, each in both directions."""
     p = pairs(df, id_col, text_col, threshold).select(F.col("i").alias("u"), F.col("j").alias("v"))
-    e = checkpoint(p.union(p.select("v", "u")))
-    degree = e.groupBy("u").agg(F.count("*").alias("links"), F.min("v").alias("m"))
-    label = checkpoint(degree.select("u", F.least("u", "m").alias("l")))
+    return checkpoint(p.union(p.select("v", "u")))
+
+
+def unestimated(df: DataFrame) -> DataFrame:
+    """The same rows without Spark's estimate of their size, which a checkpoint keeps. That of a join is a product, so in a loop
+    it has twice as many digits after each round, until they fill the driver's memory."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
+def components(e: DataFrame) -> DataFrame:
+    """(u, l): the smallest number connected with each, by minimum labels with pointer jumps."""
+    label = unestimated(checkpoint(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l"))))
     while True:
         seen = e.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         step = label.join(seen, "u").select("u", "l", F.least("l", "m").alias("k"))
-        step = checkpoint(step.join(label.select(F.col("u").alias("k"), F.col("l").alias("j")), "k", "left").select("u", "l", F.least("k", F.coalesce("j", "k")).alias("k")))
+        step = unestimated(checkpoint(step.join(label.select(F.col("u").alias("k"), F.col("l").alias("j")), "k", "left").select("u", "l", F.least("k", F.coalesce("j", "k")).alias("k"))))
         label = step.select("u", F.col("k").alias("l"))
         if not step.where("l <> k").limit(1).count():
-            break
-    out = classes(df, id_col, text_col).join(label.select(F.col("u").alias("rep"), "l"), "rep", "left").join(degree.select(F.col("u").alias("rep"), "links"), "rep", "left")
+            return label
+
+
+def clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, cluster, links): connected components over the pairs."""
+    e = edges(df, id_col, text_col, threshold)
+    degree = e.groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("links"))
+    out = classes(df, id_col, text_col).join(components(e).withColumnRenamed("u", "rep"), "rep", "left").join(degree, "rep", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("l", "rep").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))

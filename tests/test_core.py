@@ -150,6 +150,29 @@ def test_prefixes_and_texts_of_pairs_are_not_broadcast(spark, tmp_path):
     assert [tuple(r) for r in pairs.collect()] == [(0, 1, texts[0], texts[1])] and not broadcasts(pairs)
 
 
+def test_classes_of_copies_are_not_broadcast(spark, tmp_path):
+    from corpusloom.operators import near
+
+    spark.createDataFrame([(k, f"t{k // 2}") for k in range(1, 9)], "doc_id long, text string").coalesce(1).write.parquet(path := str(tmp_path / "documents.parquet"))
+    got = near.classes(spark.read.parquet(path), "doc_id", "text")
+    assert {r["id"]: r["rep"] for r in got.collect()} == {k: max(1, k // 2 * 2) for k in range(1, 9)} and not broadcasts(got)
+
+
+def test_size_estimates_do_not_grow_with_the_rounds_of_components(spark, monkeypatch):
+    import random
+
+    from corpusloom.operators import near
+
+    order = random.Random(1).sample(range(40), 40)
+    p = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "u long, v long")
+    sizes = []
+    keep = near.checkpoint
+    monkeypatch.setattr(near, "checkpoint", lambda df: sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) or keep(df))
+    label = near.components(p.union(p.select("v", "u")))
+    assert label.count() == 40 and not label.where("l <> 0").count()
+    assert len(sizes) > 4 and max(sizes) < 2**260
+
+
 def test_formula_stats_count_formulas_with_braces(spark, tmp_path):
     from corpusloom.plans import catalog
 
