@@ -298,9 +298,19 @@ def components(e: DataFrame) -> DataFrame:
             return label
 
 
+def linked_classes(df: DataFrame, id_col: str, text_col: str, e: DataFrame) -> DataFrame:
+    """(id, rep, links): the class of each text and the number of its pairs."""
+    degree = e.groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("links"))
+    return classes(df, id_col, text_col).join(degree, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def links(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, links): the number of pairs of each text's class, which needs no components."""
+    return linked_classes(df, id_col, text_col, edges(df, id_col, text_col, threshold)).select(F.col("id").alias(id_col), "links")
+
+
 def clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(id, cluster, links): connected components over the pairs."""
     e = edges(df, id_col, text_col, threshold)
-    degree = e.groupBy(F.col("u").alias("rep")).agg(F.count("*").alias("links"))
-    out = classes(df, id_col, text_col).join(components(e).withColumnRenamed("u", "rep"), "rep", "left").join(degree, "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("l", "rep").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = linked_classes(df, id_col, text_col, e).join(components(e).withColumnRenamed("u", "rep"), "rep", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("l", "rep").alias("cluster"), "links")

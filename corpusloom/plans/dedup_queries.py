@@ -115,7 +115,7 @@ NEAR = f"""WITH r AS (SELECT min(doc_id) AS id, {W5} AS w FROM documents WHERE t
 CLASS = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE trim(text, ' ') <> ''"
 R.add("dedup_near_exact", lambda s, d: near.pairs(docs(s, d), "doc_id", "text"), NEAR)
 R.add(
-    "dedup_near", lambda s, d: near.clusters(docs(s, d), "doc_id", "text").select("doc_id", "links"),
+    "dedup_near", lambda s, d: near.links(docs(s, d), "doc_id", "text"),
     f"SELECT doc_id, coalesce(links, 0) AS links FROM ({CLASS}) LEFT JOIN (SELECT rep, count(*) AS links FROM (SELECT i AS rep FROM ({NEAR}) UNION ALL SELECT j FROM ({NEAR})) GROUP BY 1) USING (rep)",
 )
 R.add(

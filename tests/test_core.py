@@ -173,6 +173,18 @@ def test_size_estimates_do_not_grow_with_the_rounds_of_components(spark, monkeyp
     assert len(sizes) > 4 and max(sizes) < 2**260
 
 
+def test_links_are_counted_without_components(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import near
+    from corpusloom.plans import catalog
+
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words), " ".join(f"v{k}" for k in range(40)), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.delattr(near, "components")
+    got = {r["doc_id"]: r["links"] for r in catalog.QUERIES["dedup_near"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
 def test_formula_stats_count_formulas_with_braces(spark, tmp_path):
     from corpusloom.plans import catalog
 
